@@ -18,20 +18,17 @@ BLOCK_CHARS = 256
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, lines, order``: the lines of each text and their (line, place) pairs in order."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
-    return rows.withColumn("order", F.array_sort(F.transform("lines", lambda line, i: F.struct(line.alias("line"), i.alias("pos")))))
+    """``doc_id, pos, line``: the lines of each text that have a visible character."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
+    return rows.where(F.length(F.trim("line")) > 0)
 
 
-def firsts(order: Column) -> Column:
-    """Of each different line with a visible character, the first place in its document."""
-    return F.filter(order, lambda x, i: (F.length(F.trim(x["line"])) > 0) & ((i == 0) | (x["line"] != order[F.greatest(i - 1, F.lit(0))]["line"])))
-
-
-def repeats(order: Column) -> Column:
-    """Places of lines that repeat one of their own document."""
-    again = F.filter(order, lambda x, i: (F.length(F.trim(x["line"])) > 0) & (i > 0) & (x["line"] == order[F.greatest(i - 1, F.lit(0))]["line"]))
-    return F.transform(again, lambda x: x["pos"])
+def repeats(lines: Column) -> Column:
+    """Places of visible lines that repeat one of their own document."""
+    order = F.array_sort(F.transform(lines, lambda line, i: F.struct(line.alias("line"), i.alias("pos"))))
+    # an array of one binds the sorted lines to a name, so that they are sorted once
+    again = F.transform(F.array(order), lambda o: F.filter(o, lambda x, i: (F.length(F.trim(x["line"])) > 0) & (i > 0) & (x["line"] == o[F.greatest(i - 1, F.lit(0))]["line"])))[0]
+    return F.when(F.size(F.array_distinct(lines)) < F.size(lines), F.transform(again, lambda x: x["pos"])).otherwise(F.array().cast("array<int>"))
 
 
 def block_edge(b: Column, length: Column) -> Column:
@@ -63,7 +60,7 @@ def near_lines(docs: DataFrame) -> DataFrame:
        are one change apart; without it, a longer line meets the shorter one.
     3. Each key's earliest line is its witness; the edit distance of the pair is verified.
     """
-    lines = lines_of(docs).select("doc_id", F.explode(firsts(F.col("order"))).alias("x")).select("doc_id", F.col("x.pos").alias("pos"), F.col("x.line").alias("line"))
+    lines = lines_of(docs)
     keys = with_blocks(lines).select("key", F.xxhash64("line").alias("h")).groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
     shared = stage(keys.where("low <> high").select("key"), "blocks")
     n = shared.count()
@@ -75,25 +72,27 @@ def near_lines(docs: DataFrame) -> DataFrame:
     longer = cut.where(size == F.col("n")).withColumn("i", whole)
     head = F.substring(F.col("line"), F.lit(1), F.col("i") - 1)
     tail = F.substring(F.col("line"), F.col("i") + 1, size)
-    changed = longer.select("line", "at", F.xxhash64(F.lit("change"), "n", "i", head, tail).alias("key"))
-    changed = changed.select("line", "at", "key", F.lit(2).alias("side"))
-    less = longer.select("line", "at", F.xxhash64(F.lit("less"), "n", F.concat(head, tail)).alias("key"), F.lit(1).alias("side"))
-    itself = cut.where(size == F.col("n") - 1).select("line", "at", F.xxhash64(F.lit("less"), "n", "line").alias("key"), F.lit(0).alias("side"))
+    changed = longer.select("at", F.xxhash64(F.lit("change"), "n", "i", head, tail).alias("key"), F.lit(2).alias("side"))
+    less = longer.select("at", F.xxhash64(F.lit("less"), "n", F.concat(head, tail)).alias("key"), F.lit(1).alias("side"))
+    itself = cut.where(size == F.col("n") - 1).select("at", F.xxhash64(F.lit("less"), "n", "line").alias("key"), F.lit(0).alias("side"))
+    # a line is known by the place where it first stands: variants carry no text
     variants = changed.unionByName(less).unionByName(itself)
     # the witness of a change is the earliest line of the key, of a line left short the earliest of the other side
-    found = variants.groupBy("key", "side").agg(F.min(F.struct("at", "line")).alias("w"))
-    found = found.select("key", F.when(F.col("side") == 2, 2).otherwise(1 - F.col("side")).alias("side"), F.col("w.at").alias("w_at"), F.col("w.line").alias("w_line"))
-    pairs = variants.join(found, ["key", "side"]).where("w_at < at").where(F.levenshtein("line", "w_line", 1).between(0, 1))
-    return pairs.select("at.doc_id", "at.pos").distinct()
+    found = variants.groupBy("key", "side").agg(F.min("at").alias("w"))
+    found = found.select("key", F.when(F.col("side") == 2, 2).otherwise(1 - F.col("side")).alias("side"), "w")
+    pairs = variants.join(found, ["key", "side"]).where("w < at").select("at", "w").distinct()
+    texts = cut.select("at", "line").distinct()
+    pairs = pairs.join(texts, "at").join(texts.select(F.col("at").alias("w"), F.col("line").alias("w_line")), "w")
+    return pairs.where(F.levenshtein("line", "w_line", 1).between(0, 1)).select("at.doc_id", "at.pos").distinct()
 
 
 def exact_lines(docs: DataFrame) -> DataFrame:
-    """Places ``doc_id, pos`` of lines that equal a line of a document with a smaller id."""
-    lines = lines_of(docs).select("doc_id", F.explode(firsts(F.col("order"))).alias("x"))
-    lines = lines.select("doc_id", F.col("x.pos").alias("pos"), F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit(1), "x.line").alias("h2"))
+    """Lines ``doc_id, h1`` (a hash) that equal a line of a document with a smaller id."""
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.split(F.col("text").cast("string"), "\n", -1))).alias("line")).where(F.length(F.trim("line")) > 0)
+    lines = lines.select("doc_id", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     # a null doc_id counts as the smallest
     low = lines.groupBy("h1", "h2").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("low"))
-    return lines.join(low, ["h1", "h2"]).where("doc_id > low").select("doc_id", "pos")
+    return lines.join(low, ["h1", "h2"]).where("doc_id > low").select("doc_id", "h1")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -105,18 +104,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     place is taken out in each of them, and equal lines at the same place of both stay.
     Other columns pass through, but those named like a result are replaced; an empty table gives no rows.
     """
-    exact = exact_lines(docs).groupBy("doc_id").agg(F.collect_set("pos").alias("exact"))
+    exact = exact_lines(docs).groupBy("doc_id").agg(F.collect_set("h1").alias("exact"))
     near = near_lines(docs).groupBy("doc_id").agg(F.collect_set("pos").alias("near"))
-    gone = exact.join(near, "doc_id", "full_outer").select(F.col("doc_id").alias("_id"), "exact", "near")
+    gone = exact.join(near, "doc_id", "full_outer").select(F.col("doc_id").alias("_id"), F.col("exact").alias("_exact"), F.col("near").alias("_near"))
     none = F.array().cast("array<int>")
-    out = docs.select("*", F.col("doc_id").cast("long").alias("_doc")).join(gone.select("_id", F.coalesce("exact", none).alias("_exact"), F.coalesce("near", none).alias("_near")), F.col("_doc").eqNullSafe(F.col("_id")), "left")
+    out = docs.select("*", F.col("doc_id").cast("long").alias("_doc")).join(gone, F.col("_doc").eqNullSafe(F.col("_id")), "left")
     out = out.withColumn("_lines", F.split(F.col("text").cast("string"), "\n", -1))
-    out = out.withColumn("_order", F.array_sort(F.transform("_lines", lambda line, i: F.struct(line.alias("line"), i.alias("pos")))))
-    out = out.withColumn("_exact", F.array_distinct(F.concat(F.coalesce("_exact", none), repeats(F.col("_order")))))
-    out = out.withColumn("_near", F.array_except(F.coalesce("_near", none), F.col("_exact")))
-    out = out.withColumn("_gone", F.concat("_exact", "_near"))
+    equal = F.filter(F.transform("_lines", lambda line, i: F.when(F.array_contains("_exact", F.xxhash64(line)), i)), lambda i: i.isNotNull())
+    equal = F.when(F.col("_exact").isNull(), none).otherwise(equal)
+    out = out.withColumn("_equal", F.array_distinct(F.concat(equal, repeats(F.col("_lines")))))
+    out = out.withColumn("_near", F.array_except(F.coalesce("_near", none), F.col("_equal")))
+    out = out.withColumn("_gone", F.concat("_equal", "_near"))
     kept = F.when(F.size("_gone") == 0, F.col("_lines")).otherwise(F.filter("_lines", lambda line, i: ~F.array_contains("_gone", i)))
-    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     out = out.withColumn("_kept", kept)
     made = ("kept_text", "n_lines", "n_exact", "n_near", "n_kept")
-    return out.select(*[c for c in docs.columns if c not in made], F.array_join("_kept", "\n").alias("kept_text"), F.greatest(F.lit(0), F.size("_lines")).cast("long").alias("n_lines"), count("_exact").alias("n_exact"), count("_near").alias("n_near"), F.greatest(F.lit(0), F.size("_kept")).cast("long").alias("n_kept"))
+    return out.select(*[c for c in docs.columns if c not in made], F.array_join("_kept", "\n").alias("kept_text"), F.greatest(F.lit(0), F.size("_lines")).cast("long").alias("n_lines"), F.greatest(F.lit(0), F.size("_equal")).cast("long").alias("n_exact"), F.greatest(F.lit(0), F.size("_near")).cast("long").alias("n_near"), F.greatest(F.lit(0), F.size("_kept")).cast("long").alias("n_kept"))
