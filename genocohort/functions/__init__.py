@@ -1 +1 @@
-
+"""Column functions: alleles, scoring ladders, population arithmetic."""

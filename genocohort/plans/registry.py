@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 
 def queries() -> dict:
-    return {}
+    from . import queries as q
+    from . import queries_more  # noqa: F401  registers the rest
+
+    return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import queries as q
+    from . import queries_more  # noqa: F401
+
+    return dict(q.ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored findings of the fixture cohort."""
+    return queries()["pl1_scan"](spark, sf_dir)

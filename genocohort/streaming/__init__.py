@@ -1 +1 @@
-
+"""Uploads that arrive over time."""
