@@ -51,7 +51,7 @@ def finding_defaults(df: DataFrame) -> DataFrame:
     """Blank named texts instead of null, conditions as a list, ``carrier`` from the copies (null if unknown)."""
     df = df.withColumns({c: F.coalesce(field(df, c), F.lit("")) for c in BLANK_FIELDS})
     n = field(df, "variant_copies", "int")
-    parts = F.filter(F.transform(F.split("conditions", ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("conditions", ";"), lambda x: F.trim(x)), lambda x: x != "")
     return df.withColumns({"entity_type": F.coalesce(field(df, "entity_type"), F.lit("snp")), "conditions_list": parts, "carrier": n > 0, "variant_copies": n, "topics": F.coalesce(field(df, "topics", "array<string>"), F.array().cast("array<string>")), "medicines": F.coalesce(field(df, "medicines", "array<string>"), F.array().cast("array<string>"))})
 
 

@@ -23,7 +23,7 @@ def parse_array_exports(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     names = F.lower(F.regexp_replace("line", '^#+\\s*|"', ""))
     sep = F.when(F.col("line").contains("\t"), "\t").otherwise(",")
-    parts = F.transform(F.split(names, F.when(F.col("line").contains("\t"), "\t").otherwise(",")), F.trim)
+    parts = F.transform(F.split(names, F.when(F.col("line").contains("\t"), "\t").otherwise(",")), lambda x: F.trim(x))
     is_header = F.arrays_overlap(parts, F.array(*[F.lit(n) for n in NAMES["rsid"]])) & F.arrays_overlap(parts, F.array(*[F.lit(n) for n in NAMES["chromosome"]]))
     comment = F.col("line").startswith("#") | is_header
     said = F.lower(F.when(comment, F.col("line")))
@@ -34,7 +34,7 @@ def parse_array_exports(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     usable = F.col("i_rsid").isNotNull() & (F.col("i_genotype").isNotNull() | (F.col("i_allele1").isNotNull() & F.col("i_allele2").isNotNull()))
     refused = facts.where(~usable).select("file", F.lit("no usable header").alias("reason"))
     rows = lines.where(~comment).join(F.broadcast(facts.where(usable)), "file")  # one row for each file
-    cells = F.transform(F.split(F.regexp_replace("line", '"', ""), F.col("sep")), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("line", '"', ""), F.col("sep")), lambda x: F.trim(x))
     at = lambda k: F.get(cells, F.col(f"i_{k}") - 1)
     gt = F.upper(at("genotype"))
     split = F.col("i_allele1").isNotNull() & F.col("i_allele2").isNotNull()

@@ -73,7 +73,7 @@ def gwas_risk_allele(cell: Column) -> Column:
 
 
 def gwas_rsids(cell: Column) -> Column:
-    return F.filter(F.transform(F.split(F.regexp_replace(F.lower(cell), r" x |,| ", ";"), ";"), F.trim), lambda x: x.rlike(r"^rs\d+$"))
+    return F.filter(F.transform(F.split(F.regexp_replace(F.lower(cell), r" x |,| ", ";"), ";"), lambda x: F.trim(x)), lambda x: x.rlike(r"^rs\d+$"))
 
 
 def read_gwas_associations(spark: SparkSession, path: str) -> DataFrame:
@@ -99,9 +99,9 @@ def parse_scoring(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     meta = F.regexp_extract("line", r"^#+\s*weight_type\s*=\s*(.*)$", 1)
     body = numbered.where("line not like '#%'")
-    first = body.groupBy("file").agg(F.min(F.struct("n", "line")).alias("h")).select("file", F.col("h.n").alias("h_n"), F.transform(F.split(F.lower("h.line"), "\t"), F.trim).alias("names"))
+    first = body.groupBy("file").agg(F.min(F.struct("n", "line")).alias("h")).select("file", F.col("h.n").alias("h_n"), F.transform(F.split(F.lower("h.line"), "\t"), lambda x: F.trim(x)).alias("names"))
     kind = numbered.groupBy("file").agg(F.max(meta).alias("kind"))
-    rows = body.join(F.broadcast(first.join(kind, "file")), "file").where("n > h_n").withColumn("f", F.transform(F.split("line", "\t"), F.trim))  # one row for each file
+    rows = body.join(F.broadcast(first.join(kind, "file")), "file").where("n > h_n").withColumn("f", F.transform(F.split("line", "\t"), lambda x: F.trim(x)))  # one row for each file
     at = lambda names: F.coalesce(*[F.get("f", F.array_position("names", n).cast("int") - 1) for n in names])
     flag = F.coalesce(*[F.when(F.lower(at((n,))).isin("true", "1", "yes", "t", "y"), True) for n in NON_ADDITIVE], F.lit(False))
     rows = rows.select("file", flag.alias("refused"), F.lower(at(SCORING["rsid"])).alias("rsid"), F.upper(at(SCORING["effect_allele"])).alias("effect_allele"), F.coalesce(F.upper(at(SCORING["other_allele"])), F.lit("")).alias("other_allele"), to_log_beta(at(SCORING["weight"]).try_cast("double"), "kind").alias("weight"))
@@ -143,7 +143,7 @@ def flatten_annotation_json(df: DataFrame, json_col: str, id_col: str) -> DataFr
     ``dbsnp.gene`` and ``clinvar.rcv`` may be an object or a list; condition names are joined by ``; ``.
     """
     j = F.col(json_col)
-    gene = F.get_json_object(one_or_many(F.get_json_object(j, "$.dbsnp.gene"))[0], "$.symbol")
+    gene = F.get_json_object(F.get(one_or_many(F.get_json_object(j, "$.dbsnp.gene")), F.lit(0)), "$.symbol")
     rows = df.select(F.col(id_col), gene.alias("gene"), F.explode_outer(one_or_many(F.get_json_object(j, "$.clinvar.rcv"))).alias("rcv"))
     sig = F.lower(F.get_json_object("rcv", "$.clinical_significance"))
     names = F.transform(one_or_many(F.get_json_object("rcv", "$.conditions")), lambda c: F.get_json_object(c, "$.name"))
@@ -186,7 +186,7 @@ def read_caller_tables(spark: SparkSession, path: str, tool: str) -> DataFrame:
     """The first usable row of each sample in a lineage caller's table; ``?`` is no call."""
     names = CALLERS[tool]
     rows = read_numbered(spark, path).where("ltrim(line) not like '#%'")
-    f = F.transform(F.when(F.col("line").contains("\t"), F.split("line", "\t")).otherwise(cells()), F.trim)
+    f = F.transform(F.when(F.col("line").contains("\t"), F.split("line", "\t")).otherwise(cells()), lambda x: F.trim(x))
     rows = rows.withColumn("f", f)
     head = rows.groupBy("file").agg(F.min(F.struct("n", "f")).alias("h")).select("file", F.col("h.n").alias("h_n"), F.transform("h.f", F.lower).alias("names"))
     rows = rows.join(F.broadcast(head), "file").where("n > h_n")  # one row for each file

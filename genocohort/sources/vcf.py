@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def sample_names(lines: DataFrame) -> DataFrame:
 
 
 def rsid_of(ids: Column) -> Column:
-    return F.get(F.filter(F.transform(F.split(F.lower(ids), "[;,]"), F.trim), lambda x: x.rlike(r"^rs\d+$")), F.lit(0))
+    return F.get(F.filter(F.transform(F.split(F.lower(ids), "[;,]"), lambda x: F.trim(x)), lambda x: x.rlike(r"^rs\d+$")), F.lit(0))
 
 
 def decode(lines: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def decode(lines: DataFrame) -> DataFrame:
     symbolic = F.exists("alts", lambda a: a.startswith("<") | (a == "*")) & ~F.exists("alts", lambda a: a.rlike("^[ACGT]+$"))
     block = symbolic | F.coalesce((F.size("alts") == 1) & F.col("alts")[0].isin(".", "<NON_REF>", "<*>"), F.lit(False))
     read = F.filter("alleles", lambda a: a.isNotNull())
-    odd = (F.size("alleles") > 2) | F.exists(read, lambda a: ~a.rlike("^[ACGT]$"))
+    odd = (F.size("alleles") > 2) | (F.length("ref") != 1) | F.exists(read, lambda a: ~a.rlike("^[ACGT]$"))
     lost = F.coalesce(F.size(read) < F.size("alleles"), F.lit(True)) | (F.size(read) < 1)
     rsid = rsid_of(F.col("ids"))
     skip = F.when(block, SKIPS[0]).when(F.coalesce(odd, F.lit(False)), SKIPS[1]).when(lost, SKIPS[2]).when(rsid.isNull(), SKIPS[3])
@@ -106,7 +107,6 @@ def read_imputed_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_pileup(lines: DataFrame) -> DataFrame:
     """Counts of A, C, G, T at each position of text pileups; indels, read ends and gaps are no observations."""
-    import pandas as pd
 
     def strip(bases: pd.Series) -> pd.Series:
         import re
