@@ -74,7 +74,7 @@ def plan_mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, part_r
     Running sums are made within parts of about ``part_rows`` rows of a source and then
     over the parts, so a source with a third of all rows is spread like the others.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("text_hash"))
     key = draw(F.lit("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_hash"))
     rows = stage(rows.withColumn("key", key).drop("text_hash"), "sizes")
     digits = next(d for d in range(1, 9) if d == 8 or rows.count() <= part_rows * 16**d)

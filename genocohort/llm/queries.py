@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, hnsw, langid, line_dedup, lm_score, minhash_forest, mixing, secrets, urlgraph
+from .oracles import ORACLES  # noqa: F401
 
 
 def tokenizer_file(name: str) -> str:
@@ -72,5 +73,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_language_id, op4_lm_score, op5_source_mix, op6_fingerprints, op7_secret_scan, op8_minhash_forest, op9_embedding_hnsw, op10_url_graph, pipeline)}
-
-ORACLES: dict[str, str] = {}
