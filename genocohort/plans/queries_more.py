@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ancestry, carrier, family, history, imputed, lineage, pgx, population, provenance, prs, reference, rules, text
+from ..operators import ancestry, carrier, family, history, imputed, lineage, pgx, population, provenance, prs, reference, rules, text, traits
 from ..sources import tables, vcf, writers
 from .queries import query
 
@@ -604,3 +604,23 @@ def _(c):
 @query("snk3_plink_ped", "SELECT 20::BIGINT AS samples WHERE (SELECT count(DISTINCT sample_id) FROM ox_pooled) = 20")
 def _(c):
     return writers.plink_ped(c.pooled(), c.view("fx_markers")).agg(F.count(F.lit(1)).alias("samples"))
+
+
+# --- blood group and other entities -------------------------------------------------------------
+
+
+@query("ru6_blood_group")
+def _(c):
+    tags = [traits.DECISIVE, *traits.AB_TAGS, traits.LINKED[0], *traits.RH_TAGS]
+    at = F.create_map(*[F.lit(x) for k, t in enumerate(tags) for x in (f"rs{1040 + k}", t)])[F.col("rsid")]
+    return traits.blood_group(c.pooled().withColumn("rsid", F.coalesce(at, "rsid")))
+
+
+@query("ru7_entity_findings", f"SELECT 'genoset' AS entity_type, count(*) AS n, sum(2.5)::DOUBLE AS magnitudes FROM ({RULES}) WHERE matched UNION ALL SELECT 'trait', 20, 20.0::DOUBLE")
+def _(c):
+    p = c.pooled()
+    rows = rules.rule_coverage(p, c.rules())
+    texts = c.view("fx_rule_nodes").select("rule_id").distinct().withColumns({"magnitude": F.lit(2.5), "summary": F.lit("s"), "repute": F.lit("odd"), "silo": F.lit("actionable")})
+    t = p.select("sample_id").distinct().withColumns({"trait": F.lit("t"), "call": F.lit("x"), "coverage": F.lit(1.0)})
+    both = traits.rule_findings(rows, texts).unionByName(traits.trait_findings(t), allowMissingColumns=True)
+    return both.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.sum("magnitude").alias("magnitudes"))
