@@ -337,18 +337,21 @@ def _(c):
 
 CHANGED = "SELECT o.snapshot_id AS from_id, n.snapshot_id AS to_id, coalesce(o.entry_key, n.entry_key) AS entry_key, o.entry_key IS NULL AS added, n.entry_key IS NULL AS removed, o.code IS DISTINCT FROM n.code AS sig, o.stars <> n.stars AS stars, n.stars > o.stars AS more, o.cpic_level <> n.cpic_level AS lvl FROM (SELECT * FROM ox_prints WHERE snapshot_id = {0}) o FULL JOIN (SELECT * FROM ox_prints WHERE snapshot_id = {1}) n ON n.entry_key = o.entry_key"
 KINDS = "SELECT CASE WHEN added THEN ['added'] WHEN removed THEN ['removed'] ELSE list_filter([CASE WHEN sig THEN 'sig' END, CASE WHEN stars THEN CASE WHEN more THEN 'stars_gained' ELSE 'stars_lost' END END, CASE WHEN lvl THEN 'cpic_level_changed' END], lambda x: x IS NOT NULL) END AS k, entry_key, {0} AS step FROM (" + CHANGED + ")"
-COARSE = F.when(F.col("kind") == "finding_added", "added").when(F.col("kind") == "finding_removed", "removed").when(F.col("field") == "clinvar_sig_code", "sig").otherwise(F.col("kind"))
+
+
+def coarse():
+    return F.when(F.col("kind") == "finding_added", "added").when(F.col("kind") == "finding_removed", "removed").when(F.col("field") == "clinvar_sig_code", "sig").otherwise(F.col("kind"))
 
 
 @query("jn23_diff_snapshots", "SELECT entry_key, unnest(k) AS kind FROM (" + KINDS.format(1, 2) + ")")
 def _(c):
     p = c.prints()
-    return history.diff_pairs(p.where("snapshot_id = 1"), p.where("snapshot_id = 2"), ["entry_key"]).select("entry_key", COARSE.alias("kind"))
+    return history.diff_pairs(p.where("snapshot_id = 1"), p.where("snapshot_id = 2"), ["entry_key"]).select("entry_key", coarse().alias("kind"))
 
 
 @query("wn07_change_history", "SELECT to_id::BIGINT AS to_id, kind, count(*) AS n FROM (SELECT 2 AS to_id, unnest(k) AS kind FROM (" + KINDS.format(1, 2) + ") UNION ALL SELECT 3, unnest(k) FROM (" + KINDS.format(2, 3) + ")) GROUP BY ALL")
 def _(c):
-    rows = history.change_history(c.prints()).withColumn("kind", COARSE)
+    rows = history.change_history(c.prints()).withColumn("kind", coarse())
     return rows.groupBy(F.col("to_id").alias("to_id"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
