@@ -14,7 +14,7 @@ from .common import bounded_broadcast, stage
 #: Lines with fewer characters are compared exactly: one edit changes what they say.
 MIN_EDIT_CHARS = 20
 #: About how many characters a block has, in which the one edit may fall.
-BLOCK_CHARS = 256
+BLOCK_CHARS = 32
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -35,6 +35,17 @@ def block_edge(b: Column, length: Column) -> Column:
     return F.floor(b * length / F.greatest(F.lit(2), F.ceil(length / BLOCK_CHARS))).cast("int")
 
 
+def half_keys(line: Column) -> Column:
+    """For the line as the longer and as the shorter of a pair, the hash of either half of the longer length's grid."""
+    size = F.length(line)
+
+    def halves(n: Column) -> list[Column]:
+        e = F.shiftright(n, 1)
+        return [F.xxhash64(n, F.lit(0), F.substring(line, F.lit(1), e)), F.xxhash64(n, F.lit(1), F.substring(line, size - n + e + 1, n - e))]
+
+    return F.array(*halves(size), *halves(size + 1))
+
+
 def with_blocks(lines: DataFrame) -> DataFrame:
     """A row for each (longer length n, block b) of each line, with the hash of all but the block.
 
@@ -50,22 +61,30 @@ def with_blocks(lines: DataFrame) -> DataFrame:
     return out.withColumn("key", F.xxhash64("n", "b", start, end))
 
 
+def of_several(rows: DataFrame) -> DataFrame:
+    """Keys of ``rows(key, h)`` that more than one ``h`` has."""
+    return rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
+
+
 def near_lines(docs: DataFrame) -> DataFrame:
     """Places ``doc_id, pos`` of lines within one edit of an earlier, different line.
 
-    1. Blocks whose surroundings two different lines share are found by a grouped minimum
-       and maximum of line hashes: no list of a group is ever gathered.
+    1. Halves that two different lines of fitting length share are found by a grouped minimum and
+       maximum of line hashes: no list of a group is ever gathered.  Of the lines with such a half,
+       blocks whose surroundings two of them share are found in the same way.
     2. Only lines in such blocks emit their deletion neighbourhood: all variants with one
        character of the block left out, as hashed keys.  With the place kept, equal variants
        are one change apart; without it, a longer line meets the shorter one.
     3. Each key's earliest line is its witness; the edit distance of the pair is verified.
     """
-    lines = lines_of(docs)
-    keys = with_blocks(lines).select("key", F.xxhash64("line").alias("h")).groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    shared = stage(keys.where("low <> high").select("key"), "blocks")
-    n = shared.count()
-    cut = with_blocks(lines).join(bounded_broadcast(shared, n), "key", "left_semi")
-    cut = stage(cut.groupBy("line", "n", "b", "left", "right").agg(F.min(F.struct("doc_id", "pos")).alias("at")), "near")
+    lines = lines_of(docs).where(F.length("line") >= MIN_EDIT_CHARS)
+    halves = lines.select(F.xxhash64("line").alias("h"), F.explode(half_keys(F.col("line"))).alias("key"))
+    shared = stage(of_several(halves), "halves")
+    near = lines.withColumn("key", F.explode(half_keys(F.col("line")))).join(bounded_broadcast(shared, shared.count()), "key", "left_semi")
+    near = stage(near.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("at")), "near")
+    blocks = with_blocks(near)
+    shared = stage(of_several(blocks.select("key", F.xxhash64("line").alias("h"))), "blocks")
+    cut = stage(blocks.join(bounded_broadcast(shared, shared.count()), "key", "left_semi"), "cut")
 
     size = F.length("line")
     whole = F.explode(F.sequence(F.col("left") + 1, F.col("n") - F.col("right")))
