@@ -25,8 +25,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out repeated lines; documents of which no visible line is left go."""
-    out = line_dedup.dedup_lines(docs).withColumn("text", F.col("kept_text")).where(F.length(F.trim("text")) > 0)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))).select(*docs.columns)
+    out = line_dedup.dedup_lines(docs)
+    # a generator gives no row for a text without a visible line, and the lines are worked out once
+    kept = F.explode(F.filter(F.array("kept_text"), lambda t: F.length(F.trim(F.replace(t, F.lit("\n"), F.lit("")))) > 0)).alias("_kept")
+    out = out.select(*[c for c in docs.columns if c != "text"], kept).withColumn("text", F.col("_kept"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("_kept").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
