@@ -123,39 +123,50 @@ def forest_rows(reps: DataFrame) -> DataFrame:
     return reps.select("doc_id", "n_shingles", "sig", "held").mapInArrow(run, "root long, rest binary, doc_id long, n long, low binary")
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """``a, b, agree``: pairs within NEAR places of each other in a sorted region.
+def neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
+    """``node, a, b``: pairs within NEAR places of each other in a sorted region whose signatures agree enough.
 
     Neighbours in the order have the longest common prefixes, so a crowded region is
-    compared at its own greater depth.  The table is dealt by ranges of the whole order: a
-    region of any size is spread over as many tasks as it fills.
+    compared at its own greater depth.  With ``best_only`` each row gives the pair with its best
+    predecessor; without, all pairs of different ``group``.  The table is dealt by ranges of
+    the whole order: a region of any size is spread over as many tasks as it fills.
     """
     least = int(LEAST_AGREEMENT * VALUES)
 
+    def out(node, i, j, agree):
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(agree.astype(np.int32))], names=["node", "a", "b", "agree"])
+
     def run(batches):
         kept = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            root, ids, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+            root, ids, n, group = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 5))
             low = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, VALUES)
             if kept is not None:
-                root, ids, n, low = (np.concatenate([x, y]) for x, y in zip(kept, (root, ids, n, low)))
+                root, ids, n, group, low = (np.concatenate([x, y]) for x, y in zip(kept, (root, ids, n, group, low)))
             old = 0 if kept is None else len(kept[0])
+            best, who = np.zeros(len(ids), np.int64), np.full(len(ids), -1)
             for step in range(1, NEAR + 1):
                 j = np.arange(max(old, step), len(ids))
                 i = j - step
-                ok = (root[i] == root[j]) & (ids[i] != ids[j]) & (100 * np.minimum(n[i], n[j]) >= LINK * np.maximum(n[i], n[j]))
+                ok = (root[i] == root[j]) & (group[i] != group[j]) & (100 * np.minimum(n[i], n[j]) >= LINK * np.maximum(n[i], n[j]))
                 i, j = i[ok], j[ok]
                 for at in range(0, len(i), 4096):
                     x, y = i[at : at + 4096], j[at : at + 4096]
                     agree = (low[x] == low[y]).sum(axis=1)
-                    x, y, agree = x[agree >= least], y[agree >= least], agree[agree >= least]
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(agree.astype(np.int32))], names=["a", "b", "agree"])
-            kept = tuple(x[-NEAR:] for x in (root, ids, n, low))
+                    if best_only:
+                        more = (agree >= least) & (agree > best[y])
+                        best[y[more]], who[y[more]] = agree[more], x[more]
+                    elif (agree >= least).any():
+                        hit = agree >= least
+                        yield out(ids[y[hit]], ids[x[hit]], ids[y[hit]], agree[hit])
+            if best_only and (has := np.flatnonzero(who >= 0)).size:
+                yield out(ids[has], ids[who[has]], ids[has], best[has])
+            kept = tuple(x[-NEAR:] for x in (root, ids, n, group, low))
 
-    return rows.repartitionByRange("root", "rest", "doc_id").sortWithinPartitions("root", "rest", "doc_id").mapInArrow(run, "a long, b long, agree int")
+    order = ["root", "rest", "doc_id"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("root", "rest", "doc_id", "n", "low", "group").mapInArrow(run, "node long, a long, b long, agree int")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int) -> DataFrame:
@@ -180,12 +191,22 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("shared") >= LINK * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
 
+def confirmed(docs: DataFrame, pairs: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(the links among ``pairs``, the sets that were read); ``known`` holds sets read before."""
+    pairs = stage(pairs, "pairs")
+    nodes = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
+    nodes = stage(nodes if known is None else nodes.join(known.select("node"), "node", "left_anti"), "nodes")
+    sets = stage(full_sets(docs, nodes, nodes.count()), "sets")
+    sets = sets if known is None else known.unionByName(sets)
+    return stage(confirm(pairs, sets), "links"), sets
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Groups of near duplicates among ``docs(doc_id, text)``.
 
     Documents with equal shingle sets form a class with the smallest doc_id as its representative;
     the forest finds pairs of representatives, and a pair links only if the full sets confirm it.
-    First each document's best candidate is confirmed, then all candidates between different
+    First each document's best candidate of each order is confirmed, then all candidates between different
     components: pairs inside a component can't change it, so no group of n copies costs n * n.
 
     Returns per row ``doc_id, n_shingles, component_id, kept``.  Null and blank texts have
@@ -204,22 +225,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     regions = stage(regions, "regions")
     held = light.join(bounded_broadcast(regions, regions.count()), "root", "left_semi").groupBy("doc_id").agg(F.collect_list("root").alias("held"))
     crowd = stage(forest_rows(reps.join(held, "doc_id")), "forest")
-    pairs = stage(neighbours(crowd).groupBy("a", "b").agg(F.max("agree").alias("agree")), "pairs")
-
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    nodes = stage(ends.distinct(), "nodes")
-    sets = stage(full_sets(docs, nodes, nodes.count()), "sets")
-    either = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("node"))
-    best = either.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
-    first = stage(confirm(best, sets), "links")
+    best = neighbours(crowd.withColumn("group", F.col("doc_id")), True).groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p"))
+    first, sets = confirmed(docs, best.select("p.a", "p.b").distinct(), None)
     group = stage(components(first), "groups")
-    n = group.count()
-    left = pairs.select("a", "b")
-    for end in "ab":
-        left = left.join(bounded_broadcast(group.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")), n), end, "left")
-    left = left.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
-    second = stage(confirm(left, sets), "links")
-    # components of components: the second round links groups of the first
+    crowd = crowd.join(bounded_broadcast(group, group.count()), F.col("doc_id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "doc_id"))
+    second, _ = confirmed(docs, neighbours(crowd, False).select("a", "b").distinct(), sets)
     joined = stage(components(first.unionByName(second)), "groups") if second.take(1) else group
 
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
