@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,22 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 
 
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links (a, b) and for each the smallest node reachable by them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        least = np.minimum(low[i], low[j])
+        new = low.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = np.minimum(new, new[new])
+        if (new == low).all():
+            return nodes, nodes[low]
+        low = new
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``, the smallest node.
 

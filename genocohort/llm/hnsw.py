@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import components, smallest_reachable, stage
 
 #: Link at this cosine or more.
 LEAST_COSINE = 0.93
@@ -145,22 +145,6 @@ class Graph:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of the links (a, b) and for each the smallest node reachable by them."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    low = np.arange(len(nodes))
-    while True:
-        least = np.minimum(low[i], low[j])
-        new = low.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = np.minimum(new, new[new])
-        if (new == low).all():
-            return nodes, nodes[low]
-        low = new
-
-
 def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links and groups among ``vectors(vec_id, embedding, label)``, within equal labels only.
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, components, stage
+from .common import bounded_broadcast, components, smallest_reachable, stage
 
 #: Words in a shingle; link at 100 * shared >= LINK * union.
 SHINGLE, LINK = 5, 75
@@ -15,6 +15,9 @@ SHINGLE, LINK = 5, 75
 #: following values that an order sorts by, and neighbours that each row meets on either side.
 TREES, FRESH, ROOT, DEPTH, NEAR = 32, 6, 3, 13, 8
 VALUES = TREES * FRESH
+#: Leading values that the rows of a crowd share: two sets alike at 0.75 share them in one of the
+#: orders but for a chance of 2 in 10,000.  Rows of a crowd in a block, two of which meet in a task.
+CROWD, BLOCK = 5, 512
 #: A pair goes on to the exact test if this part of its signature agrees: at a true similarity
 #: of 0.75 the estimate's standard deviation is 0.031, so 0.62 lies over four of them below.
 LEAST_AGREEMENT = 0.62
@@ -124,23 +127,43 @@ def forest_rows(reps: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
-    """``node, a, b``: pairs within NEAR places of each other in a sorted region whose signatures agree enough.
+    """``node, a, b, agree``: pairs within NEAR places of each other in a sorted region whose signatures agree enough.
 
     Neighbours in the order have the longest common prefixes, so a crowded region is
     compared at its own greater depth.  With ``best_only`` each row gives the pair with its best
     predecessor; without, all pairs of different ``group``.  The table is dealt by ranges of
-    the whole order: a region of any size is spread over as many tasks as it fills.
+    the whole order: a region of any size is spread over as many tasks as it fills.  The first and
+    last NEAR rows of every task meet in one more, so no border parts neighbours.
     """
     least = int(LEAST_AGREEMENT * VALUES)
 
+    names = ["root", "rest", "doc_id", "n", "low", "group"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    schema = pa.schema([("node", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("agree", pa.int32()), *zip(names, kinds)])
+
     def out(node, i, j, agree):
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(agree.astype(np.int32))], names=["node", "a", "b", "agree"])
+        none = [pa.nulls(len(node), k) for k in kinds]
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(agree.astype(np.int32)), *none], schema=schema)
+
+    def border(rows):
+        none = [pa.nulls(rows.num_rows, f.type) for f in list(schema)[:4]]
+        return pa.RecordBatch.from_arrays([*none, *(rows.column(k).cast(kind) for k, kind in enumerate(kinds))], schema=schema)
 
     def run(batches):
-        kept = None
+        kept, first, ends = None, 0, []
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if first < NEAR:
+                yield border(head := batch.slice(0, NEAR - first))
+                first += head.num_rows
+            left = NEAR
+            last = []
+            for rows_ in [batch, *reversed(ends)]:
+                if left:
+                    last.insert(0, rows_.slice(max(0, rows_.num_rows - left)))
+                    left -= last[0].num_rows
+            ends = last
             root, ids, n, group = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 5))
             low = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, VALUES)
             if kept is not None:
@@ -164,9 +187,62 @@ def neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
             if best_only and (has := np.flatnonzero(who >= 0)).size:
                 yield out(ids[has], ids[who[has]], ids[has], best[has])
             kept = tuple(x[-NEAR:] for x in (root, ids, n, group, low))
+        for rows_ in ends:
+            yield border(rows_)
 
     order = ["root", "rest", "doc_id"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("root", "rest", "doc_id", "n", "low", "group").mapInArrow(run, "node long, a long, b long, agree int")
+    kind = "node long, a long, b long, agree int, root long, rest binary, doc_id long, n long, low binary, group long"
+    met = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).select(*names).mapInArrow(run, kind), "met")
+    # two borders of a task: a few rows for each task, whatever the table
+    ends = met.where("node is null").select(*names).distinct().coalesce(1).sortWithinPartitions(*order).mapInArrow(run, kind)
+    return met.where("node is not null").unionByName(ends.where("node is not null")).select("node", "a", "b", "agree")
+
+
+def crowd_links(docs: DataFrame, rows: DataFrame, known: DataFrame) -> DataFrame | None:
+    """``a, b``: links between the groups of ``rows`` that lie in crowds, or None if there is no crowd.
+
+    A crowd is a set of more rows of an order than a window reaches, with CROWD leading values in
+    common and more than one group.  All its rows of different groups are compared on their full sets:
+    the crowd is dealt by hash to blocks, and every two blocks meet in a task, which returns a
+    spanning set of the links of its groups.
+    """
+    key = ["root", "head"]
+    held = rows.select("root", F.substring("rest", 1, 2 * (CROWD - ROOT)).alias("head"), "doc_id", "group")
+    size = held.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.min("group").alias("x"), F.max("group").alias("y"))
+    size = stage(size.where((F.col("rows") > NEAR + 1) & (F.col("x") != F.col("y"))).select(*key, F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "crowds")
+    if not (n := size.count()):
+        return None
+    held = stage(held.join(bounded_broadcast(size, n), key).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "crowded")
+    nodes = stage(held.select(F.col("doc_id").alias("node")).distinct().join(known.select("node"), "node", "left_anti"), "nodes")
+    sets = known.unionByName(stage(full_sets(docs, nodes, nodes.count()), "sets"))
+
+    def links(pdf):
+        import pandas as pd
+
+        mine = pdf["block"].to_numpy() == pdf["x"].iloc[0]
+        other = pdf["block"].to_numpy() == pdf["y"].iloc[0]
+        group, found = pdf["group"].to_numpy(), pdf["shingles"].to_list()
+        at = np.flatnonzero(other)
+        n = np.array([len(found[k]) for k in at])
+        values, owner = np.concatenate([found[k] for k in at] or [np.empty(0, np.int64)]), np.repeat(np.arange(len(at)), n)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in np.flatnonzero(mine):
+            own = found[k]
+            low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            many = high - low
+            places = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+            shared = np.bincount(owner[places], minlength=len(at))
+            hit = (group[at] != group[k]) & (100 * shared >= LINK * (len(own) + n - shared))
+            b.append(np.unique(group[at[hit]]))
+            a.append(np.full(len(b[-1]), group[k]))
+        node, least = smallest_reachable(np.concatenate(a), np.concatenate(b))
+        return pd.DataFrame({"a": node, "b": least})
+
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = held.select(*key, "doc_id", "group", "block", other).select(*key, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "group", F.col("doc_id").alias("node"))
+    return stage(dealt.join(sets, "node").groupBy(*key, "x", "y").applyInPandas(links, "a long, b long").where("a <> b").distinct(), "crowd_links")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int) -> DataFrame:
@@ -201,6 +277,11 @@ def confirmed(docs: DataFrame, pairs: DataFrame, known: DataFrame | None) -> tup
     return stage(confirm(pairs, sets), "links"), sets
 
 
+def grouped(rows: DataFrame, group: DataFrame) -> DataFrame:
+    """``rows`` with the component of each document, itself where it has no link."""
+    return rows.join(bounded_broadcast(group, group.count()), F.col("doc_id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "doc_id")).drop("node", "component")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Groups of near duplicates among ``docs(doc_id, text)``.
 
@@ -208,6 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the forest finds pairs of representatives, and a pair links only if the full sets confirm it.
     First each document's best candidate of each order is confirmed, then all candidates between different
     components: pairs inside a component can't change it, so no group of n copies costs n * n.
+    Last, crowds that are wider than the windows are compared in full between their components.
 
     Returns per row ``doc_id, n_shingles, component_id, kept``.  Null and blank texts have
     no shingles and link with nothing, nor does a null doc_id (component null, kept);
@@ -228,9 +310,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = neighbours(crowd.withColumn("group", F.col("doc_id")), True).groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p"))
     first, sets = confirmed(docs, best.select("p.a", "p.b").distinct(), None)
     group = stage(components(first), "groups")
-    crowd = crowd.join(bounded_broadcast(group, group.count()), F.col("doc_id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "doc_id"))
-    second, _ = confirmed(docs, neighbours(crowd, False).select("a", "b").distinct(), sets)
-    joined = stage(components(first.unionByName(second)), "groups") if second.take(1) else group
+    second, sets = confirmed(docs, neighbours(grouped(crowd, group), False).select("a", "b").distinct(), sets)
+    links = first.unionByName(second)
+    joined = stage(components(links), "groups") if second.take(1) else group
+    third = crowd_links(docs, grouped(crowd, joined), sets)
+    if third is not None and third.take(1):
+        joined = stage(components(links.unionByName(third)), "groups")
 
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")

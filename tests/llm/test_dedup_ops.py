@@ -153,3 +153,40 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (2000, 2001, 2002, 2003, 2004, 2005, 2007, None))
     assert got[2008].component_id == 2006
     assert hnsw.near_vectors(df.where("false")).count() == 0
+
+
+def test_near_duplicates_lone_links_in_a_wide_crowd(spark):
+    """Thousands of texts alike at about 0.6 to all others, a few pairs of which are alike at 0.75."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+
+    def edited(words, n):
+        words = list(words)
+        for k in rng.sample(range(len(words) // 5), n):
+            words[5 * k + 2] = f"x{rng.randrange(10**9)}"
+        return words
+
+    texts = [edited(base, 3) for _ in range(4000)]
+    for i in range(0, 400, 2):
+        texts[i + 1] = edited(texts[i], 2)
+        for k in (0, 1, 99):
+            texts[i + 1][k] = f"y{rng.randrange(10**9)}"
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = {i: shingles(t) for i, t in rows}
+    number = {s: k for k, s in enumerate({s for x in sets.values() for s in x})}
+    held = defaultdict(list)
+    for i, x in sets.items():
+        for s in x:
+            held[number[s]].append(i)
+    held = {s: np.array(x) for s, x in held.items()}
+    links = []
+    for i, x in sets.items():
+        shared = sum((np.bincount(held[number[s]], minlength=len(rows)) for s in x), np.zeros(len(rows), int))
+        links += [(i, int(j)) for j in np.flatnonzero(100 * shared >= 75 * (len(x) + np.array([len(sets[k]) for k in range(len(rows))]) - shared)) if j < i]
+    want = {i: i for i in sets}
+    for a, b in sorted(links) * 3:
+        low = min(want[a], want[b])
+        want = {i: low if g in (want[a], want[b]) else g for i, g in want.items()} if want[a] != want[b] else want
+    got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(links) >= 200 and len(set(want.values())) > 3000
+    assert got == want
