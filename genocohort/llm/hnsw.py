@@ -12,8 +12,8 @@ from .common import components, smallest_reachable, stage
 #: Link at this cosine or more.
 LEAST_COSINE = 0.93
 #: Vectors of one label in a shard, links of a vector in a layer, beam while building, first
-#: beam of a query, audited queries of a block, and the recall an audit must reach.
-SHARD_ROWS, LINKS, BUILD_BEAM, BEAM, AUDITED, LEAST_RECALL = 2_000, 12, 48, 32, 24, 0.99
+#: beam of a query, queries with links to others that an audit needs, and the recall it must reach.
+SHARD_ROWS, LINKS, BUILD_BEAM, BEAM, AUDITED, LEAST_RECALL = 2_000, 12, 48, 32, 100, 0.99
 
 
 class Graph:
@@ -115,33 +115,47 @@ class Graph:
         top = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, top, axis=1), np.take_along_axis(sims, top, axis=1)
 
-    def within(self, q: np.ndarray, least: float):
-        """(query, vertex) index pairs of cosine ``least`` or more, by beams that widen until each
-        query's beam reaches below ``least`` and the audit of a sample passes; a beam as wide
-        as the shard is a full scan."""
+    def within(self, q: np.ndarray, least: float, own: bool = False):
+        """(query, vertex) index pairs of cosine ``least`` or more; with ``own`` the queries are the
+        shard's vectors.
+
+        Queries are scanned in full, in a random order, until AUDITED of them have a link to another
+        vector, so that where links are few all are.  The others walk, by beams that widen until each
+        query's beam reaches below ``least`` and the audit passes: of the scanned queries that would
+        end here and have links, LEAST_RECALL must have met all of theirs, and a round in which
+        too few of them end to tell has failed.  A beam as wide as the shard is a full scan."""
         q = q.astype(np.float32)
         n, floor = len(self.v), least - 1e-4
-        audit = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
-        true = q[audit] @ self.v.T >= floor
-        todo, width, found = np.arange(len(q)), BEAM, []
+        true, audit, linked = np.zeros(len(q), np.int64), np.zeros(len(q), bool), np.zeros(len(q), bool)
+        todo, found = np.random.Generator(np.random.PCG64(len(q))).permutation(len(q)), []
+        while len(todo) and linked.sum() < AUDITED:
+            now, todo = todo[:256], todo[256:]
+            a, b = np.nonzero(q[now] @ self.v.T >= floor)
+            found.append((now[a], b))
+            true[now] = np.bincount(a, minlength=len(now))
+            audit[now] = True
+            linked[now] = true[now] > np.bincount(a[now[a] == b], minlength=len(now)) if own else true[now] > 0
+        todo, width = np.sort(todo), BEAM
+        trial = np.flatnonzero(linked)
         while len(todo):
             if 2 * width >= n:
                 a, b = np.nonzero(q[todo] @ self.v.T >= floor)
                 found.append((todo[a], b))
                 break
-            entry = np.full((len(todo), 1), self.order[0])
+            both = np.concatenate([todo, trial])
+            entry = np.full((len(both), 1), self.order[0])
             for layer in range(len(self.adj) - 1, 0, -1):
-                entry = self._beam(q[todo], entry, 4, layer)[0]
-            ids, sims = self._beam(q[todo], entry, width, 0)
+                entry = self._beam(q[both], entry, 4, layer)[0]
+            ids, sims = self._beam(q[both], entry, width, 0)
             hit = sims >= floor
-            full = hit[:, -1]
-            sample = np.isin(todo, audit) & ~full
-            want = true[np.searchsorted(audit, todo[sample])].sum()
-            if want and hit[sample].sum() < LEAST_RECALL * want:
+            full = hit[:, -1].copy()
+            ends = np.flatnonzero(~full & audit[both])
+            if 2 * len(ends) < AUDITED or (hit[ends].sum(axis=1) >= true[both[ends]]).mean() < LEAST_RECALL:
                 full[:] = True  # the audit failed: all queries of this round go on with a wider beam
-            a, b = np.nonzero(hit & ~full[:, None])
-            found.append((todo[a], ids[a, b]))
-            todo, width = todo[full], 4 * width
+            keep = ~full & ~audit[both]
+            a, b = np.nonzero(hit & keep[:, None])
+            found.append((both[a], ids[a, b]))
+            todo, trial, width = both[full & ~audit[both]], both[full & audit[both]], 4 * width
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
@@ -191,7 +205,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, shard_rows: in
                 graph = Graph.__new__(Graph)
                 graph.__dict__.update(pickle.loads(g))
                 (reps, copies, v), (q_reps, _, q) = pickle.loads(base), pickle.loads(queries)
-                i, j = graph.within(q, least)
+                i, j = graph.within(q, least, len(q_reps) == len(reps) and q_reps[0] == reps[0])
                 ok = q_reps[i] != reps[j]
                 i, j = i[ok], j[ok]
                 cos = np.concatenate([np.einsum("ij,ij->i", q[i[k : k + 8192]], v[j[k : k + 8192]]) for k in range(0, len(i), 8192)] or [np.empty(0)])

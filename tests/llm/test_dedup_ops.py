@@ -190,3 +190,35 @@ def test_near_duplicates_lone_links_in_a_wide_crowd(spark):
     got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert len(links) >= 200 and len(set(want.values())) > 3000
     assert got == want
+
+
+def test_vectors_of_few_links_in_full_shards(spark):
+    """Shards of the registered size whose vectors mostly have no link, some one link in any shard."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(6000, 64))
+    for i in range(0, 600, 2):
+        v[i + 1] = v[i] + 0.3 * rng.normal(size=64)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    a, b = np.nonzero(u @ u.T >= 0.93)
+    links = np.bincount(a[a != b], minlength=len(v))
+    df = spark.createDataFrame([(i, [float(c) for c in x], 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: r for r in hnsw.near_vectors(df).collect()}
+    assert hnsw.SHARD_ROWS == 2000 and links.sum() > 300
+    assert [got[i].n_links for i in range(len(v))] == links.tolist()
+    assert all(got[i].component_id == (i - i % 2 if links[i] else i) for i in range(len(v)))
+
+
+def test_vector_audit_notices_cut_off_vertices():
+    """Few queries have a link, each to a vertex that no walk reaches."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(600, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    q = rng.normal(size=(2000, 32))
+    q[5::400] = v[rng.permutation(600)[:5]]
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    want = set(zip(*(x.tolist() for x in np.nonzero(q @ v.T >= 0.93))))
+    graph = hnsw.Graph(v)
+    for layer in graph.adj:
+        layer[np.isin(layer, [b for _, b in want])] = -1
+    a, b = graph.within(q, 0.93)
+    assert len(want) >= 5 and set(zip(a.tolist(), b.tolist())) >= want
