@@ -63,37 +63,81 @@ def test_language_cases(spark, docs, rows, no_docs):
     assert langid.identify(no_docs, tokenizer_file("piece_bpe_32k.model")).count() == 0
 
 
-def test_pseudo_likelihood(docs, rows, no_docs):
-    words, params = lm_score.fit(docs, part=1)
+def plain_score(text, words, spell, params):
+    """One token at a time, in double precision."""
+    known = {w: k for k, w in enumerate(words)}
+    e, v, b, a, ab, m, mb = (p.astype(float) for p in params)
+    parts = (text or "").encode().lower().split()
+    ids = lm_score.Words(words, spell).read([text])[0][0]
+    total = 0.0
+    for k, w in enumerate(parts):
+        seen = [e[ids[k + o]] if 0 <= k + o < len(ids) else e[lm_score.PAD] for o in (-2, -1, 1, 2)]
+        h = np.tanh(np.concatenate(seen) @ v + b)
+        z = a @ h + ab
+        logs = z - np.log(np.exp(z).sum())
+        if w in known:
+            c, k = divmod(known[w], lm_score.MEMBERS)
+            y = m[c] @ h + mb[c]
+            total += logs[c] + y[k] - np.log(np.exp(y).sum())
+        else:
+            total += logs[-1] + sum(spell[x * 257 + y] for x, y in itertools.pairwise([0, *(x + 1 for x in w), 0]))
+    return len(parts), total
+
+
+def test_vocabulary_and_spelling(docs, rows):
     want = Counter(w for _, t, *_ in rows for w in (t or "").encode().lower().split())
-    assert words == sorted(want, key=lambda w: (-want[w], w))[: lm_score.WORDS]
-    got = lm_score.score(docs, part=1).collect()
+    words, spell, params = lm_score.vocabulary(docs)
+    top = sorted(want, key=lambda w: (-want[w], w))
+    assert words == top[: lm_score.WORDS] and len(top) > lm_score.WORDS
+    # the spelling of words outside the vocabulary is a distribution over what may follow each byte
+    letters = np.zeros((257, 257))
+    for w in top[lm_score.WORDS :]:
+        for x, y in itertools.pairwise([0, *(c + 1 for c in w), 0]):
+            letters[x, y] += want[w]
+    letters += 1
+    assert np.allclose(np.exp(spell.reshape(257, 257)), letters / letters.sum(axis=1, keepdims=True))
+
+
+def test_scores_equal_one_token_at_a_time(docs, rows, no_docs):
+    words, spell, params = lm_score.vocabulary(docs)
+    buckets = docs.count() // 20 + 1
+    trained = lm_score.fit(lm_score.read_ids(docs, words, spell, buckets), params, buckets)
+    assert not np.allclose(trained[0], params[0])
+    got = lm_score.score(docs, bucket_rows=20).collect()
     assert len(got) == len(rows)
     text = {i: t for i, t, *_ in rows}
-    classes = lm_score.Classes(words)
-    for r in got[:20]:
-        ids = lm_score.class_ids(text[r.doc_id], classes)
-        total = 0.0
-        for k, own in enumerate(ids):  # one token at a time
-            x = params[1].astype(float)
-            for e, o in zip(params[0], (*range(-3, 0), *range(1, 4))):
-                x = x + e[ids[k + o] if 0 <= k + o < len(ids) else lm_score.CLASSES]
-            z = np.tanh(x) @ params[2] + params[3]
-            total += z[own] - np.log(np.exp(z).sum())
-        assert r.n_tokens == len(ids) and math.isclose(r.pll, total, rel_tol=1e-3, abs_tol=1e-3)
+    for r in got[:40]:
+        n, total = plain_score(text[r.doc_id], words, spell, trained)
+        assert r.n_tokens == n and math.isclose(r.pll, total, rel_tol=1e-3, abs_tol=1e-3)
     assert [(r.n_tokens, r.pll, r.pll_per_token) for r in got if r.doc_id == 500] == [(0, 0.0, None)]
     assert lm_score.score(no_docs).count() == 0
 
 
+def test_layout_does_not_change_scores(docs):
+    words, spell, params = lm_score.vocabulary(docs)
+    layouts = [docs, docs.repartition(2, "text")]
+    one, other = (lm_score.fit(lm_score.read_ids(d, words, spell, 5), params, 5) for d in layouts)
+    assert all(np.array_equal(x, y) for x, y in zip(one, other))
+    one, other = (sorted((str(r.doc_id), r.pll) for r in lm_score.score(d, bucket_rows=20).collect()) for d in layouts)
+    assert all(a == b and math.isclose(x, y, rel_tol=1e-6) for (a, x), (b, y) in zip(one, other, strict=True))
+
+
+def test_probabilities_of_all_tokens_sum_to_one():
+    rng = np.random.default_rng(2)
+    params = [rng.normal(0, 1, p.shape).astype(np.float32) for p in lm_score.fresh(np.arange(50.0), 3.0)]
+    tokens = np.arange(lm_score.WORDS + 1).astype(np.int16)
+    around = np.broadcast_to(rng.integers(0, lm_score.PAD + 1, 4).astype(np.int16), (len(tokens), 4))
+    assert abs(np.exp(lm_score.log_probs(params, tokens, around)).sum() - 1) < 1e-4
+
+
 def test_training_lowers_the_loss():
-    rng = np.random.default_rng(0)
-    ids = [np.array([3, 9, 27, 81] * 50, np.int32), np.array([5, 6] * 80, np.int32)] * 5
+    ids = [np.array([3, 90, 270, 2810] * 50, np.int16), np.array([5, 4100] * 80, np.int16)] * 5
     tokens, around = lm_score.windows(ids)
-    params = lm_score.fresh(np.full(lm_score.CLASSES, -math.log(lm_score.CLASSES)))
+    params = lm_score.fresh(np.zeros(0), 0.0)
     before = lm_score.log_probs(params, tokens, around).mean()
-    for _ in range(5):
+    for _ in range(30):
         lm_score.train(params, [np.full_like(p, 1e-6) for p in params], tokens, around)
-    assert lm_score.log_probs(params, tokens, around).mean() > before + 2 and rng is not None
+    assert lm_score.log_probs(params, tokens, around).mean() > before + 2
 
 
 PAGES = [
