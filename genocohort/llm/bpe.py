@@ -11,12 +11,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts beyond this many characters are encoded in pieces that end at safe boundaries.
-PIECE_CHARS = 65_536
+#: Texts beyond this many characters are encoded in pieces that end at safe boundaries; white space on end
+#: of this many characters is one match, told without the pattern, whose search would need a stack as deep as the run.
+PIECE_CHARS, RUN_CHARS = 65_536, 4_096
+
+# The characters that the split pattern takes for white space.
+_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 #: A place where the split pattern always ends a match: a white-space character after a
 #: character that is none, as white space only ever begins a match of the pattern.
-_SAFE = re.compile(r"(?<=[0-9A-Za-z.,;:!?)])(?=[ \n])")
+_SAFE = re.compile(f"(?<=[^{_WHITE}])(?=[{_WHITE}])")
+_RUN = re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{{RUN_CHARS},}}")
+
+
+def matches_and_rest(text: str):
+    """Cut ``text`` into (part, whether it is one match of the split pattern).
+
+    White space on end is one match but for its last character, if another one follows: that begins a match of its own.
+    """
+    begin = 0
+    for run in _RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        if begin < run.start():
+            yield text[begin : run.start()], False
+        yield text[run.start() : end], True
+        begin = end
+    if begin < len(text) or not text:
+        yield text[begin:], False
 
 
 def pieces(text: str, size: int = PIECE_CHARS):
@@ -44,7 +65,12 @@ class Codec:
         self._bytes = {b: a for a, b in ranks.items()}
 
     def encode(self, text: str) -> np.ndarray:
-        found = [self._enc.encode_to_numpy(p, allowed_special=set(), disallowed_special=()) for p in pieces(text)]
+        found = []
+        for part, whole in matches_and_rest(text):
+            if whole:
+                found.append(np.array(self._enc._encode_single_piece(part), np.uint32))
+            else:
+                found += [self._enc.encode_to_numpy(p, allowed_special=set(), disallowed_special=()) for p in pieces(part)]
         return (found[0] if len(found) == 1 else np.concatenate(found)).astype("<u4", copy=False)
 
     def decode(self, ids) -> bytes:

@@ -39,6 +39,19 @@ def test_bpe_pieces_are_safe():
         assert codec.decode(codec.encode(text).tolist()).decode() == text
 
 
+def test_bpe_long_runs():
+    """Runs of one character, in which the plain library's search fails beyond a length, and what stands around them."""
+    enc = plain_encoding()
+    codec = bpe.Codec(tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern())
+    for c in (" ", "\n", "\t", "\r\n", "\u3000", "\x85", " \n\xa0", "\x1c", "a", "1", "!", "é "):
+        for n in (bpe.RUN_CHARS - 1, bpe.RUN_CHARS, 9_000):
+            for text in (c * n, "x" + c * n, c * n + "x", "x'" + c * n + " 's", c * n + "\u200b" + c * n + "ll"):
+                assert codec.encode(text).tolist() == enc.encode_ordinary(text), (c, n, text[-5:])
+    for c in (" ", "\n", "\t"):
+        for text in (c * 5_000_000, "ab" + c * 5_000_000 + "12"):
+            assert codec.decode(codec.encode(text).tolist()).decode() == text
+
+
 def water(sizes, order, repeats=3):
     weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
     cap = {s: repeats * sizes[s] for s in order}
