@@ -22,12 +22,15 @@ _staged: list[tuple[object, object]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Where it is unset, a session in one process gets a
+    new local folder; any other is an error, as its executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -72,6 +75,49 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def meet(rows: DataFrame, facts: DataFrame, keys: list[str], by: list[str], most: int | None = None, least: int = 2048) -> DataFrame:
+    """``rows`` joined on ``keys`` with ``facts``, which holds each key once and in ``n`` how many of the rows have it.
+
+    Facts of at most ``most`` (BROADCAST_ROWS) rows are broadcast.  Beyond, the rows of a key with more than a
+    50,000th of all of them are dealt by ``by`` over as many tasks as they fill, each with a copy of the key's facts: there
+    are fewer than 50,000 such keys, so that their list is broadcast.  Read ``facts`` from a staged table.
+    """
+    n_facts, total = facts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n_facts <= (BROADCAST_ROWS if most is None else most):
+        return rows.join(F.broadcast(facts.drop("n")), keys)
+    share = max(least, int(total) // 50_000)
+    parts = F.ceil(F.col("n") / share).cast("int")
+    hot = facts.where(F.col("n") > share).select(*keys, parts.alias("_parts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    copies = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), parts) - 1))).drop("n")
+    return dealt.join(copies, [*keys, "_part"]).drop("_part")
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(items: Column, start: Column, step, kind: str, block: int = 64) -> Column:
+    """The state after each item of an array, from ``start`` by ``step(state, item)``; ``kind`` is the state's type.
+
+    Appending to an array copies it, so states are gathered in blocks.
+    """
+
+    def one(acc: Column, x: Column) -> Column:
+        return bound(step(acc["state"], x), lambda s: F.struct(s.alias("state"), F.array_append(acc["out"], s).alias("out")))
+
+    def blocks(found: Column) -> Column:
+        def some(acc: Column, b: Column) -> Column:
+            part = F.aggregate(F.slice(found, b * block + 1, F.lit(block)), F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out")), one)
+            return bound(part, lambda m: F.struct(m["state"].alias("state"), F.array_append(acc["out"], m["out"]).alias("out")))
+
+        at = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.floor((F.size(found) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.aggregate(at, F.struct(start.cast(kind).alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), some)["out"])
+
+    return bound(items, blocks)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

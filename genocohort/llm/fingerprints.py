@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import SPACE_CHARS, SPACE_CLASS
+from .common import SPACE_CHARS, SPACE_CLASS, bound, stage
 
 #: Words in a shingle, and the part of all 64-bit hashes that a sketch keeps: one in SCALE.
 SHINGLE, SCALE = 5, 16
+#: About how many rows a part of the order of doc_id has; beyond a million parts they grow with the table.
+PART_ROWS, PARTS = 2_000, 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -27,11 +29,15 @@ def sketch(hashes: Column, size: int = SHINGLE, scale: int = SCALE) -> Column:
     least hash.  With fewer than ``size`` words the whole sequence is one shingle.
     """
     below = -(2**63) + 2**64 // scale
-    made = F.when(F.size(hashes) == 0, F.array().cast("array<bigint>")).when(F.size(hashes) < size, F.array(F.xxhash64(F.array_join(F.transform(hashes, lambda h: h.cast("string")), " "))))
-    many = F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(*[hashes[i + k] for k in range(size)]))
-    shingles = made.otherwise(many)
-    # an array of one binds the shingles to a name, so that they are computed once
-    return F.transform(F.array(shingles), lambda s: F.array_sort(F.array_distinct(F.filter(F.array_append(F.filter(s, lambda h: h < below), F.array_min(s)), lambda h: h.isNotNull()))))[0]
+
+    def shingles(h: Column) -> Column:
+        made = F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < size, F.array(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " "))))
+        return made.otherwise(F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[h[i + k] for k in range(size)])))
+
+    def least(s: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.filter(F.array_append(F.filter(s, lambda h: h < below), F.array_min(s)), lambda h: h.isNotNull())))
+
+    return bound(bound(hashes, shingles), least)
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -51,55 +57,76 @@ def as_text(found: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, hashes, sketch`` of every whole text; null text counts as empty."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.withColumn("hashes", word_hashes(F.col("text")))
-    return rows.select("doc_id", "text", sketch(F.col("hashes")).alias("sketch"))
-
-
-def bucket_bounds(docs: DataFrame, key: str = "doc_id", rows: int = 20_000, most: int = 1024) -> list:
-    """At most ``most`` quantiles of ``key`` that cut the table into parts of about ``rows`` rows."""
-    n = docs.select(key).count()
-    parts = min(most, n // rows + 1)
-    if parts < 2:
-        return []
-    at = F.percentile_approx(F.col(key).cast("long"), [i / parts for i in range(1, parts)], 20_000)
-    return sorted(set(docs.select(at.alias("q")).first()["q"] or []))
-
-
-def with_next(rows: DataFrame, bounds: list, carry: list[str]) -> DataFrame:
-    """Add ``next_<c>`` for each column of ``carry``: its value in the next row by (doc_id,
-    text), after the last row the first's.  Rows are dealt to parts by ``bounds``; a copy
-    of each part's first row closes the part before it, so no task sees more than a part.
-    A null doc_id comes first; of repeated rows, each one is followed by its repeat."""
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("_part", F.when(F.col("doc_id").isNull(), 0).otherwise(part).cast("int")).withColumn("_copy", F.lit(0))
-    order = ["doc_id", "text"]
-    first = rows.groupBy("_part").agg(F.min(F.struct(*order, *[c for c in carry if c not in order])).alias("r"))
-    whole = W.orderBy("_part")  # one row for each part, at most 1,024
-    first = first.withColumn("_before", F.lag("_part").over(whole)).withColumn("_last", F.max("_part").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    copies = first.select("r.*", F.coalesce("_before", "_last").alias("_part"), F.lit(1).alias("_copy"))
-    closed = rows.unionByName(copies)
-    w = W.partitionBy("_part").orderBy("_copy", *order)
-    for c in carry:
-        closed = closed.withColumn(f"next_{c}", F.lead(c).over(w))
-    return closed.where("_copy = 0").drop("_part", "_copy")
-
-
-def fingerprint_report(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, sketch`` of every whole text; null text counts as empty."""
+    rows = texts_of(docs)
+    return rows.withColumn("sketch", sketch(word_hashes(F.col("text"))))
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def place(bounds: Column, x: Column) -> Column:
+    """How many values of a sorted array, at most 1,023, are ``x`` or less: a binary search."""
+    return F.aggregate(F.array(*[F.lit(2**k) for k in range(9, -1, -1)]), F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= x, at + step).otherwise(at))
+
+
+def with_parts(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Add ``part``: the row's range of doc_id, of about ``part_rows`` rows; null ids make the first one.
+
+    Quantiles cut the table into some hundred stretches and quantiles of each cut these into parts, so
+    that neither list of bounds has more than a thousand values.
+    """
+    n = rows.count()
+    parts = max(1, min(PARTS, n // part_rows))
+    wide = min(1000, int(parts**0.5) + 1)
+    fine = min(1000, parts // wide + 1)
+    at = F.percentile_approx("doc_id", [i / wide for i in range(1, wide)] or [0.5], 20_000)
+    bounds = sorted(set(rows.select(at.alias("q")).first()["q"] or []))
+    stretch = place(F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>"), F.col("doc_id"))
+    rows = rows.withColumn("stretch", F.when(F.col("doc_id").isNull(), -1).otherwise(stretch))
+    inner = rows.groupBy("stretch").agg(F.percentile_approx("doc_id", [i / fine for i in range(1, fine)] or [0.5], 20_000).alias("bounds"))
+    # a row for each of at most 1,001 stretches, with at most 999 bounds
+    inner = stage(inner.withColumn("bounds", F.array_sort(F.array_distinct("bounds"))), "bounds")
+    out = rows.join(F.broadcast(inner), "stretch")
+    part = F.col("stretch").cast("long") * 1024 + F.when(F.col("bounds").isNotNull(), place(F.col("bounds"), F.col("doc_id"))).otherwise(0)
+    return out.withColumn("part", part).drop("stretch", "bounds")
+
+
+def with_next(rows: DataFrame, carry: list[str], add=lambda df: df, part_rows: int = PART_ROWS) -> DataFrame:
+    """``rows(doc_id, text)`` with what ``add`` makes of them and ``next_<c>`` for each column of ``carry``: its
+    value in the next row by (doc_id, text), after the last row the first's.
+
+    A copy of each part's first row closes the part before it, so no task sees more than a part, and ``add`` works
+    on each row once.  A null doc_id comes first; of repeated rows, each one is followed by its repeat.
+    """
+    rows = with_parts(rows, part_rows)
+    first = rows.groupBy("part").agg(F.min("doc_id").alias("first_id"))
+    whole = W.orderBy("part")  # two numbers for each part
+    last = F.max("part").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    first = stage(first.select("part", "first_id", F.coalesce(F.lag("part").over(whole), last).alias("before")), "first")
+    copies = rows.join(F.broadcast(first.withColumnRenamed("part", "own")), (F.col("part") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    copies = copies.groupBy("before", "doc_id").agg(F.min("text").alias("text")).select("doc_id", "text", F.col("before").alias("part"))
+    closed = add(rows.withColumn("copy", F.lit(0)).unionByName(copies.withColumn("copy", F.lit(1))))
+    w = W.partitionBy("part").orderBy("copy", "doc_id", "text")
+    closed = closed.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carry])
+    return closed.where("copy = 0").drop("part", "copy")
+
+
+def fingerprint_report(docs: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Fingerprints of each text and of its edit, whose last half is the next text's start.
 
     One row per row of ``docs(doc_id, text)``: ``doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next`` (containment estimates of
     the smaller sketch) and ``resembles_edited``.  Null text counts as empty; equal texts
-    have equal fingerprints; an only row is its own next; extra columns are not read.
+    have equal fingerprints; an only row is its own next; extra columns are not read; an empty table gives no rows.
     """
-    spread = with_next(fingerprints(docs), bucket_bounds(docs), ["text", "sketch"])
+    sketched = lambda df: df.withColumn("sketch", sketch(word_hashes(F.col("text"))))
+    spread = with_next(texts_of(docs), ["text", "sketch"], sketched, part_rows)
     half = F.floor(F.col("n_chars") / 2).cast("int")
     made = spread.withColumn("n_chars", F.length("text").cast("long"))
     made = made.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    made = made.withColumn("edited_hashes", word_hashes(F.col("edited"))).withColumn("edited_sketch", sketch(F.col("edited_hashes")))
+    made = made.withColumn("edited_sketch", sketch(word_hashes(F.col("edited"))))
     return made.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"), resemblance(F.col("sketch"), F.col("edited_sketch")).alias("resembles_edited"),

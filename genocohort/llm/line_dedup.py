@@ -9,10 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, stage
+from .common import meet, stage
 
-#: Lines with fewer characters are compared exactly: one edit changes what they say.
-MIN_EDIT_CHARS = 20
 #: About how many characters a block has, in which the one edit may fall.
 BLOCK_CHARS = 32
 
@@ -53,7 +51,7 @@ def with_blocks(lines: DataFrame) -> DataFrame:
     length's grid in which the edit falls, so they share a row's hash.
     """
     size = F.length("line")
-    out = lines.where(size >= MIN_EDIT_CHARS).withColumn("n", F.explode(F.array(size, size + 1)))
+    out = lines.withColumn("n", F.explode(F.array(size, size + 1)))
     out = out.withColumn("b", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(2), F.ceil(F.col("n") / BLOCK_CHARS)).cast("int") - 1)))
     out = out.withColumn("left", block_edge(F.col("b"), F.col("n"))).withColumn("right", F.col("n") - block_edge(F.col("b") + 1, F.col("n")))
     start = F.substring(F.col("line"), F.lit(1), F.col("left"))
@@ -62,8 +60,8 @@ def with_blocks(lines: DataFrame) -> DataFrame:
 
 
 def of_several(rows: DataFrame) -> DataFrame:
-    """Keys of ``rows(key, h)`` that more than one ``h`` has."""
-    return rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
+    """Keys of ``rows(key, h)`` that more than one ``h`` has, and in ``n`` how many rows have each."""
+    return rows.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
 
 
 def near_lines(docs: DataFrame) -> DataFrame:
@@ -77,14 +75,14 @@ def near_lines(docs: DataFrame) -> DataFrame:
        are one change apart; without it, a longer line meets the shorter one.
     3. Each key's earliest line is its witness; the edit distance of the pair is verified.
     """
-    lines = lines_of(docs).where(F.length("line") >= MIN_EDIT_CHARS)
+    lines = lines_of(docs)
     halves = lines.select(F.xxhash64("line").alias("h"), F.explode(half_keys(F.col("line"))).alias("key"))
     shared = stage(of_several(halves), "halves")
-    near = lines.withColumn("key", F.explode(half_keys(F.col("line")))).join(bounded_broadcast(shared, shared.count()), "key", "left_semi")
+    near = meet(lines.withColumn("key", F.explode(half_keys(F.col("line")))), shared, ["key"], ["doc_id", "pos"])
     near = stage(near.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("at")), "near")
     blocks = with_blocks(near)
     shared = stage(of_several(blocks.select("key", F.xxhash64("line").alias("h"))), "blocks")
-    cut = stage(blocks.join(bounded_broadcast(shared, shared.count()), "key", "left_semi"), "cut")
+    cut = stage(meet(blocks, shared, ["key"], ["at"]).where("n - right > left"), "cut")
 
     size = F.length("line")
     whole = F.explode(F.sequence(F.col("left") + 1, F.col("n") - F.col("right")))
@@ -110,8 +108,10 @@ def exact_lines(docs: DataFrame) -> DataFrame:
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.split(F.col("text").cast("string"), "\n", -1))).alias("line")).where(F.length(F.trim("line")) > 0)
     lines = lines.select("doc_id", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     # a null doc_id counts as the smallest
-    low = lines.groupBy("h1", "h2").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("low"))
-    return lines.join(low, ["h1", "h2"]).where("doc_id > low").select("doc_id", "h1")
+    whose = F.coalesce("doc_id", F.lit(-(2**63)))
+    low = lines.groupBy("h1", "h2").agg(F.min(whose).alias("low"), F.max(whose).alias("high"), F.count(F.lit(1)).alias("n"))
+    low = stage(low.where("low <> high").select("h1", "h2", "low", "n"), "repeated")
+    return meet(lines, low, ["h1", "h2"], ["doc_id"]).where("doc_id > low").select("doc_id", "h1")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -125,16 +125,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     exact = exact_lines(docs).groupBy("doc_id").agg(F.collect_set("h1").alias("exact"))
     near = near_lines(docs).groupBy("doc_id").agg(F.collect_set("pos").alias("near"))
-    gone = exact.join(near, "doc_id", "full_outer").select(F.col("doc_id").alias("_id"), F.col("exact").alias("_exact"), F.col("near").alias("_near"))
+    gone = exact.join(near, "doc_id", "full_outer").select(F.struct("doc_id", "exact", "near").alias("gone"))
     none = F.array().cast("array<int>")
-    out = docs.select("*", F.col("doc_id").cast("long").alias("_doc")).join(gone, F.col("_doc").eqNullSafe(F.col("_id")), "left")
-    out = out.withColumn("_lines", F.split(F.col("text").cast("string"), "\n", -1))
-    equal = F.filter(F.transform("_lines", lambda line, i: F.when(F.array_contains("_exact", F.xxhash64(line)), i)), lambda i: i.isNotNull())
-    equal = F.when(F.col("_exact").isNull(), none).otherwise(equal)
-    out = out.withColumn("_equal", F.array_distinct(F.concat(equal, repeats(F.col("_lines")))))
-    out = out.withColumn("_near", F.array_except(F.coalesce("_near", none), F.col("_equal")))
-    out = out.withColumn("_gone", F.concat("_equal", "_near"))
-    kept = F.when(F.size("_gone") == 0, F.col("_lines")).otherwise(F.filter("_lines", lambda line, i: ~F.array_contains("_gone", i)))
-    out = out.withColumn("_kept", kept)
     made = ("kept_text", "n_lines", "n_exact", "n_near", "n_kept")
-    return out.select(*[c for c in docs.columns if c not in made], F.array_join("_kept", "\n").alias("kept_text"), F.greatest(F.lit(0), F.size("_lines")).cast("long").alias("n_lines"), F.greatest(F.lit(0), F.size("_equal")).cast("long").alias("n_exact"), F.greatest(F.lit(0), F.size("_near")).cast("long").alias("n_near"), F.greatest(F.lit(0), F.size("_kept")).cast("long").alias("n_kept"))
+    # the input's columns stay in a struct, so that none of them can clash with one made here
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    out = docs.select(F.struct(*rest).alias("row"), F.col("doc_id").cast("long").alias("id"), F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
+    out = out.join(gone, F.col("id").eqNullSafe(F.col("gone.doc_id")), "left").select("row", "lines", F.col("gone.exact").alias("exact"), F.col("gone.near").alias("near"))
+    equal = F.filter(F.transform("lines", lambda line, i: F.when(F.array_contains("exact", F.xxhash64(line)), i)), lambda i: i.isNotNull())
+    equal = F.when(F.col("exact").isNull(), none).otherwise(equal)
+    out = out.withColumn("equal", F.array_distinct(F.concat(equal, repeats(F.col("lines")))))
+    out = out.withColumn("near", F.array_except(F.coalesce("near", none), F.col("equal")))
+    out = out.withColumn("taken", F.concat("equal", "near"))
+    kept = F.when(F.size("taken") == 0, F.col("lines")).otherwise(F.filter("lines", lambda line, i: ~F.array_contains("taken", i)))
+    out = out.withColumn("kept", kept)
+    counts = [F.greatest(F.lit(0), F.size(c)).cast("long").alias(name) for c, name in (("lines", "n_lines"), ("equal", "n_exact"), ("near", "n_near"), ("kept", "n_kept"))]
+    return out.select("row.*", F.array_join("kept", "\n").alias("kept_text"), *counts)

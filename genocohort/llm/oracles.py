@@ -8,7 +8,7 @@ WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 LINES = r"""
 WITH occ AS (SELECT doc_id, CAST(k - 1 AS INT) AS pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL)),
 seen AS (SELECT *, length(trim(line, ' ')) > 0 AS visible, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth, min(doc_id) OVER (PARTITION BY line) AS low FROM occ),
-firsts AS (SELECT line, length(line) AS n, doc_id, pos FROM seen WHERE visible AND doc_id = low AND nth = 1 AND length(line) >= 20),
+firsts AS (SELECT line, length(line) AS n, doc_id, pos FROM seen WHERE visible AND doc_id = low AND nth = 1),
 halves AS (SELECT f.*, m.m, h.h, CASE WHEN h.h = 0 THEN substr(line, 1, CAST(floor(m.m / 2.0) AS INT)) ELSE right(line, m.m - CAST(floor(m.m / 2.0) AS INT)) END AS half FROM firsts f CROSS JOIN (SELECT unnest([0, 1]) AS d) x CROSS JOIN (SELECT unnest([0, 1]) AS h) h CROSS JOIN LATERAL (SELECT f.n + x.d AS m) m),
 pairs AS (SELECT DISTINCT b.doc_id, b.pos, a.line AS x, b.line AS y FROM halves a JOIN halves b ON a.m = b.m AND a.h = b.h AND a.half = b.half AND (a.doc_id, a.pos) < (b.doc_id, b.pos) AND greatest(a.n, b.n) = a.m),
 near AS (SELECT DISTINCT doc_id, pos FROM pairs WHERE CASE WHEN length(x) = length(y) THEN len(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) <= 1

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from genocohort.llm import hnsw, line_dedup, minhash_forest
-from genocohort.llm.common import components
+from genocohort.llm.common import components, meet
 
 
 def within_one(a, b):
@@ -26,7 +26,7 @@ def brute_lines(rows):
     for i, k, line in sorted(occ, key=lambda o: o[:2]):
         first.setdefault(line, (i, k))
     lines = sorted(first, key=first.get)
-    near = {line for x, line in enumerate(lines) if len(line) >= 20 and any(len(e) >= 20 and within_one(e, line) and first[e] < first[line] for e in lines[:x])}
+    near = {line for x, line in enumerate(lines) if any(within_one(e, line) and first[e] < first[line] for e in lines[:x])}
     out = {}
     for i, t in order:
         kept, seen = [], set()
@@ -69,6 +69,31 @@ def test_lines_long_and_crowded(spark, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_short_lines_and_clashing_names(spark):
+    rng = random.Random(9)
+    texts = ["\n".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(90, "zz\n\nz"), (91, "qq")]
+    want = brute_lines(rows)
+    df = spark.createDataFrame([(i, t, *"abcdefghij") for i, t in rows], "doc_id long, text string, id string, row string, lines string, exact string, near string, kept string, equal string, taken string, gone string, `a.b` string")
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == [*df.columns, "kept_text", "n_lines", "n_exact", "n_near", "n_kept"]
+    for r in got.collect():
+        assert r.kept_text == want[r.doc_id, r.text], r.doc_id
+        assert [r[c] for c in df.columns[2:]] == list("abcdefghij")
+
+
+def test_common_lines_are_dealt_over_tasks(spark):
+    """A key with a third of all rows meets its facts in many tasks, with the same rows as a plain join."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("k < 2000")
+    plain = Counter(map(tuple, rows.join(facts.drop("n"), "k").collect()))
+    assert Counter(map(tuple, meet(rows, facts, ["k"], ["id"]).collect())) == plain
+    dealt = meet(rows, facts, ["k"], ["id"], most=0, least=50)
+    assert Counter(map(tuple, dealt.collect())) == plain and dealt.columns == ["k", "id", "low"]
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

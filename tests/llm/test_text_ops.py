@@ -105,30 +105,48 @@ def test_mixed_documents(docs, rows, no_docs):
     assert mixing.plan_mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
+def plain_sketch(text):
+    """Shingle hashes by the xxhash library under the threshold, and the least one."""
+    import xxhash
+
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    words = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in WORD.findall(text.lower())]
+    found = set()
+    for i in range(len(words) - 4):
+        seed = 42
+        for h in words[i : i + 5]:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", h), seed)
+        found.add(signed(seed))
+    if words and not found:
+        found = {signed(xxhash.xxh64_intdigest(" ".join(map(str, words)).encode(), 42))}
+    return {h for h in found if h < -(2**63) + 2**60} | {min(found)} if found else set()
+
+
 def test_fingerprints(docs, rows, no_docs):
-    got = fingerprints.fingerprint_report(docs).collect()
+    got = fingerprints.fingerprint_report(docs, part_rows=7).collect()
     order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    listed = lambda s: ",".join(f"{h & (2**64 - 1):016x}" for h in sorted(s))
+    part = lambda a, b: len(a & b) / min(len(a), len(b)) if a and b else float(not a and not b)
     want = Counter()
     for k, (i, t) in enumerate(order):
         nxt, half = order[(k + 1) % len(order)][1], len(t) // 2
-        want[i, len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    prints = defaultdict(set)
-    text = {i: t or "" for i, t, *_ in rows}
-    for r in got:
-        prints[text[r.doc_id]].add(r.fingerprint)
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.fingerprint or not text[r.doc_id].strip())
-    assert all(len(p) == 1 for p in prints.values())
+        edited = t[: len(t) - half] + nxt[:half]
+        own, other, after = plain_sketch(t), plain_sketch(edited), plain_sketch(nxt)
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), listed(own), listed(other), part(own, other), part(own, after)] += 1
+    assert Counter(tuple(r)[:7] for r in got) == want
     assert fingerprints.fingerprint_report(no_docs).count() == 0
 
 
 def test_next_over_many_parts(spark):
-    rows = [(i * i, f"t{i}") for i in range(200)]
+    rows = [(i * i, f"t{i}") for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    bounds = fingerprints.bucket_bounds(df, rows=10)
-    assert len(bounds) > 10
-    got = {r.doc_id: r.next_text for r in fingerprints.with_next(df, bounds, ["text"]).collect()}
-    assert got == {i * i: f"t{(i + 1) % 200}" for i in range(200)}
+    parts = fingerprints.with_parts(df, 10)
+    sizes = [r["count"] for r in parts.groupBy("part").count().collect()]
+    assert len(sizes) > 150 and max(sizes) < 40
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(df, ["text"], part_rows=10).collect()}
+    assert got == {i * i: f"t{(i + 1) % 2000}" for i in range(2000)}
+    one = df.where("doc_id = 0")
+    assert [tuple(r) for r in fingerprints.with_next(one, ["text"]).collect()] == [(0, "t0", "t0")]
 
 
 def test_sketch_estimates_containment(spark):
@@ -149,21 +167,57 @@ SECRETS = [
 ] + [(20 + i, "key Wq8RtY2uI4oP6aS0dF1gH3jK", f"s{i}") for i in range(6)]
 
 
+def brute_secrets(rows, max_owners=1, max_repositories=3):
+    """(doc_id, counts, base digest, all spans, live, copied) of each row."""
+    pats = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 12), ("access", re.compile("AKIA[A-Z0-9]+"), 18), ("hex", re.compile("[0-9a-f]+"), 16))
+    opaque = re.compile("[A-Za-z0-9+/_=-]{20,}")
+    owners, repositories, made = defaultdict(set), defaultdict(set), []
+    for i, t, s in rows:
+        base = sorted((m.start(), k, m.end(), kind, m[2] if kind == "assign" else m[0]) for k, (kind, p, least) in enumerate(pats) for m in p.finditer(t or "") if len(m[2] if kind == "assign" else m[0]) >= least)
+        free = [(m.start(), 3, m.end(), "opaque", m[0]) for m in opaque.finditer(t or "") if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]")) and not any(b[0] < m.end() and m.start() < b[2] for b in base)]
+        made.append((i, base, free))
+        for f in base + free:
+            owners[f[4]].add(s), repositories[f[4]].add((s, i))
+    out = Counter()
+    for i, base, free in made:
+        live = lambda f: len(owners[f[4]]) <= max_owners and len(repositories[f[4]]) <= max_repositories
+        n, text = Counter(f[3] for f in base), lambda fs: ",".join(f"{f[3]}:{f[0]}:{f[2]}" for f in sorted(fs))
+        spans = set(base + free)
+        out[i, n["assign"], n["access"], n["hex"], hashlib.sha256(text(base).encode()).hexdigest(), text(base + [f for f in free if live(f)]), sum(map(live, spans)), len(spans) - sum(map(live, spans))] += 1
+    return out
+
+
 def test_secrets(spark):
     df = spark.createDataFrame([(*r, 1) for r in SECRETS], "doc_id long, text string, source string, n_hex int")
-    pats = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 12), ("access", re.compile("AKIA[A-Z0-9]+"), 18), ("hex", re.compile("[0-9a-f]+"), 16))
-    want = Counter()
-    for i, t, _ in SECRETS:
-        found = [(m.start(), k, m.end(), kind) for k, (kind, p, least) in enumerate(pats) for m in p.finditer(t or "") if len(m[2] if kind == "assign" else m[0]) >= least]
-        n = Counter(f[3] for f in found)
-        want[i, n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found)).encode()).hexdigest()] += 1
     got = secrets.find_secrets(df).collect()
-    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
+    assert Counter(map(tuple, got)) == brute_secrets(SECRETS)
     spans = {r.doc_id: r.spans for r in got}
     assert spans[6] == "opaque:2:26" and spans[20] == "" and spans[7] == ""
     assert [r.n_copied for r in got if r.doc_id == 21] == [1]
 
 
+def test_secrets_in_random_texts(spark):
+    import random
+
+    rng = random.Random(12)
+    parts = ["token=", "Password : '", "AKIA", "deadbeef01", "é", " ", " ", "\n", "Zz9", "=", "q/Q7", "0123456789abcdef", "api-key", "api_key:"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 300))), f"s{i % 5}") for i in range(60)]
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert Counter(map(tuple, got)) == brute_secrets(rows)
+
+
+def test_secrets_of_a_dump(spark):
+    """Tens of thousands of matches in one text are placed in time that grows with their number."""
+    import time
+
+    rows = [(1, " ".join(f"{i:016x} Zz9Yy8Xx7Ww6Vv5Uu{i:07d}" for i in range(8_000)), "s")]
+    began = time.time()
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert time.time() - began < 60
+    want = [f"{kind}:{at}:{at + size}" for i in range(8_000) for kind, at, size in (("hex", i * 42, 16), ("opaque", i * 42 + 17, 24))]
+    assert got[0].n_hex == 8_000 and got[0].spans == ",".join(want)
+
+
 def test_empty_tables(no_docs):
     assert secrets.find_secrets(no_docs).count() == 0
     assert bpe.encode(no_docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern()).count() == 0
