@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_broadcast, stage
+from .common import ascii_lower, bounded_broadcast, drop_stage, stage
 
 #: (rule, verdict): host and path in one text.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Part of a host's rank that its links hand on, most rounds, change at which rounds end, and how far
-#: distrust must exceed trust before a host is blocked.
-DAMPING, ROUNDS, SETTLED, MARGIN = 0.85, 20, 1e-6, 0.5
-#: A link that names a host.
-LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
+#: Part of a host's rank that its links hand on, change of every host's rank below which the rounds end, and how far
+#: distrust must exceed trust before a host is blocked, in units of a host whose pages are all seeds.
+DAMPING, SETTLED, MARGIN = 0.85, 1e-6, 0.5
+#: The value of a link, and of the base that relative links are resolved against.
+LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*([^"'\s<>]+)"""
+BASE = r"""(?i)<base\b[^<>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
+#: The host of a link that names one; any other link with a scheme (mail, script, data) leads to no host.
+NAMED, SCHEME = "^(?i)(?:[a-z][a-z0-9+.-]*:)?//([^/?#]+)", "^(?i)[a-z][a-z0-9+.-]*:"
 
 
 def host_of(url: Column) -> Column:
@@ -33,34 +36,59 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank of two kinds at once: ``host, kind, score``.
+def link_hosts(pages: DataFrame) -> DataFrame:
+    """``src, dst, n``: links between different hosts of ``pages(host, html)``; relative links lead to the page's
+    base, or without one to its own host."""
+    base = ascii_lower(F.regexp_extract("html", BASE, 1))
+    rows = pages.where("host <> ''").select(F.col("host").alias("src"), F.when(base == "", F.col("host")).otherwise(base).alias("base"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("link"))
+    named = ascii_lower(F.regexp_extract("link", NAMED, 1))
+    dst = F.when(named != "", named).when(~F.col("link").rlike(SCHEME), F.col("base"))
+    return rows.select("src", dst.alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
-    ``edges(src, dst, kind, w)`` carry the part ``w`` of the rank of ``src`` that goes to ``dst``;
-    ``seeds(host, kind, seed)``.  score = seed + damping * what links bring: without links, the seed.
-    Each round is a join and a grouped sum, written out so that lineage stays short.
+
+def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
+    """Personalised PageRank of each kind: ``host, kind, score``.
+
+    ``links(src, dst, kind, n)``; ``seeds(host, kind, seed)``.  In each round a host keeps nothing: it hands ``damping`` of its
+    score on along its links by their number, and the rest, like all of a host without links, teleports to the
+    seeds by their size.  So a kind's scores always add up to its seeds, and without links they are the seeds.
+    Rounds end when no score changes by ``settled`` or more; the change shrinks by ``damping`` or more in each.
+    A round is a join and a grouped sum, written out so that lineage stays short.
     """
-    edges = stage(edges, "edges")
-    rank = stage(seeds.select("host", "kind", F.col("seed").alias("score")), "rank")
+    out = links.groupBy("src", "kind").agg(F.sum("n").alias("out"))
+    edges = stage(links.join(out, ["src", "kind"]).select("src", "dst", "kind", (F.col("n") / F.col("out")).alias("w")), "edges")
+    begin = seeds.select("host", "kind", F.col("seed").alias("score"))
     if not edges.take(1):
-        return rank
-    for _ in range(rounds):
-        moved = edges.join(rank.select(F.col("host").alias("src"), "kind", "score"), ["src", "kind"]).groupBy(F.col("dst").alias("host"), "kind").agg((damping * F.sum(F.col("w") * F.col("score"))).alias("score"))
-        both = seeds.select("host", "kind", F.col("seed").alias("score")).unionByName(moved).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        new = stage(both, "rank")
-        change = new.join(rank.withColumnRenamed("score", "was"), ["host", "kind"], "full_outer").agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
-        rank = new
-        if change is None or change < SETTLED:
-            break
-    return rank
-
-
-def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+        return begin
+    ends = edges.select(F.col("src").alias("host"), "kind", F.lit(0.0).alias("seed"), F.lit(1).alias("linked")).unionByName(edges.select(F.col("dst").alias("host"), "kind", F.lit(0.0).alias("seed"), F.lit(0).alias("linked")))
+    nodes = seeds.select("host", "kind", "seed", F.lit(0).alias("linked")).unionByName(ends)
+    nodes = stage(nodes.groupBy("host", "kind").agg(F.sum("seed").alias("seed"), F.max("linked").alias("linked")), "nodes")
+    rank = nodes.withColumn("score", F.col("seed"))
+
+    def sums(df: DataFrame) -> dict:
+        return {r["kind"]: (r["idle"], r["seed"]) for r in df.groupBy("kind").agg(F.sum(F.when(F.col("linked") == 0, F.col("score")).otherwise(0.0)).alias("idle"), F.sum("seed").alias("seed")).collect()}
+
+    now = sums(rank)
+    while True:
+        moved = edges.join(rank.select(F.col("host").alias("src"), "kind", "score"), ["src", "kind"]).groupBy(F.col("dst").alias("host"), "kind").agg(F.sum(F.col("w") * F.col("score")).alias("got"))
+        back = F.lit(0.0)
+        for kind, (idle, seed) in now.items():  # the two kinds
+            back = F.when(F.col("kind") == kind, F.col("seed") * (idle / seed if seed else 0.0)).otherwise(back)
+        score = (1 - damping) * F.col("seed") + damping * (F.coalesce("got", F.lit(0.0)) + back)
+        new = stage(rank.withColumnRenamed("score", "was").join(moved, ["host", "kind"], "left").select("host", "kind", "seed", "linked", "was", score.alias("score")), "rank")
+        change = new.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0]
+        drop_stage(rank)
+        rank, now = new.drop("was"), sums(new)
+        if change < settled:
+            return rank.select("host", "kind", "score")
+
+
+def judge_urls(pages: DataFrame, rules=RULES, settled: float = SETTLED) -> DataFrame:
     """The verdict on every row of ``pages(page_id, url, html)``.
 
     A rule decides where one fits.  Otherwise the host does: its trust starts from the part of its pages that rules
     allow and flows along links to other hosts; its distrust starts from the part that rules block and
-    flows backwards, to the hosts that link there.  It is blocked if distrust exceeds trust by MARGIN.
+    flows backwards, to the hosts that link there, as ``spread`` says.  It is blocked if distrust exceeds trust by MARGIN.
 
     Returns ``page_id, host, path, rule, verdict, trust, distrust``.  Null urls and those without
     ``://`` have empty host and path, no rule, and are allowed; null html has no links; repeated
@@ -75,13 +103,10 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
     hosts = judged.where("host <> ''").groupBy("host").agg(F.avg(F.when(F.col("verdict") == "allow", 1.0).otherwise(0.0)).alias("trust"), F.avg(F.when(F.col("verdict") == "block", 1.0).otherwise(0.0)).alias("distrust"))
     seeds = stage(hosts.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trust").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("distrust").alias("seed")))).alias("s")).select("host", "s.kind", "s.seed"), "seeds")
-    links = rows.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1))).alias("dst"))
-    links = links.select("src", ascii_lower(F.col("dst")).alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    links = stage(link_hosts(rows), "links")
     ways = links.select(F.explode(F.array(F.struct("src", "dst", F.lit("trust").alias("kind"), "n"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("distrust").alias("kind"), F.col("n")))).alias("e")).select("e.*")
-    out_sum = ways.groupBy("src", "kind").agg(F.sum("n").alias("out"))
-    edges = ways.join(out_sum, ["src", "kind"]).select("src", "dst", "kind", (F.col("n") / F.col("out")).alias("w"))
 
-    rank = spread(edges, seeds)
+    rank = spread(ways, seeds, settled=settled)
     scores = stage(rank.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)).alias("distrust")), "scores")
     out = judged.drop("html").join(bounded_broadcast(scores, scores.count()), "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
