@@ -19,24 +19,32 @@ FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
 LEVELS = "\n".join(
-    f"s{k + 1} AS (SELECT source, block, shard * 2 + CAST(row_number() OVER (PARTITION BY shard ORDER BY md5('mix-1|split{k}|' || coalesce(source, chr(0)) || '|' || CAST(block AS VARCHAR)), source, block) > ceil(count(*) OVER (PARTITION BY shard) / 2) AS INT) AS shard FROM s{k}),"
+    f"u{k} AS (SELECT source, node, unnest(range(1, quota + 1)) AS ball FROM t{k} WHERE quota > 0),"
+    f"t{k + 1} AS (SELECT source, node, CAST(count(*) AS BIGINT) AS quota FROM (SELECT source, node * 2 + CASE WHEN row_number() OVER (PARTITION BY node ORDER BY md5('mix-1|split{k}|' || CAST(node AS VARCHAR) || '|' || coalesce(source, chr(0)) || '|' || CAST(ball AS VARCHAR)), source, ball) <= ceil(count(*) OVER (PARTITION BY node) / 2) THEN 0 ELSE 1 END AS node FROM u{k}) GROUP BY source, node),"
     for k in range(4)
 )
 
-#: Targets by prefix sums over cap / weight; draws by md5 of the seed and the row; the tree by four ranked halvings.
+#: Targets by prefix sums over cap / weight; draws by md5 of the seed; four levels of halves drawn from urns; the pieces of
+#: each row by the block edges in it.
 MIX = rf"""
-WITH rows_ AS (SELECT doc_id, source, len({WORDS.format("text")}) AS size, md5('mix-1|row|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
+WITH rows_ AS (SELECT doc_id, source, len({WORDS.format("text")}) AS size, md5('mix-1|row|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, chr(0)) || '|' || md5(coalesce(text, ''))) AS key FROM documents),
 sized AS (SELECT source, CAST(sum(coalesce(size, 0)) AS BIGINT) AS source_size FROM rows_ GROUP BY source),
 weighed AS (SELECT *, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS w, 3 * source_size AS cap FROM sized),
 ordered AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS share FROM weighed),
 targets AS (SELECT source, source_size, least(max(CASE WHEN rest / share * w <= cap THEN rest / share END) OVER () * w, CAST(cap AS DOUBLE)) AS target FROM ordered),
-quotas AS (SELECT *, CAST(ceil(greatest(1, sum(CAST(round(target) AS BIGINT)) OVER ()) / 16384) AS BIGINT) AS bw FROM targets),
-s0 AS (SELECT source, unnest(range(0, CAST(ceil(round(target) / bw) AS BIGINT))) AS block, 0 AS shard FROM quotas WHERE round(target) > 0),
+words_ AS (SELECT *, CAST(round(target) AS BIGINT) AS goal, CAST(ceil(greatest(1, sum(CAST(round(target) AS BIGINT)) OVER ()) / 4096) AS BIGINT) AS bw FROM targets),
+quotas AS (SELECT *, CAST(ceil(goal / bw) AS BIGINT) AS quota FROM words_),
+t0 AS (SELECT source, 0 AS node, quota FROM quotas WHERE quota > 0),
 {LEVELS}
-placed AS (SELECT r.doc_id, coalesce(r.size, 0) AS size, r.source, q.source_size, q.target, q.bw, coalesce(sum(coalesce(r.size, 0)) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin_ FROM rows_ r JOIN quotas q ON q.source IS NOT DISTINCT FROM r.source),
-passes AS (SELECT *, greatest(0, least(size, CAST(round(target) AS BIGINT) - begin_)) AS w0, greatest(0, least(size, CAST(round(target) AS BIGINT) - source_size - begin_)) AS w1, greatest(0, least(size, CAST(round(target) AS BIGINT) - 2 * source_size - begin_)) AS w2 FROM placed)
-SELECT p.doc_id, p.size, p.source_size, p.target, CAST(p.w0 + p.w1 + p.w2 AS BIGINT) AS taken, a.shard AS shard_0, b.shard AS shard_1, c.shard AS shard_2 FROM passes p
-LEFT JOIN s4 a ON a.source IS NOT DISTINCT FROM p.source AND p.w0 > 0 AND a.block = CAST(floor(p.begin_ / p.bw) AS BIGINT) LEFT JOIN s4 b ON b.source IS NOT DISTINCT FROM p.source AND p.w1 > 0 AND b.block = CAST(floor((p.source_size + p.begin_) / p.bw) AS BIGINT) LEFT JOIN s4 c ON c.source IS NOT DISTINCT FROM p.source AND p.w2 > 0 AND c.block = CAST(floor((2 * p.source_size + p.begin_) / p.bw) AS BIGINT)
+slots AS (SELECT source, node AS shard, unnest(range(upto - quota + 1, upto + 1)) AS k FROM (SELECT *, CAST(sum(quota) OVER (PARTITION BY source ORDER BY node) AS BIGINT) AS upto FROM t4)),
+permuted AS (SELECT source, block, row_number() OVER (PARTITION BY source ORDER BY md5('mix-1|block|' || coalesce(source, chr(0)) || '|' || CAST(block AS VARCHAR)), block) AS k FROM (SELECT source, unnest(range(0, quota)) AS block FROM quotas WHERE quota > 0)),
+dealt AS (SELECT p.source, p.block, s.shard FROM permuted p JOIN slots s ON s.source IS NOT DISTINCT FROM p.source AND s.k = p.k),
+placed AS (SELECT row_number() OVER () AS row_id, r.doc_id, coalesce(r.size, 0) AS size, r.source, q.source_size, q.target, q.goal, q.bw, CAST(coalesce(sum(coalesce(r.size, 0)) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begin_ FROM rows_ r JOIN quotas q ON q.source IS NOT DISTINCT FROM r.source),
+passes AS (SELECT row_id, source, bw, pass, pass * source_size + begin_ AS at_, least(size, goal - pass * source_size - begin_) AS words FROM placed CROSS JOIN (SELECT unnest([0, 1, 2]) AS pass)),
+cut AS (SELECT *, unnest(range(at_ // bw, (at_ + words - 1) // bw + 1)) AS block FROM passes WHERE words > 0),
+pieces AS (SELECT c.row_id, c.pass, c.block, d.shard, greatest(0, c.block * c.bw - c.at_) AS from_, least(c.words, (c.block + 1) * c.bw - c.at_) AS to_ FROM cut c JOIN dealt d ON d.source IS NOT DISTINCT FROM c.source AND d.block = c.block),
+joined AS (SELECT row_id, CAST(sum(to_ - from_) AS BIGINT) AS taken, string_agg(concat_ws(':', pass, block, shard, from_, to_), ',' ORDER BY pass, block) AS pieces FROM pieces GROUP BY row_id)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(j.taken, 0) AS taken, coalesce(j.pieces, '') AS pieces FROM placed p LEFT JOIN joined j USING (row_id)
 """
 
 SHINGLES = rf"""

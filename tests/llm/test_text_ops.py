@@ -66,7 +66,7 @@ def water(sizes, order, repeats=3):
     return held
 
 
-def test_mix_meets_targets(docs, rows):
+def test_mix_meets_targets(spark, docs, rows):
     got = mixing.plan_mix(docs, shards=4, blocks=64, part_rows=3).collect()
     assert len(got) == len(rows)
     sizes = defaultdict(int)
@@ -76,32 +76,54 @@ def test_mix_meets_targets(docs, rows):
     taken = defaultdict(int)
     for r in got:
         assert 0 <= r.taken <= 3 * r["size"] and r.source_size == sizes[r.source] and abs(r.target - target[r.source]) < 1e-6
-        assert (r.shard_0 is not None) == (r.words_0 > 0)
+        assert r.taken == sum(p["to"] - p["from"] for p in r.pieces) and all(0 <= p["from"] < p["to"] <= r["size"] for p in r.pieces)
         taken[r.source] += r.taken
     assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    # every (source, shard) gets the words of its quota of blocks: each block once, and whole
+    words = -(-sum(round(t) for t in target.values()) // 64)
+    blocks, shard = Counter(), {}
+    for r in got:
+        for p in r.pieces:
+            blocks[r.source, p["block"]] += p["to"] - p["from"]
+            assert shard.setdefault((r.source, p["block"]), p["shard"]) == p["shard"]
+    for s, t in target.items():
+        assert [blocks[s, b] for b in range(-(-round(t) // words))] == [min(words, round(t) - b * words) for b in range(-(-round(t) // words))]
+    quotas = spark.createDataFrame([(s, -(-round(t) // words)) for s, t in target.items()], "source string, quota long")
+    assert {(r.source, r.shard): r.quota for r in mixing.split_tree(quotas, 4).collect()} == Counter((s, k) for (s, _), k in shard.items())
     again = mixing.plan_mix(docs.repartition(3), shards=4, blocks=64, part_rows=3).collect()
-    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
-
-
-def test_mix_splits_quotas_evenly(spark):
-    blocks = spark.createDataFrame([("a", i) for i in range(60)] + [("b", i) for i in range(20)] + [(None, 0)], "source string, block long")
-    n = Counter((r.source, r.shard) for r in mixing.split_tree(blocks, 8).collect())
-    assert sum(n.values()) == 81
-    each = Counter()
-    for (_, shard), k in n.items():
-        each[shard] += k
-    assert max(each.values()) - min(each.values()) <= 1 and sorted(each) == list(range(8))
-
-
-def test_mixed_documents(docs, rows, no_docs):
-    plan = {r.doc_id: r.taken for r in mixing.plan_mix(docs).collect()}
-    out = mixing.mixed_documents(docs)
-    assert out.columns == docs.columns
-    got = Counter()
+    assert Counter(map(str, got)) == Counter(map(str, again))
+
+
+def test_tree_draws_hypergeometric_counts(spark):
+    quotas = spark.createDataFrame([("a", 60), ("b", 20), (None, 1), ("d", 0)], "source string, quota long")
+    tree = mixing.split_tree(quotas, 8).collect()
+    held, each = Counter(), Counter()
+    for r in tree:
+        held[r.source] += r.quota
+        each[r.shard] += r.quota
+    assert held == {"a": 60, "b": 20, None: 1} and max(each.values()) - min(each.values()) <= 1 and sorted(each) == list(range(8))
+    dealt = {r.source: r.shards for r in mixing.deal_blocks(quotas, mixing.split_tree(quotas, 8)).collect()}
+    assert {(s, x): c for s, xs in dealt.items() for x, c in Counter(xs).items()} == {(r.source, r.shard): r.quota for r in tree}
+
+
+def test_mixed_documents(spark, docs, rows, no_docs):
+    df = docs.withColumn("piece", docs.extra).withColumn("key", docs.extra)
+    plan = mixing.plan_mix(df, blocks=64).collect()
+    out = mixing.mixed_documents(df, blocks=64)
+    assert out.columns == df.columns
+    got, want, words = Counter(), Counter(), defaultdict(set)
     for r in out.collect():
-        got[r.doc_id] += len(WORD.findall(r.text))
-    once = {i for i, k in Counter(r[0] for r in rows).items() if k == 1}
-    assert {i: k for i, k in got.items() if i in once} == {i: k for i, k in plan.items() if k and i in once}
+        got[r.doc_id, r.source] += len(WORD.findall(r.text))
+        words[r.doc_id] |= set(WORD.findall(r.text))
+        assert r.n_chars == len(r.text) and r.piece == r.key == "x"
+    for r in plan:
+        want[r.doc_id, r.source] += r.taken
+    assert got == +want and sum(len(r.pieces) for r in plan) > sum(r.taken > 0 for r in plan)
+    assert all(words[i] <= {w for j, t, *_ in rows if j == i for w in WORD.findall(t or "")} for i in words)
+    # what is taken of a row in a pass, piece by piece, is its text
+    one = spark.createDataFrame([(1, " a  b\nc d  e ", "s"), (2, "x y", "t"), (2, "x y", "t"), (2, "z", "t")], "doc_id long, text string, source string")
+    made = Counter((r.doc_id, r.text) for r in mixing.mixed_documents(one, blocks=2, shards=2).collect())
+    assert sum(len(WORD.findall(t)) * k for (_, t), k in made.items()) == sum(r.taken for r in mixing.plan_mix(one, blocks=2, shards=2).collect())
     assert mixing.plan_mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
