@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_stage, stage
+
 #: The fit reads a hash sample of about this many labelled documents, whole.
 FIT_ROWS = 4_000
-#: Rounds of expectation-maximisation, longest piece, longest word stretch (longer words are
-#: cut into stretches), probability of a character outside the vocabulary, smoothing.
-ROUNDS, PIECE, STRETCH, UNKNOWN, SMOOTH = 3, 12, 24, 1e-7, 0.05
+#: Rounds of expectation-maximisation, probability of a character outside the vocabulary, smoothing, characters
+#: after which running probabilities are scaled anew.
+ROUNDS, UNKNOWN, SMOOTH, STEP = 3, 1e-7, 0.05, 16
 #: Distinct words whose scores a task remembers before it starts anew.
 WORD_CACHE = 300_000
 
@@ -30,17 +32,14 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in found if 0 < len(p) <= PIECE and p.removeprefix(_START).isalpha() or p == _START)
+    return sorted(p for p in found if p.removeprefix(_START).isalpha() or p == _START)
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters and marks, lower-cased, cut into stretches."""
+    """Runs of letters and marks, lower-cased."""
     import regex
 
-    found = regex.findall(r"[\p{L}\p{M}]+", text.lower())
-    if any(len(w) > STRETCH for w in found):
-        found = [w[i : i + STRETCH] for w in found for i in range(0, len(w), STRETCH)]
-    return found
+    return regex.findall(r"[\p{L}\p{M}]+", text.lower())
 
 
 class Lattice:
@@ -50,7 +49,8 @@ class Lattice:
         hashes = np.array([self._hash(p) for p in pieces], np.uint64)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
+        self.power = np.array([pow(int(_BASE), k, 2**64) for k in range(self.longest + 1)], np.uint64)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -60,47 +60,64 @@ class Lattice:
                 h = (h + np.uint64(ord(c))) * _BASE
         return h
 
-    def spans(self, words: list[str]):
-        """For words of one length: (begin, end, piece ids), the id n for no piece, n + 1 for an
-        unknown single character."""
-        codes = np.array([[ord(c) for c in _START + w] for w in words], np.uint64)
-        length = codes.shape[1]
-        out = []
-        for i in range(length):
-            h = np.zeros(len(words), np.uint64)
-            for j in range(i, min(length, i + PIECE)):
-                h = (h + codes[:, j]) * _BASE
-                at = np.minimum(np.searchsorted(self.hashes, h), self.n - 1)
-                ids = np.where(self.hashes[at] == h, self.order[at], self.n + (j == i))
-                out.append((i, j + 1, ids))
-        return length, out
+    def prefixes(self, words: list[str]) -> np.ndarray:
+        """Hashes of the beginnings of words of one length, a row for each number of characters."""
+        codes = np.array([np.frombuffer((_START + w).encode("utf-32-le"), np.uint32) for w in words]).T
+        out = np.zeros((len(codes) + 1, len(words)), np.uint64)
+        for j, c in enumerate(codes):
+            out[j + 1] = (out[j] + c) * _BASE
+        return out
+
+    def ends(self, prefix: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """Ids (place, longest, words) of the pieces that end at places ``begin`` to ``end`` - 1, the longest first; the id
+        n for no piece, n + 1 for an unknown single character."""
+        out = np.full((end - begin, self.longest, prefix.shape[1]), self.n)
+        for size in range(1, self.longest + 1):
+            first = max(begin, size)
+            if first >= end:
+                break
+            h = prefix[first:end] - prefix[first - size : end - size] * self.power[size]
+            at = np.minimum(np.searchsorted(self.hashes, h), self.n - 1)
+            out[first - begin :, self.longest - size] = np.where(self.hashes[at] == h, self.order[at], self.n + (size == 1))
+        return out
 
     def forward(self, words: list[str], table: np.ndarray) -> np.ndarray:
-        """log P(word) for each word and column of ``table`` (pieces, none, unknown) x languages."""
-        length, spans = self.spans(words)
-        alpha = np.zeros((length + 1, len(words), table.shape[1]))
-        alpha[0] = 1
-        for i, j, ids in sorted(spans, key=lambda s: s[0]):
-            if (hit := ids != self.n).any():
-                if hit.all():
-                    alpha[j] += alpha[i] * table[ids]
-                else:
-                    alpha[j][hit] += alpha[i][hit] * table[ids[hit]]
-        return np.log(np.maximum(alpha[length], 1e-300))
+        """log P(word) for each word of one length and column of ``table`` (pieces, none, unknown) x languages."""
+        prefix = self.prefixes(words)
+        length, wide = len(prefix) - 1, self.longest
+        alpha, scale = np.zeros((wide + STEP, len(words), table.shape[1])), 0.0
+        alpha[wide - 1] = 1
+        for begin in range(1, length + 1, STEP):
+            ids = self.ends(prefix, begin, min(begin + STEP, length + 1))
+            for k, pieces in enumerate(ids):
+                alpha[wide + k] = (alpha[k : k + wide] * table[pieces]).sum(axis=0)
+            alpha[:wide] = alpha[len(ids) : len(ids) + wide].copy()
+            if begin + STEP <= length:
+                most = alpha[:wide].max(axis=0)
+                alpha[:wide] /= most
+                scale = scale + np.log(most)
+        return np.log(alpha[wide - 1]) + scale
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected counts of pieces in words that occur ``counts`` times, under ``p``."""
-        length, spans = self.spans(words)
-        alpha, beta = np.zeros((length + 1, len(words))), np.zeros((length + 1, len(words)))
-        alpha[0] = beta[length] = 1
-        for i, j, ids in spans:
-            alpha[j] += alpha[i] * p[ids]
-        for i, j, ids in reversed(spans):
-            beta[i] += beta[j] * p[ids]
-        out = np.zeros(len(p))
-        share = counts / np.maximum(alpha[length], 1e-300)
-        for i, j, ids in spans:
-            out += np.bincount(ids, alpha[i] * p[ids] * beta[j] * share, len(p))
+        """Expected counts of pieces in words of one length that occur ``counts`` times, under ``p``; in logarithms."""
+        prefix, wide = self.prefixes(words), self.longest
+        length = len(prefix) - 1
+        with np.errstate(divide="ignore"):
+            logs = np.log(p)
+        alpha = np.full((length + 1 + wide, len(words)), -np.inf)  # place j is row j + wide
+        beta, out = np.full_like(alpha, -np.inf), np.zeros(len(p))  # place j is row j
+        alpha[wide], beta[length] = 0, 0
+        for begin in range(1, length + 1, STEP):
+            for k, pieces in enumerate(self.ends(prefix, begin, min(begin + STEP, length + 1)), begin):
+                alpha[wide + k] = np.logaddexp.reduce(alpha[k : k + wide] + logs[pieces], axis=0)
+        for begin in reversed(range(1, length + 1, STEP)):
+            ids = self.ends(prefix, begin, min(begin + STEP, length + 1))
+            for k in reversed(range(begin, begin + len(ids))):
+                ways = logs[ids[k - begin]] + beta[k]
+                seen = np.exp(alpha[k : k + wide] + ways - alpha[wide + length])
+                out += np.bincount(ids[k - begin].ravel(), (seen * counts).ravel(), len(p))
+                low = max(0, k - wide)
+                beta[low:k] = np.logaddexp(beta[low:k], ways[wide - (k - low) :])
         return out
 
 
@@ -113,27 +130,13 @@ def by_length(words: list[str], most: int = 20_000):
             yield ks[at : at + most]
 
 
-def fit_language(pieces: list[str], words: list[str], counts: np.ndarray) -> np.ndarray:
-    """Piece probabilities of one language from its word counts, with unknown last."""
-    lattice = Lattice(pieces)
-    p = np.full(len(pieces) + 2, 1.0 / len(pieces))
-    for _ in range(ROUNDS):
-        p[-2:] = 0, UNKNOWN
-        seen = np.zeros_like(p)
-        for ks in by_length(words):
-            seen += lattice.expected([words[k] for k in ks], counts[ks], p)
-        p = seen + SMOOTH
-        p[:-2] /= p[:-2].sum()
-    p[-2:] = 0, UNKNOWN
-    return p
-
-
 def fit(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS) -> tuple[list[str], list[str], np.ndarray]:
     """(languages, pieces, table) from rows with text and lang whose split is not held out.
 
     The sample is the rows whose doc_id hash lies under a threshold that about ``fit_rows`` of
-    the eligible rows meet; whole texts count.  Word counts are made in Spark, and a
-    task for each language fits it.
+    the eligible rows meet; whole texts count.  Word counts are made in Spark.  In each round of
+    expectation-maximisation the tasks work out the expected counts of their words' pieces and Spark adds them up; the
+    driver holds the table of languages by pieces.
     """
     rows = docs.where("text is not null and lang is not null and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     share = min(1.0, fit_rows / max(1, rows.count()))
@@ -150,18 +153,34 @@ def fit(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS) -> tupl
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in flat], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
     counts = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = stage(counts, "words")
     pieces = vocabulary(vocabulary_path)
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    table = np.full((len(pieces) + 2, len(langs)), 1.0 / len(pieces))
+    table[-2:] = [[0.0], [UNKNOWN]]
 
-    def one(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("word")
-        p = fit_language(pieces, list(pdf["word"]), pdf["n"].to_numpy(float))
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "p": [p]})
-
-    found = sorted((r["lang"], r["p"]) for r in counts.groupBy("lang").applyInPandas(one, "lang string, p array<double>").collect())
-    table = np.array([p for _, p in found]).T if found else np.zeros((len(pieces) + 2, 0))
-    return [lang for lang, _ in found], pieces, table
+    def pieces_seen(batches):
+        lattice, seen = Lattice(pieces), np.zeros(table.shape)
+        for batch in batches:
+            of, words, n = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            for k, lang in enumerate(langs):
+                mine = [i for i, x in enumerate(of) if x == lang]
+                for part in by_length([words[i] for i in mine]):
+                    at = [mine[i] for i in part]
+                    seen[:, k] += lattice.expected([words[i] for i in at], n[at].astype(float), table[:, k])
+        # whole numbers of 1 / 2**20, whose sum doesn't depend on the order
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.rint(seen.ravel()[at] * 2**20).astype(np.int64))], names=["at", "n"])
+
+    for _ in range(ROUNDS if langs else 0):
+        found = counts.mapInArrow(pieces_seen, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        new = np.zeros(table.size)
+        new[[r["at"] for r in found]] = [r["n"] / 2**20 for r in found]
+        new = new.reshape(table.shape) + SMOOTH
+        table = new / new[:-2].sum(axis=0)
+        table[-2:] = [[0.0], [UNKNOWN]]
+    drop_stage(counts)
+    return langs, pieces, table
 
 
 def identify(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS) -> DataFrame:

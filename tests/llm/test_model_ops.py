@@ -39,6 +39,40 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [total("abab"), total("bbac")])
     seen = langid.Lattice(pieces).expected(["abab"], np.array([2.0]), table[:, 0])
     assert math.isclose(sum(seen[i] * len(s) for i, s in enumerate(pieces)), 2 * 5, rel_tol=1e-9)
+    # expected counts are the gradient of the log probability by the logarithms of the pieces' probabilities
+    for i in range(len(pieces)):
+        up = table[:, :1].copy()
+        up[i] *= 1 + 1e-6
+        slope = (langid.Lattice(pieces).forward(["abab"], up) - langid.Lattice(pieces).forward(["abab"], table[:, :1])) / 1e-6
+        assert math.isclose(2 * slope[0, 0], seen[i], abs_tol=1e-4)
+    # text without spaces is segmented whole, however long: pieces may stand across every place
+    word = "".join(rng.choice(list("abc"), 700))
+    logs = np.full((702, 2), -np.inf)
+    logs[0] = 0
+    for j in range(1, 702):
+        for k in range(1, min(j, 3) + 1):
+            piece = ("▁" + word)[j - k : j]
+            if piece in p or k == 1:
+                logs[j] = np.logaddexp(logs[j], logs[j - k] + np.log(p.get(piece, table[-1])))
+    assert np.allclose(langid.Lattice(pieces).forward([word], table)[0], logs[-1])
+    seen = langid.Lattice(pieces).expected([word], np.array([1.0]), table[:, 0])
+    assert math.isclose(sum(seen[i] * len(s) for i, s in enumerate(pieces)) + seen[-1], 701, rel_tol=1e-9)
+
+
+def test_fit_equals_plain_expectation_maximisation(spark, docs, rows):
+    import zlib
+
+    langs, pieces, table = langid.fit(docs, tokenizer_file("piece_bpe_32k.model"))
+    assert langs == ["de", "en"] and max(map(len, pieces)) > 12
+    lattice = langid.Lattice(pieces)
+    for k, lang in enumerate(langs):
+        n = Counter(w for i, t, la, *_ in rows if la == lang and i is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2 for w in langid.words_of(t))
+        p = np.full(len(pieces) + 2, 1 / len(pieces))
+        for _ in range(langid.ROUNDS):
+            p[-2:] = 0, langid.UNKNOWN
+            p = sum((lattice.expected([w], np.array([c]), p) for w, c in n.items()), np.full(len(p), langid.SMOOTH))
+            p /= p[:-2].sum()
+        assert np.allclose(p[:-2], table[:-2, k], rtol=1e-3, atol=1e-9)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
