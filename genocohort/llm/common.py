@@ -61,6 +61,12 @@ def drop_stage(df: DataFrame) -> None:
             return
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a written table."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _drop_all() -> None:
     for fs, where in _staged:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, smallest_reachable, stage
+from .common import components, meet, smallest_reachable, stage
 
 #: Link at this cosine or more.
 LEAST_COSINE = 0.93
@@ -219,7 +219,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, shard_rows: in
     counts = links.groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("rep"), "n")
     groups = components(links.select("a", "b")).select(F.col("node").alias("rep"), "component")
     known = classes.join(counts, "rep", "left").join(groups, "rep", "left")
-    known = known.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    out = rows.withColumn("label", F.when(fit, F.col("label"))).join(known, ["label", "v"], "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    known = known.select("label", "v", F.col("copies").alias("n"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    out = meet(good, stage(known, "known"), ["label", "v"], ["vec_id"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where(~F.coalesce(fit, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

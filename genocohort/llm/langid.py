@@ -184,7 +184,7 @@ def fit(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS) -> tupl
 
 
 def identify(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The language of every whole text: ``doc_id, held_out, lang_pred, score, n_words, fitness``.
+    """The language of every whole text: ``doc_id, text_hash, held_out, lang_pred, score, n_words, fitness``.
 
     ``score`` is the posterior probability under equal priors; ``fitness`` the mean log
     probability of a character in that language.  ``und`` with score 0 for null texts and those
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS) ->
     extra columns are not read.
     """
     langs, pieces, table = fit(docs, vocabulary_path, fit_rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("fitness", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64()), ("fitness", pa.float64())])
 
     def run(batches):
         lattice = Lattice(pieces)
@@ -202,7 +202,7 @@ def identify(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = [words_of(t or "") for t in part.column(2).to_pylist()]
+                texts = [words_of(t or "") for t in part.column(3).to_pylist()]
                 if len(rows) > WORD_CACHE:
                     rows, scores = {}, np.empty((0, len(langs)))
                 new = list({w for ws in texts for w in ws if w not in rows})
@@ -223,7 +223,9 @@ def identify(docs: DataFrame, vocabulary_path: str, fit_rows: int = FIT_ROWS) ->
                     pred.append(langs[best])
                     score.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
                     fitness.append(float(total[best] / sum(len(w) + 1 for w in ws)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(fitness, pa.float64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(fitness, pa.float64())], schema=schema)
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long, fitness double")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), held.alias("held_out"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, held_out boolean, lang_pred string, score double, n_words long, fitness double")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, components, smallest_reachable, stage
+from .common import bounded_broadcast, components, meet, smallest_reachable, stage
 
 #: Words in a shingle; link at 100 * shared >= LINK * union.
 SHINGLE, LINK = 5, 75
@@ -76,21 +76,21 @@ def roots(values: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, digest, sig`` of every whole text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
+    """``doc_id, text_hash, n_shingles, digest, sig`` of every whole text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
 
     def run(batches):
         import xxhash
 
         words = WordHashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            sets = [shingle_set(t.as_py(), words) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
             ], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, sig binary")
 
 
 def light_rows(reps: DataFrame) -> DataFrame:
@@ -255,8 +255,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t.as_py(), words).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], schema=schema)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    # of rows that repeat a doc_id with other texts, the least text stands for the node
-    found = texts.join(bounded_broadcast(nodes, n_nodes), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    # of rows that repeat a doc_id with other texts, the one with the least hash stands for the node
+    found = texts.join(bounded_broadcast(nodes, n_nodes), "node", "left_semi").groupBy("node").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return found.mapInArrow(run, "node long, shingles array<bigint>")
 
 
@@ -298,9 +298,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     sigs = stage(sign(docs), "sigs")
     full = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = stage(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes, "digest").where("doc_id = rep").select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"])
-    reps = stage(reps, "reps")
+    classes = stage(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    # by doc_id, which no two documents share, however many are equal
+    reps = full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "sig"), "text_hash").alias("s"))
+    reps = stage(reps.select("doc_id", "s.n_shingles", "s.sig"), "reps")
 
     light = light_rows(reps)
     regions = light.groupBy("root").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("root")
@@ -317,7 +318,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if third is not None and third.take(1):
         joined = stage(components(links.unionByName(third)), "groups")
 
-    named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = stage(classes.join(joined, F.col("rep") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id")), "named")
+    linked = meet(full.select("doc_id", "n_shingles", "digest"), named, ["digest"], ["doc_id"]).drop("digest")
+    alone = sigs.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

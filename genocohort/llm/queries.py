@@ -35,7 +35,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).drop("n_words", "fitness")
+    return langid.identify(_read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).drop("text_hash", "n_words", "fitness")
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,15 +239,3 @@ def test_urls_equal_brute_force(spark):
     assert urlgraph.judge_urls(df.where("false")).count() == 0
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    now = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        was, now = now.count(), stage(spark, now, SF)
-        assert now.columns == docs.columns and 0 < now.count()
-        if name != "mix":
-            assert now.count() <= was
-    assert corpus_pipeline.run(spark, SF).count() > 0
