@@ -77,12 +77,17 @@ def _(c):
     return population.merge_panels(gt.where("sample_id % 2 = 0"), gt.where("sample_id % 2 = 1 and marker % 5 <> 0"))
 
 
-@query("pl4_build_panel", "SELECT pop, count(*) AS n FROM (SELECT pop, marker FROM ox_counts WHERE marker % 3 = 0 AND alt BETWEEN 1 AND n - 1) GROUP BY pop HAVING count(*) > 100000000")
+PANEL = """SELECT pop, marker, chrom, pos, rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY pop ORDER BY score DESC, chrom, pos, marker) AS rank FROM (
+ SELECT q.marker, q.pop, m.chrom_no AS chrom, m.position AS pos, CASE WHEN ht > 0 THEN greatest(0.0, (ht - hs) / ht) ELSE 0.0 END AS score FROM (SELECT *, 2.0 * (alt + ra) / (n + rn) * (1 - (alt + ra) / (n + rn)) AS ht, (n * 2.0 * (alt / n) * (1 - alt / n) + rn * 2.0 * (ra / rn) * (1 - ra / rn)) / (n + rn) AS hs
+ FROM (SELECT *, sum(alt) OVER (PARTITION BY marker) - alt AS ra, sum(n) OVER (PARTITION BY marker) - n AS rn FROM ox_counts)) q JOIN fx_markers m ON m.marker_id = q.marker) WHERE score > 0) WHERE rank <= 100"""
+
+
+@query("pl4_build_panel", PANEL)
 def _(c):
     m = c.view("fx_markers").select("rsid", F.col("marker_id").alias("marker"), F.col("chrom_no").alias("chrom"), F.col("position").alias("pos"), "ref", "alt")
     gt = c.view("fx_truth").select("sample_id", F.col("marker_id").alias("marker"), F.concat(F.col("h1").cast("string"), F.lit("/"), F.col("h2").cast("string")).alias("gt"))
-    panel = population.build_panel(m, gt, c.view("fx_truth").select("sample_id", F.col("fam").alias("pop")).distinct(), n=20)
-    return panel.groupBy("pop").agg(F.count(F.lit(1)).alias("n")).where("n > 20")
+    panel = population.build_panel(m, gt, c.view("fx_truth").select("sample_id", F.col("fam").alias("pop")).distinct())
+    return panel.select("pop", "marker", "chrom", "pos", "rank", F.round("score", 9).alias("score"))
 
 
 # --- polygenic scores ---------------------------------------------------------------------------
@@ -586,27 +591,16 @@ def _(c):
     return provenance.manifest(c.pooled().select("sample_id", "rsid", "genotype"), ["rsid", "genotype"])
 
 
-@query("src7_call_from_counts", "SELECT k AS position, CASE WHEN a + cc + g + t < 8 THEN 'NN' WHEN t * 5 >= a + cc + g + t AND t > 0 THEN 'x' ELSE 'y' END AS kind FROM (SELECT l_partkey AS k, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS cc, 0 AS g, count(*) FILTER (l_returnflag = 'R') AS t FROM lineitem GROUP BY ALL) WHERE a + cc + t < 8")
-def _(c):
-    n = c.table("lineitem").groupBy(F.col("l_partkey").alias("position")).agg(F.count_if(F.col("l_returnflag") == "A").alias("A"), F.count_if(F.col("l_returnflag") == "N").alias("C"), F.lit(0).alias("G"), F.count_if(F.col("l_returnflag") == "R").alias("T"))
-    return vcf.call_from_counts(n).where("depth < 8").select("position", F.concat("allele1", "allele2").alias("kind"))
-
-
-@query("src16_flatten_json", "SELECT event_type AS id, count(*) AS n FROM events WHERE json_extract_string(props, '$.x') IS NULL GROUP BY event_type HAVING count(*) > 1000000000")
-def _(c):
-    e = c.table("events").select(F.col("event_type").alias("id"), "props")
-    return tables.flatten_annotation_json(e, "props", "id").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("snk4_study_vcf", "SELECT CAST(chrom_no AS VARCHAR) || chr(9) || CAST(position AS VARCHAR) || chr(9) || rsid AS head FROM ox_pooled WHERE sample_id = 1 AND gkey <> 'NN'")
+@query("snk4_study_vcf", """SELECT true AS ref_known, concat_ws(chr(9), CAST(p.chrom_no AS VARCHAR), CAST(p.position AS VARCHAR), p.rsid, m.ref, CASE WHEN len(x) = 0 THEN '.' ELSE array_to_string(x, ',') END, '.', 'PASS', '.', 'GT', CASE WHEN a = m.ref THEN '0' ELSE CAST(list_position(x, a) AS VARCHAR) END || '/' || CASE WHEN b = m.ref THEN '0' ELSE CAST(list_position(x, b) AS VARCHAR) END) AS value
+ FROM (SELECT p.*, substr(gkey, 1, 1) AS a, substr(gkey, 2, 1) AS b, list_sort(list_distinct(list_filter([substr(gkey, 1, 1), substr(gkey, 2, 1)], lambda y: y <> m.ref))) AS x FROM ox_pooled p JOIN fx_markers m USING (rsid) WHERE gkey <> 'NN') p JOIN fx_markers m USING (rsid)""")
 def _(c):
-    rows = writers.study_vcf(c.placed().where("sample_id = 1"), c.view("fx_markers"))
-    return rows.select(F.regexp_extract("value", r"^([^\t]*\t[^\t]*\t[^\t]*)", 1).alias("head"))
+    return writers.study_vcf(c.placed(), c.view("fx_markers")).select("ref_known", "value")
 
 
-@query("snk3_plink_ped", "SELECT 20::BIGINT AS samples WHERE (SELECT count(DISTINCT sample_id) FROM ox_pooled) = 20")
+@query("snk3_plink_ped", """SELECT CAST(s.sample_id AS VARCHAR) || ' ' || CAST(s.sample_id AS VARCHAR) || ' 0 0 0 -9 ' || string_agg(CASE WHEN coalesce(p.gkey, 'NN') = 'NN' THEN '0 0' ELSE substr(p.gkey, 1, 1) || ' ' || substr(p.gkey, 2, 1) END, ' ' ORDER BY m.chrom_no, m.position, m.rsid) AS value
+ FROM (SELECT DISTINCT sample_id FROM ox_pooled) s CROSS JOIN fx_markers m LEFT JOIN ox_pooled p ON p.sample_id = s.sample_id AND p.rsid = m.rsid GROUP BY s.sample_id""")
 def _(c):
-    return writers.plink_ped(c.pooled(), c.view("fx_markers")).agg(F.count(F.lit(1)).alias("samples"))
+    return writers.plink_ped(c.pooled(), c.view("fx_markers"))
 
 
 # --- blood group and other entities -------------------------------------------------------------
