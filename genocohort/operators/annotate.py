@@ -74,16 +74,27 @@ def resolve_strand(calls: DataFrame, allele_freq: DataFrame) -> DataFrame:
     Direct if both alleles are in the table, else the complement if both of its are, else whichever has more
     hits (unresolved); a palindrome keeps its direct reading and is flagged.
     """
-    seen = allele_freq.where(F.upper("allele").isin("A", "C", "G", "T")).groupBy("rsid").agg(F.collect_set(F.upper("allele")).alias("observed"))
+    return on_strand(calls.join(observed_alleles(allele_freq), "rsid", "left")).drop("observed", "table")
+
+
+def observed_alleles(allele_freq: DataFrame) -> DataFrame:
+    """``rsid, table, observed``: a marker's frequencies of all populations in one row, and the bases among its alleles."""
+    table = allele_freq.groupBy("rsid").agg(F.collect_list(F.struct("pop", F.upper("allele").alias("allele"), "freq")).alias("table"))
+    bases = F.array_distinct(F.filter(F.transform("table", lambda t: t["allele"]), lambda a: a.isin("A", "C", "G", "T")))
+    return table.withColumn("observed", bases)
+
+
+def on_strand(rows: DataFrame) -> DataFrame:
+    """Calls with ``observed``, read on that strand."""
     x, y = strand_clean("allele1"), strand_clean("allele2")
     has = lambda a: F.coalesce(F.array_contains("observed", a), F.lit(False)).cast("int")
     direct, other = has(x) + has(y), has(complement(x)) + has(complement(y))
     called = (x != "N") & (y != "N")
     flip = called & (direct < 2) & ((other == 2) | (other > direct))
-    return calls.join(seen, "rsid", "left").withColumns({
+    return rows.withColumns({
         "freq_allele1": F.when(called, F.when(flip, complement(x)).otherwise(x)).otherwise(""), "freq_allele2": F.when(called, F.when(flip, complement(y)).otherwise(y)).otherwise(""), "freq_flipped": flip,
         "freq_ambiguous": called & is_palindromic("allele1", "allele2"), "freq_resolved": called & ((direct == 2) | (other == 2)),
-    }).drop("observed")
+    })
 
 
 def genotype_frequency(calls: DataFrame, allele_freq: DataFrame, population: str | None = None, genotype_freq: DataFrame | None = None, pop_n: DataFrame | None = None) -> DataFrame:
@@ -92,14 +103,15 @@ def genotype_frequency(calls: DataFrame, allele_freq: DataFrame, population: str
     With ``population`` one row for each call, else one for each call and population of the tables.  The frequency is
     null where unknown and 0.0 where a table says that none was seen.
     """
-    base = resolve_strand(calls, allele_freq)
+    # one join brings a marker's alleles and frequencies; populations and both alleles are looked up in that row
+    base = on_strand(calls.join(observed_alleles(allele_freq), "rsid", "left"))
     if population is not None:
         base = base.withColumn("pop", F.lit(population))
     else:
-        base = base.crossJoin(F.broadcast(allele_freq.select("pop").distinct()))  # a handful of populations
-    for i in "12":
-        side = allele_freq.select("rsid", "pop", F.upper("allele").alias(f"freq_allele{i}"), F.col("freq").alias(f"_p{i}"))
-        base = base.join(side, ["rsid", "pop", f"freq_allele{i}"], "left")
+        pops = allele_freq.agg(F.array_sort(F.collect_set("pop")).alias("pops"))  # one row, a handful of populations
+        base = base.crossJoin(F.broadcast(pops)).withColumn("pop", F.explode("pops")).drop("pops")
+    of = lambda i: F.get(F.filter("table", lambda t: (t["pop"] == F.col("pop")) & (t["allele"] == F.col(f"freq_allele{i}"))), F.lit(0))["freq"]
+    base = base.withColumns({"_p1": of(1), "_p2": of(2)}).drop("table", "observed")
     derived = hardy_weinberg("_p1", "_p2", F.col("freq_allele1") == F.col("freq_allele2"))
     stored, by = F.lit(None).cast("double"), F.lit("observed")
     if genotype_freq is not None:

@@ -12,7 +12,7 @@ UNCERTAINTY = 2.0
 
 def carrier_status(pooled: DataFrame, panel: DataFrame) -> DataFrame:
     """Per sample and gene of ``panel(gene, rsid, allele, array_testable)``: carrier, not_carrier_for_tested_variants, untestable."""
-    grid = pooled.select("sample_id").distinct().crossJoin(F.broadcast(panel))  # a small dimension
+    grid = pooled.select("sample_id").distinct().crossJoin(panel)  # a small dimension
     rows = grid.join(pooled.select("sample_id", "rsid", "allele1", "allele2"), ["sample_id", "rsid"], "left")
     n = F.when(F.col("array_testable") & F.col("allele1").isNotNull() & real_call("allele1", "allele2", "star"), copies("allele1", "allele2", "allele"))
     out = rows.withColumn("n", n).groupBy("sample_id", "gene").agg(F.count("n").alias("tested"), F.count_if(F.col("n") > 0).alias("detected"), F.count_if(F.col("array_testable") & F.col("n").isNull()).alias("not_read"), F.count_if(~F.col("array_testable")).alias("not_array_testable"), F.sum("n").alias("copies"))
@@ -22,8 +22,8 @@ def carrier_status(pooled: DataFrame, panel: DataFrame) -> DataFrame:
 def gene_screen_coverage(pooled: DataFrame, probes: DataFrame) -> DataFrame:
     """Positions read of each gene of ``probes(gene, rsid, known)``; genes with none are there with 0."""
     genes = probes.groupBy("gene").agg(F.max("known").alias("known"))
-    read = pooled.where(real_call("allele1", "allele2")).select("sample_id", "rsid").distinct().join(F.broadcast(probes.select("gene", "rsid")), "rsid").groupBy("sample_id", "gene").agg(F.count(F.lit(1)).alias("read"))
-    out = pooled.select("sample_id").distinct().crossJoin(F.broadcast(genes)).join(read, ["sample_id", "gene"], "left")
+    read = pooled.where(real_call("allele1", "allele2")).select("sample_id", "rsid").distinct().join(probes.select("gene", "rsid"), "rsid").groupBy("sample_id", "gene").agg(F.count(F.lit(1)).alias("read"))
+    out = pooled.select("sample_id").distinct().crossJoin(genes).join(read, ["sample_id", "gene"], "left")
     n = F.coalesce("read", F.lit(0))
     return out.select("sample_id", "gene", n.alias("read"), F.when(F.col("known") > 0, F.round(n / F.col("known"), 6)).alias("fraction"))
 

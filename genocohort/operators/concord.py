@@ -33,10 +33,10 @@ def rate(n: Column, of: Column) -> Column:
 
 def kit_pairs(calls: DataFrame) -> DataFrame:
     """Every position that two kits of a person both list, as ``a, b, key_a, key_b``."""
-    rows = calls.select("sample_id", "rsid", "label", "provider", base_key("allele1", "allele2").alias("key"))
-    left = rows.select("sample_id", "rsid", F.col("label").alias("a"), F.col("key").alias("key_a"))
-    right = rows.select("sample_id", "rsid", F.col("label").alias("b"), F.col("key").alias("key_b"))
-    return left.join(right, ["sample_id", "rsid"]).where("a < b")
+    # a person's kits at one position, gathered once: as many as the person has kits
+    kits = calls.groupBy("sample_id", "rsid").agg(F.collect_list(F.struct("label", base_key("allele1", "allele2").alias("key"))).alias("kits"))
+    of = lambda a: F.transform(F.filter("kits", lambda b: b["label"] > a["label"]), lambda b: F.struct(a["label"].alias("a"), b["label"].alias("b"), a["key"].alias("key_a"), b["key"].alias("key_b")))
+    return kits.where(F.size("kits") > 1).select("sample_id", "rsid", F.explode(F.flatten(F.transform("kits", of))).alias("p")).select("sample_id", "rsid", "p.*")
 
 
 def concordance(calls: DataFrame, kits: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def place_on_map(points: DataFrame, genetic_map: DataFrame, bp: str, out: str) -
     binned = steps.where("_b1 is not null").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_b0") / BIN), F.floor(F.col("_b1") / BIN))))
     places = points.select("chrom_no", F.col(bp).alias("_p")).distinct().withColumn("_bin", F.floor(F.col("_p") / BIN))
     inside = places.join(binned, ["chrom_no", "_bin"]).where("_b0 <= _p and _p < _b1").select("chrom_no", "_p", (F.col("_c0") + (F.col("_p") - F.col("_b0")) / (F.col("_b1") - F.col("_b0")) * (F.col("_c1") - F.col("_c0"))).alias("_cm"))
-    found = places.drop("_bin").join(inside, ["chrom_no", "_p"], "left").join(F.broadcast(ends), "chrom_no", "left")  # one row for each chromosome
+    found = places.drop("_bin").join(inside, ["chrom_no", "_p"], "left").join(ends, "chrom_no", "left")  # one row for each chromosome
     cm = F.when(F.col("_p") <= F.col("_lo.bp"), F.col("_lo.cm")).when(F.col("_p") >= F.col("_hi.bp"), F.col("_hi.cm")).otherwise(F.col("_cm"))
     return points.join(found.select("chrom_no", F.col("_p").alias(bp), cm.alias(out)), ["chrom_no", bp], "left")
 
@@ -159,34 +159,34 @@ def ibd_segments(ibs: DataFrame, genetic_map: DataFrame, min_snps: int = MIN_SNP
     """Runs of markers along a chromosome with a shared allele, of ``min_snps`` markers and ``min_cm`` at least.
 
     Up to ``max_oh`` opposite homozygotes (IBS 0) inside a run are passed over; the next one ends it before itself
-    and a new run starts after it.  Runs begin and end on a shared marker.  Only the places of IBS-0 markers are
-    gathered, per pair and chromosome, and folded in order; markers are numbered by a window.
+    and a new run starts after it.  Runs begin and end on a shared marker.  Only the places of IBS-0 markers and
+    of their neighbours are gathered, per pair and chromosome, and folded in order, in one shuffle.
     """
     w = W.partitionBy("a", "b", "chrom_no").orderBy("position", "rsid")
-    rows = ibs.withColumn("i", F.row_number().over(w))
-    groups = rows.groupBy("a", "b", "chrom_no").agg(F.max("i").alias("last"), F.array_sort(F.collect_list(F.when(F.col("ibs") == 0, F.col("i")))).alias("zeros"))
-    run = lambda start, end: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    begin = F.struct(F.lit(1).alias("start"), F.array().cast("array<int>").alias("oh"), none.alias("runs"))
+    rows = ibs.select("a", "b", "chrom_no", "ibs", "position", F.row_number().over(w).alias("i"), F.lag("position").over(w).alias("before"), F.lead("position").over(w).alias("after"))
+    zero = F.when(F.col("ibs") == 0, F.struct("i", "before", "after"))
+    groups = rows.groupBy("a", "b", "chrom_no").agg(F.max("i").alias("last"), F.min("position").alias("first_bp"), F.max("position").alias("last_bp"), F.array_sort(F.collect_list(zero)).alias("zeros"))
+    kind = "struct<start:int,start_bp:bigint,end:int,end_bp:bigint>"
+    run = lambda acc, end, bp: F.struct(acc["start"].alias("start"), acc["start_bp"].alias("start_bp"), end.cast("int").alias("end"), bp.cast("bigint").alias("end_bp"))
 
-    def step(acc: Column, v: Column) -> Column:
-        fresh = F.struct((v + 1).cast("int").alias("start"), F.array().cast("array<int>").alias("oh"), acc["runs"].alias("runs"))
-        passed = F.struct(acc["start"].alias("start"), F.array_append(acc["oh"], v).alias("oh"), acc["runs"].alias("runs"))
-        closed = F.struct((v + 1).cast("int").alias("start"), F.array().cast("array<int>").alias("oh"), F.array_append(acc["runs"], run(acc["start"], v - 1)).alias("runs"))
-        return F.when(v == acc["start"], fresh).when(F.size(acc["oh"]) < max_oh, passed).otherwise(closed)
-
-    def finish(acc: Column) -> Column:
-        return F.array_append(acc["runs"], run(acc["start"], F.lit(2**30)))
+    def state(start: Column, bp: Column, passed: Column, runs: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), bp.cast("bigint").alias("start_bp"), passed.cast("int").alias("passed"), runs.cast(f"array<{kind}>").alias("runs"))
 
-    folded = groups.withColumn("runs", F.aggregate("zeros", begin, step, finish))
-    runs = folded.select("a", "b", "chrom_no", "last", "zeros", F.explode("runs").alias("r")).select("a", "b", "chrom_no", "zeros", F.col("r.start").alias("start"), F.least("r.end", "last").alias("end"))
+    def step(acc: Column, v: Column) -> Column:
+        fresh = state(v["i"] + 1, v["after"], F.lit(0), acc["runs"])
+        passed = state(acc["start"], acc["start_bp"], acc["passed"] + 1, acc["runs"])
+        closed = state(v["i"] + 1, v["after"], F.lit(0), F.array_append(acc["runs"], run(acc, v["i"] - 1, v["before"])))
+        return F.when(v["i"] == acc["start"], fresh).when(acc["passed"] < max_oh, passed).otherwise(closed)
+
+    begin = state(F.lit(1), F.col("first_bp"), F.lit(0), F.array())
+    folded = groups.withColumn("runs", F.aggregate("zeros", begin, step, lambda acc: F.array_append(acc["runs"], run(acc, F.lit(2**30), F.lit(None)))))
+    runs = folded.select("a", "b", "chrom_no", "last", "last_bp", "zeros", F.explode("runs").alias("r")).select("a", "b", "chrom_no", "zeros", "r.start", "r.start_bp", F.least("r.end", "last").alias("end"), F.coalesce("r.end_bp", "last_bp").alias("end_bp"))
     # the end steps back over opposite homozygotes: at most max_oh of them lie in a run
     for _ in range(max_oh):
-        runs = runs.withColumn("end", F.when(F.array_contains("zeros", F.col("end")), F.col("end") - 1).otherwise(F.col("end")))
-    runs = runs.where("end >= start").withColumn("snps", F.col("end") - F.col("start") + 1).drop("zeros")
-    place = lambda side, name: rows.select("a", "b", "chrom_no", F.col("i").alias(side), F.col("position").alias(name))
-    out = runs.where(F.col("snps") >= min_snps).join(place("start", "start_bp"), ["a", "b", "chrom_no", "start"]).join(place("end", "end_bp"), ["a", "b", "chrom_no", "end"])
-    return centimorgans(out.drop("start", "end"), genetic_map).where(F.col("cm") >= min_cm)
+        at_end = F.get(F.filter("zeros", lambda z: z["i"] == F.col("end")), F.lit(0))
+        runs = runs.withColumn("z", at_end).withColumns({"end_bp": F.when(F.col("z").isNotNull(), F.col("z.before")).otherwise(F.col("end_bp")), "end": F.when(F.col("z").isNotNull(), F.col("end") - 1).otherwise(F.col("end"))}).drop("z")
+    out = runs.withColumn("snps", F.col("end") - F.col("start") + 1).where((F.col("end") >= F.col("start")) & (F.col("snps") >= min_snps)).select("a", "b", "chrom_no", "snps", "start_bp", "end_bp")
+    return centimorgans(out, genetic_map).where(F.col("cm") >= min_cm)
 
 
 def ibd_totals(segments: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def check_declared_roles(totals: DataFrame, roles: DataFrame) -> DataFrame:
     table = totals.sparkSession.createDataFrame([(x, y, name, float(limits[name][0]), float(limits[name][1])) for (x, y), name in ROLE_PAIRS.items()], "r1 string, r2 string, expected string, low double, high double")
     role = lambda side: roles.select(F.col("sample_id").alias(side), normalize_role("role").alias(f"role_{side}"))
     out = totals.join(role("a"), "a", "left").join(role("b"), "b", "left")
-    out = out.withColumns({"r1": F.least("role_a", "role_b"), "r2": F.greatest("role_a", "role_b")}).join(F.broadcast(table), ["r1", "r2"], "left").drop("r1", "r2")
+    out = out.withColumns({"r1": F.least("role_a", "role_b"), "r2": F.greatest("role_a", "role_b")}).join(table, ["r1", "r2"], "left").drop("r1", "r2")
     ok = F.when(F.col("expected").isNull(), "not_checkable").when(F.col("total_cm").between(F.col("low"), F.col("high")), "agrees").otherwise("disagrees")
     return out.withColumn("verdict", ok)
 
@@ -223,7 +223,7 @@ def household(pooled: DataFrame, samples: DataFrame, genetic_map: DataFrame, **l
 
 def chromosome_browser(segments: DataFrame, lengths: DataFrame) -> DataFrame:
     """Segments as fractions of their chromosome, per pair; chromosomes without one are there with nulls."""
-    grid = segments.select("a", "b").distinct().crossJoin(F.broadcast(lengths))  # two dozen chromosomes
+    grid = segments.select("a", "b").distinct().crossJoin(lengths)  # two dozen chromosomes
     out = grid.join(segments, ["a", "b", "chrom_no"], "left")
     share = lambda c: F.when(F.col("length") > 0, F.round(F.col(c) / F.col("length"), 6))
     return out.select("a", "b", "chrom_no", share("start_bp").alias("start_frac"), share("end_bp").alias("end_frac"), "cm")

@@ -22,8 +22,9 @@ def apply_imputation_cap(df: DataFrame, threshold: float = THRESHOLD) -> DataFra
     cap = max_imputed_magnitude(dr2, threshold)
     band = quality_band(dr2)
     weak = imputed & ~band.isin("high", "moderate")
-    step = F.when(imputed, F.format_string("imputed, at most %.1f", cap))
-    steps = F.coalesce(field(df, "magnitude_factors", "array<string>"), F.array().cast("array<string>"))
+    trail = "array<struct<step:string,operand:double,score:double>>"
+    step = F.struct(F.lit("imputed_cap").alias("step"), cap.cast("double").alias("operand"), F.least(F.col("magnitude"), cap).cast("double").alias("score"))
+    steps = F.coalesce(field(df, "magnitude_factors", trail), F.array().cast(trail))
     return df.withColumns({
         "magnitude": F.when(imputed, F.least(F.col("magnitude"), cap)).otherwise(F.col("magnitude")), "dubious": F.coalesce(field(df, "dubious", "boolean"), F.lit(False)) | weak, "imputation_capped": imputed & F.coalesce(F.col("magnitude") > cap, F.lit(False)),
         "magnitude_factors": F.when(imputed, F.array_append(steps, step)).otherwise(steps), "quality_band": F.when(imputed, band),

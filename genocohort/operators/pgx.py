@@ -13,7 +13,7 @@ CONFIDENCE = ("none", "low", "moderate", "high")
 
 def defined_copies(pooled: DataFrame, defs: DataFrame) -> DataFrame:
     """``sample_id, gene, allele, rsid, n``: copies of each defining base, null where the position was not read."""
-    grid = pooled.select("sample_id").distinct().crossJoin(F.broadcast(defs.select("gene", "allele", "rsid", "base")))  # a small dimension
+    grid = pooled.select("sample_id").distinct().crossJoin(defs.select("gene", "allele", "rsid", "base"))  # a small dimension
     rows = grid.join(pooled.select("sample_id", "rsid", "allele1", "allele2"), ["sample_id", "rsid"], "left")
     read = F.col("allele1").isNotNull() & real_call("allele1", "allele2", "star")
     return rows.select("sample_id", "gene", "allele", "rsid", F.when(read & F.col("base").isNotNull(), copies("allele1", "allele2", "base")).alias("n"))
@@ -67,10 +67,10 @@ def phenotype(diplotypes: DataFrame, activities: DataFrame, bands: DataFrame, pr
     """
     d = diplotypes.withColumns({"_a": F.element_at(F.split("diplotype", "/"), 1), "_b": F.element_at(F.split("diplotype", "/"), 2)})
     for side in "ab":
-        d = d.join(F.broadcast(activities.select("gene", F.col("allele").alias(f"_{side}"), F.col("activity").alias(f"_act_{side}"))), ["gene", f"_{side}"], "left")
+        d = d.join(activities.select("gene", F.col("allele").alias(f"_{side}"), F.col("activity").alias(f"_act_{side}")), ["gene", f"_{side}"], "left")
     d = d.withColumn("activity_score", F.round(F.col("_act_a") + F.col("_act_b"), 4))
     veto = F.col("diplotype").isNull() | F.col("activity_score").isNull() | (F.col("reference_inferred") & ((F.col("untestable") > 0) | F.col("gene").isin(*provisional) if provisional else (F.col("untestable") > 0)))
-    b = F.broadcast(bands.select(F.col("gene").alias("_g"), "low", "high", F.col("phenotype").alias("_p")))
+    b = bands.select(F.col("gene").alias("_g"), "low", "high", F.col("phenotype").alias("_p"))
     hit = (F.col("gene") == F.col("_g")) & (F.col("low").isNull() | (F.col("activity_score") >= F.col("low"))) & (F.col("high").isNull() | (F.col("activity_score") < F.col("high")))
     out = d.join(b, hit, "left")
     return out.select("sample_id", "gene", "diplotype", "reference_inferred", "untestable", "confidence", "activity_score", F.when(veto | F.col("_p").isNull(), "Indeterminate").otherwise(F.col("_p")).alias("phenotype"))
@@ -84,8 +84,8 @@ def match_drugs(medicines: DataFrame, phenotypes: DataFrame, aliases: DataFrame,
     """
     name = F.trim(F.regexp_replace(F.lower("item"), r"\s+\d+(\.\d+)?\s*(mg|mcg|ug|g|ml|iu|units?)?\b.*$", ""))
     items = medicines.select("sample_id", F.explode(F.split("text", r"[,;\n]")).alias("item")).withColumn("medicine", name).where("medicine <> ''").select("sample_id", "medicine").distinct()
-    known = items.join(F.broadcast(aliases.select(F.lower("alias").alias("medicine"), "drug")), "medicine", "left")
+    known = items.join(aliases.select(F.lower("alias").alias("medicine"), "drug"), "medicine", "left")
     genes = pairs.select("drug", "gene").distinct()
-    rows = known.join(F.broadcast(genes), "drug", "left").join(phenotypes.select("sample_id", "gene", "phenotype"), ["sample_id", "gene"], "left").join(F.broadcast(pairs), ["drug", "gene", "phenotype"], "left")
+    rows = known.join(genes, "drug", "left").join(phenotypes.select("sample_id", "gene", "phenotype"), ["sample_id", "gene"], "left").join(pairs, ["drug", "gene", "phenotype"], "left")
     effect = F.when(F.col("drug").isNull(), "unmatched").when(F.col("phenotype") == "Indeterminate", "insufficient evidence").otherwise(F.coalesce("effect", F.lit("no listed effect")))
     return rows.where("drug is null or phenotype is not null").select("sample_id", "medicine", "drug", "gene", "phenotype", effect.alias("effect"))

@@ -99,7 +99,7 @@ def top_markers(stats: DataFrame, markers: DataFrame, n: int) -> DataFrame:
 def merge_panels(panel: DataFrame, extra: DataFrame) -> DataFrame:
     """Add another set's samples to a panel ``(marker, sample_id, gt)``: the panel's markers only, missing ones ``./.``."""
     markers = panel.select("marker").distinct()
-    grid = markers.crossJoin(F.broadcast(extra.select("sample_id").distinct()))  # samples of one added set
+    grid = markers.crossJoin(extra.select("sample_id").distinct())  # samples of one added set
     filled = grid.join(extra, ["marker", "sample_id"], "left").select("marker", "sample_id", F.coalesce("gt", F.lit("./.")).alias("gt"))
     return panel.select("marker", "sample_id", "gt").unionByName(filled)
 

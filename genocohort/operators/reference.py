@@ -60,6 +60,12 @@ def reference_meta(table: DataFrame) -> DataFrame:
     return facts.unpivot([], facts.columns, "key", "value")
 
 
+def coverage_stats(meta: DataFrame) -> DataFrame:
+    """Counts, versions and dates among ``meta(key, value)``, with ``number`` where the value is a whole number."""
+    kept = meta.where(F.col("key").rlike("(_?rows|_?rsids|_version|_date)$") | (F.col("key") == "assembly"))
+    return kept.select("key", "value", F.when(F.col("value").rlike(r"^\d+$"), F.col("value").cast("long")).alias("number"))
+
+
 def refresh_reference(current: DataFrame, fresh: DataFrame) -> DataFrame:
     """Significance and conditions from the fresh rows where they have one; curated texts stay; ``updated`` says which."""
     new = fresh.select("rsid", F.nullif(F.trim("clinical_sig"), F.lit("")).alias("_s"), F.nullif(F.trim("conditions"), F.lit("")).alias("_c"))

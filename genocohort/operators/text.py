@@ -46,7 +46,7 @@ def rank_by_terms(df: DataFrame, questions: DataFrame, text_cols, k: int, id_col
     asked = questions.select("question_id", F.explode(terms_of(F.col("text"))).alias("term"))
     rows = df.select(F.col(id_col).alias("id"), (F.col(gene_col) if gene_col else F.lit(None).cast("string")).alias("gene"), (F.col(weight_col) if weight_col else F.lit(0.0)).cast("double").alias("weight"), F.explode(F.array_union(terms_of(F.concat_ws(" ", *text_cols)), F.array(F.lower(F.col(id_col).cast("string"))))).alias("term"))
     points = F.when(F.col("term") == F.lower(F.col("id").cast("string")), 100).when(F.col("term") == F.lower("gene"), 40).otherwise(12)
-    score = rows.join(F.broadcast(asked), "term").groupBy("question_id", "id").agg(F.sum(points).alias("score"), F.max("weight").alias("weight"))
+    score = rows.join(asked, "term").groupBy("question_id", "id").agg(F.sum(points).alias("score"), F.max("weight").alias("weight"))
     w = W.partitionBy("question_id").orderBy(F.desc("score"), F.desc("weight"), "id")
     out = score.withColumns({"rank": F.row_number().over(w)})
     return out.where(F.col("rank") <= k)

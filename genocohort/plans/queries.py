@@ -21,10 +21,18 @@ ORACLES: dict[str, str] = {}
 _held: dict = {}
 
 
+def release() -> None:
+    """Let go of all views that queries hold."""
+    for df in _held.values():
+        df.unpersist()
+    _held.clear()
+
+
 class Cohort:
     """The fixture cohort over one folder of tables.
 
-    Views and the pooled calls, which nearly every query starts from, are persisted (memory and disk) once for a session.
+    Views and the pooled calls, which nearly every query starts from, are persisted (memory and disk) until
+    ``release`` or a query over another folder.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -32,6 +40,8 @@ class Cohort:
 
     def held(self, name: str, make) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if any(k[:2] != key[:2] for k in _held):
+            release()  # another session or folder: one cohort is held at a time
         if key not in _held:
             _held[key] = make().persist()
         return _held[key]
@@ -282,14 +292,19 @@ def _(c):
     return c.scan()["findings"].select(*SCORED_COLUMNS)
 
 
-@query("sc20_score_findings", "SELECT sample_id, rsid, magnitude, base AS magnitude_base, zygosity = 'no_call' OR ambiguous AS dubious FROM ox_scored")
+KEYS = "CASE WHEN cpic_level = 'A' THEN 'cpic_a' WHEN code IN (4, 5) AND stars >= 3 THEN 'clinvar_path_3star' WHEN cpic_level IN ('A/B', 'B') THEN 'cpic_b' WHEN code = 5 AND stars = 2 THEN 'clinvar_path_2star' WHEN code = 4 AND stars >= 2 THEN 'clinvar_lp_2star' WHEN stars <= 1 AND code IN (1, 4, 5, 255) THEN 'clinvar_single' ELSE 'default' END"
+TRAIL = f"""concat_ws(' ', 'evidence:' || {KEYS}, CASE WHEN zygosity = 'no_call' THEN 'no_call' END, CASE WHEN zygosity <> 'no_call' AND copies <> 1 THEN 'copies:' || copies END, CASE WHEN zygosity <> 'no_call' AND band IN ('very_rare', 'rare', 'majority') THEN 'rarity:' || band END,
+ CASE WHEN zygosity <> 'no_call' AND publications > 0 THEN 'literature' END, CASE WHEN zygosity <> 'no_call' AND ambiguous THEN CASE WHEN s > 2.0 THEN 'strand_cap' ELSE 'strand_unverified' END END)"""
+
+
+@query("sc20_score_findings", f"SELECT sample_id, rsid, magnitude, base AS magnitude_base, zygosity = 'no_call' OR ambiguous AS dubious, {TRAIL} AS trail FROM ox_scored")
 def _(c):
-    return c.scan()["findings"].select("sample_id", "rsid", "magnitude", "magnitude_base", "dubious")
+    return c.scan()["findings"].select("sample_id", "rsid", "magnitude", "magnitude_base", "dubious", F.array_join(F.transform("magnitude_factors", lambda x: x["step"]), " ").alias("trail"))
 
 
-@query("pl2_rescore", "SELECT f.sample_id, f.rsid, b.freq, b.band AS freq_band FROM ox_findings f JOIN ox_band b ON b.sample_id = f.sample_id AND b.rsid = f.rsid AND b.pop = 'POP3'")
+@query("pl2_rescore", "SELECT sample_id, rsid, freq, band AS freq_band, magnitude, repute, confidence FROM ox_scored_pop3")
 def _(c):
-    return rescore(c.scan()["findings"], c.view("fx_allele_freq"), "POP3").select("sample_id", "rsid", "freq", "freq_band")
+    return rescore(c.scan()["findings"], c.view("fx_allele_freq"), "POP3").select("sample_id", "rsid", "freq", "freq_band", "magnitude", "repute", "confidence")
 
 
 @query("pl5_lookup", "SELECT r.rsid, r.gene, r.clinical_sig, string_agg(f.pop || ':' || f.allele || '=' || printf('%.2f', f.freq), ' ' ORDER BY f.pop || ':' || f.allele || '=' || printf('%.2f', f.freq)) AS frequencies FROM fx_ref_variants r LEFT JOIN fx_allele_freq f ON f.rsid = r.rsid WHERE r.rsid IN ('rs1001', 'rs1002', 'rs1009') GROUP BY ALL")

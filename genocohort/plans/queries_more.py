@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import caveats
 from ..operators import ancestry, carrier, family, history, imputed, lineage, pgx, population, provenance, prs, reference, rules, text, traits
 from ..sources import tables, vcf, writers
 from .queries import query
@@ -97,10 +98,96 @@ PRS = f"""SELECT g.sample_id, g.model_id, round(sum(CASE WHEN d IS NOT NULL THEN
  FROM (SELECT s.sample_id, w.*, CASE WHEN p.gkey <> 'NN' THEN CAST(substr(p.gkey, 1, 1) = w.effect_allele AS INT) + CAST(substr(p.gkey, 2, 1) = w.effect_allele AS INT) END AS d FROM (SELECT DISTINCT sample_id FROM ox_pooled) s CROSS JOIN fx_prs_weights w LEFT JOIN ox_pooled p ON p.sample_id = s.sample_id AND p.rsid = w.rsid) g GROUP BY g.sample_id, g.model_id"""
 
 
-@query("ag24_score_prs", PRS)
+RAW = "sum(CASE WHEN d IS NOT NULL THEN d * weight ELSE coalesce(2.0 * eaf * weight, 0.0) END)"
+
+
+@query("ag24_score_prs", f"SELECT * EXCLUDE (raw, mean, sd), round((raw - mean) / sd, 4) AS z FROM ({PRS.replace('g.model_id, ', f'g.model_id, {RAW} AS raw, ', 1)}) p LEFT JOIN ({MOMENTS}) m USING (model_id)")
+def _(c):
+    w = c.view("fx_prs_weights")
+    return prs.score_prs(c.pooled(), w, prs.prs_moments(w)).select("sample_id", "model_id", "raw_score", "variants_used", "variants_total", "coverage", "mean_imputed", "reliable", "z")
+
+
+@query("sc34_score_caveats", f"SELECT sample_id, model_id, 4 AS n, printf('This score used %.1f percent of its variants.', coverage * 100) AS said FROM ({PRS})")
 def _(c):
     w = c.view("fx_prs_weights")
-    return prs.score_prs(c.pooled(), w, prs.prs_moments(w)).select("sample_id", "model_id", "raw_score", "variants_used", "variants_total", "coverage", "mean_imputed", "reliable")
+    rows = caveats.attach_score_caveats(prs.score_prs(c.pooled(), w, prs.prs_moments(w)))
+    return rows.select("sample_id", "model_id", F.size("caveats").alias("n"), F.element_at("caveats", -1).alias("said"))
+
+
+@query("sc34_imputation_caveats", "SELECT sample_id, 5 AS n, printf('%d of %d imputed variants (%.1f percent) have a quality of 0.80 or more.', a, i, 100.0 * a / i) AS said FROM (SELECT l_suppkey AS sample_id, count(*) FILTER (l_discount >= 0.08) AS a, count(*) AS i FROM lineitem GROUP BY 1)")
+def _(c):
+    n = c.table("lineitem").groupBy(F.col("l_suppkey").alias("sample_id")).agg(F.count_if(F.col("l_discount") >= 0.08).alias("above"), F.count(F.lit(1)).alias("imputed"))
+    return caveats.attach_imputation_caveats(n).select("sample_id", F.size("caveats").alias("n"), F.element_at("caveats", -1).alias("said"))
+
+
+@query("ag16_coverage_stats", "SELECT 'rows' AS key, CAST(count(*) AS VARCHAR) AS value, count(*) AS number FROM fx_ref_variants UNION ALL SELECT 'rsids', CAST(count(DISTINCT rsid) AS VARCHAR), count(DISTINCT rsid) FROM fx_ref_variants")
+def _(c):
+    return reference.coverage_stats(reference.reference_meta(c.view("fx_ref_variants").withColumn("source", F.lit("clinvar"))))
+
+
+def chained_rules(c):
+    """A rule for each marker, two of three of which also ask for the rule of the marker before."""
+    m = c.view("fx_markers")
+    rule = F.concat(F.lit("R"), F.col("marker_id").cast("string"))
+    leaf = m.select(rule.alias("rule_id"), F.lit(2).alias("node_id"), F.lit("geno").alias("op"), "rsid", F.col("alt").alias("alleles"), F.lit("").alias("ref_rule"))
+    needs = F.concat(F.lit("R"), (F.col("marker_id") - 1).cast("string"))
+    return leaf.unionByName(m.where("marker_id % 3 > 0").select(rule.alias("rule_id"), F.lit(3).alias("node_id"), F.lit("rule").alias("op"), F.lit("").alias("rsid"), F.lit("").alias("alleles"), needs.alias("ref_rule")))
+
+
+@query("ru2_rule_order", "SELECT 'R' || CAST(marker_id AS VARCHAR) AS rule_id, marker_id AS number, rank() OVER (ORDER BY level) - 1 AS earlier FROM (SELECT marker_id, CASE WHEN marker_id % 3 = 0 THEN 0 WHEN marker_id % 3 = 1 THEN 1 ELSE 2 END AS level FROM fx_markers)")
+def _(c):
+    from pyspark.sql.window import Window as W
+
+    order = rules.rule_order(chained_rules(c).where("ref_rule = '' or ref_rule <> 'R-1'"))
+    return order.select("rule_id", "number", (F.rank().over(W.orderBy("level")) - 1).alias("earlier"))
+
+
+PROBLEMS = (("no summary", "marker_id % 5 = 0"), ("unknown silo", "marker_id % 7 = 0"), ("magnitude out of range", "marker_id % 11 = 0"), ("unknown repute", "marker_id % 13 = 0"), ("marker not in the reference", "marker_id % 4 = 3"))
+
+
+@query("ru8_validate_rules", " UNION ALL ".join(f"SELECT 'R' || CAST(marker_id AS VARCHAR) AS rule_id, '{p}' AS problem FROM fx_markers WHERE {w}" for p, w in (*PROBLEMS, ("refers to an unknown rule", "marker_id % 19 = 0"))))
+def _(c):
+    m = c.view("fx_markers")
+    odd = lambda k: F.col("marker_id") % k == 0
+    texts = m.select(F.concat(F.lit("R"), F.col("marker_id").cast("string")).alias("rule_id"), F.when(odd(5), " ").otherwise("s").alias("summary"), F.when(odd(7), "other").otherwise("actionable").alias("silo"), F.when(odd(11), 10.5).otherwise(2.0).alias("magnitude"), F.when(odd(13), "Odd").otherwise("Bad").alias("repute"))
+    lost = m.where(odd(19)).select(F.concat(F.lit("R"), F.col("marker_id").cast("string")).alias("rule_id"), F.lit(9).alias("node_id"), F.lit("rule").alias("op"), F.lit("").alias("rsid"), F.lit("").alias("alleles"), F.lit("nowhere").alias("ref_rule"))
+    return rules.validate_rules(texts, chained_rules(c).where("op = 'geno'").unionByName(lost), c.view("fx_ref_variants"))
+
+
+DRUGS = """SELECT sample_id, medicine, drug, CASE WHEN drug IS NOT NULL THEN gene END AS gene, CASE WHEN drug IS NOT NULL THEN phenotype END AS phenotype, CASE WHEN drug IS NULL THEN 'unmatched' WHEN phenotype = 'Indeterminate' THEN 'insufficient evidence' WHEN phenotype = 'Poor' THEN 'avoid' ELSE 'no listed effect' END AS effect
+FROM (SELECT c_custkey AS sample_id, 'med' || CAST(c_custkey % 7 AS VARCHAR) AS medicine, CASE WHEN c_custkey % 7 < 5 THEN 'drug' || CAST(c_custkey % 7 AS VARCHAR) END AS drug, 'G' || CAST(c_custkey % 4 AS VARCHAR) AS gene, CASE c_custkey % 3 WHEN 0 THEN 'Poor' WHEN 1 THEN 'Indeterminate' ELSE 'Normal' END AS phenotype, c_custkey % 7 % 4 = c_custkey % 4 AS mine FROM customer) WHERE drug IS NULL OR mine
+UNION ALL SELECT c_custkey, 'foo' || CAST(c_custkey % 3 AS VARCHAR), NULL, NULL, NULL, 'unmatched' FROM customer"""
+
+
+@query("jn18_match_drugs", DRUGS)
+def _(c):
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    text_ = lambda name, x: F.concat(F.lit(name), x.cast("string"))
+    meds = c.table("customer").select(k.alias("sample_id"), F.concat(text_("Med", k % 7), F.lit(" 20 mg daily; "), text_("Foo", k % 3), F.lit(",")).alias("text"))
+    seen = c.table("customer").select(k.alias("sample_id"), text_("G", k % 4).alias("gene"), F.when(k % 3 == 0, "Poor").when(k % 3 == 1, "Indeterminate").otherwise("Normal").alias("phenotype"))
+    some = c.table("nation").where("n_nationkey < 5")
+    return pgx.match_drugs(meds, seen, some.select(text_("MED", n).alias("alias"), text_("drug", n).alias("drug")), some.select(text_("drug", n).alias("drug"), text_("G", n % 4).alias("gene"), F.lit("Poor").alias("phenotype"), F.lit("avoid").alias("effect")))
+
+
+@query("ag41_panel_inventory", "SELECT count(DISTINCT fam) AS populations, count(DISTINCT sample_id) AS samples, (SELECT count(DISTINCT chrom_no) FROM fx_markers) AS files FROM fx_truth")
+def _(c):
+    from .queries_sources import variant_files
+
+    files = c.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(variant_files(c))
+    return ancestry.panel_inventory(files, c.view("fx_truth").select("sample_id", F.col("fam").alias("pop"))).select("populations", "samples", "files")
+
+
+@query("snk5_append_snapshot", "SELECT CAST(snapshot_id AS VARCHAR) AS snapshot_id, entry_key, true AS same FROM ox_prints")
+def _(c):
+    from .queries_sources import shared
+
+    path = shared(c, "snapshots")
+    entries = c.view("fx_snapshot_entries").withColumn("sample_id", F.lit(0).cast("long"))
+    for snap in ("1", "2", "3", "2"):  # a repeated append changes nothing
+        history.append_snapshot(entries.where(F.col("snapshot_id") == int(snap)), path, snap)
+    kept = c.spark.read.parquet(path).select(F.col("snapshot_id").cast("string").alias("snapshot_id"), "entry_key", F.col("digest").alias("kept"))
+    made = history.fingerprint(entries).select(F.col("snapshot_id").cast("string").alias("snapshot_id"), "entry_key", "digest")
+    return kept.join(made, ["snapshot_id", "entry_key"]).select("snapshot_id", "entry_key", (F.col("kept") == F.col("digest")).alias("same"))
 
 
 @query("ag25_prs_moments", f"SELECT model_id, round(mean, 9) AS mean, round(sd, 9) AS sd FROM ({MOMENTS})")

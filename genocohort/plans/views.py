@@ -53,6 +53,7 @@ ORACLE_VIEWS = {
     "ox_prints": f"""SELECT snapshot_id, entry_key, {SIG} AS code, {STARS} AS stars, cpic_level FROM fx_snapshot_entries""",
     "ox_gwas": "SELECT l_partkey % 97 AS k, l_orderkey % 50 AS study, l_linestatus || CAST(l_linenumber AS VARCHAR) AS trait, l_suppkey AS paper, substr('ACGT', CAST(l_linenumber % 4 AS INT) + 1, 1) AS allele, l_quantity / 4.0 AS mlog, l_orderkey * 100 + l_linenumber AS ord, l_returnflag FROM lineitem",
 }
+ORACLE_VIEWS["ox_scored_pop3"] = ORACLE_VIEWS["ox_scored"].replace("'POP0'", "'POP3'")
 VIEWS_FOR_ORACLE = VIEWS | ORACLE_VIEWS
 
 

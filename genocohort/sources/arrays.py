@@ -33,7 +33,7 @@ def parse_array_exports(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = facts.select("file", "provider", "h.sep", *[spot(k).alias(f"i_{k}") for k in NAMES])
     usable = F.col("i_rsid").isNotNull() & (F.col("i_genotype").isNotNull() | (F.col("i_allele1").isNotNull() & F.col("i_allele2").isNotNull()))
     refused = facts.where(~usable).select("file", F.lit("no usable header").alias("reason"))
-    rows = lines.where(~comment).join(F.broadcast(facts.where(usable)), "file")  # one row for each file
+    rows = lines.where(~comment).join(facts.where(usable), "file")  # one row for each file
     cells = F.transform(F.split(F.regexp_replace("line", '"', ""), F.col("sep")), lambda x: F.trim(x))
     at = lambda k: F.get(cells, F.col(f"i_{k}") - 1)
     gt = F.upper(at("genotype"))

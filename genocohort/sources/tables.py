@@ -101,7 +101,7 @@ def parse_scoring(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     body = numbered.where("line not like '#%'")
     first = body.groupBy("file").agg(F.min(F.struct("n", "line")).alias("h")).select("file", F.col("h.n").alias("h_n"), F.transform(F.split(F.lower("h.line"), "\t"), lambda x: F.trim(x)).alias("names"))
     kind = numbered.groupBy("file").agg(F.max(meta).alias("kind"))
-    rows = body.join(F.broadcast(first.join(kind, "file")), "file").where("n > h_n").withColumn("f", F.transform(F.split("line", "\t"), lambda x: F.trim(x)))  # one row for each file
+    rows = body.join(first.join(kind, "file"), "file").where("n > h_n").withColumn("f", F.transform(F.split("line", "\t"), lambda x: F.trim(x)))  # one row for each file
     at = lambda names: F.coalesce(*[F.get("f", F.array_position("names", n).cast("int") - 1) for n in names])
     flag = F.coalesce(*[F.when(F.lower(at((n,))).isin("true", "1", "yes", "t", "y"), True) for n in NON_ADDITIVE], F.lit(False))
     rows = rows.select("file", flag.alias("refused"), F.lower(at(SCORING["rsid"])).alias("rsid"), F.upper(at(SCORING["effect_allele"])).alias("effect_allele"), F.coalesce(F.upper(at(SCORING["other_allele"])), F.lit("")).alias("other_allele"), to_log_beta(at(SCORING["weight"]).try_cast("double"), "kind").alias("weight"))
@@ -121,7 +121,7 @@ def read_panel_labels(spark: SparkSession, path: str) -> DataFrame:
     split = F.when(F.col("line").contains(","), F.split("line", ",")).otherwise(cells())
     rows = rows.withColumn("f", F.transform(split, lambda x: F.trim(F.regexp_replace(x, '"', ""))))
     head = rows.groupBy("file").agg(F.min(F.struct("n", "f")).alias("h")).select("file", F.col("h.n").alias("h_n"), F.transform("h.f", F.lower).alias("names"))
-    rows = rows.join(F.broadcast(head), "file").where("n > h_n")  # one row for each file
+    rows = rows.join(head, "file").where("n > h_n")  # one row for each file
     at = lambda *names: F.coalesce(*[F.get("f", F.array_position("names", n).cast("int") - 1) for n in names])
     out = rows.select(at("sample", "sample_id", "sampleid", "sample id", "id").alias("sample_id"), F.regexp_replace(F.upper(at("pop", "population", "population id")), " ", "_").alias("pop"), F.coalesce(F.upper(at("super_pop", "superpop", "super_population", "region")), F.lit("UNKNOWN")).alias("superpop"))
     return out.where("sample_id <> '' and pop <> ''")
@@ -189,7 +189,7 @@ def read_caller_tables(spark: SparkSession, path: str, tool: str) -> DataFrame:
     f = F.transform(F.when(F.col("line").contains("\t"), F.split("line", "\t")).otherwise(cells()), lambda x: F.trim(x))
     rows = rows.withColumn("f", f)
     head = rows.groupBy("file").agg(F.min(F.struct("n", "f")).alias("h")).select("file", F.col("h.n").alias("h_n"), F.transform("h.f", F.lower).alias("names"))
-    rows = rows.join(F.broadcast(head), "file").where("n > h_n")  # one row for each file
+    rows = rows.join(head, "file").where("n > h_n")  # one row for each file
     pick = lambda key: F.coalesce(*[F.nullif(F.get("f", F.array_position("names", x).cast("int") - 1), F.lit("")) for x in names[key]])
     rows = rows.select("file", "n", pick("sample").alias("sample_id"), F.nullif(pick("haplogroup"), F.lit("?")).alias("haplogroup"), pick("quality").alias("quality")).where("haplogroup is not null")
     w = W.partitionBy("sample_id").orderBy("file", "n")

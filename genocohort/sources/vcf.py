@@ -38,7 +38,7 @@ def decode(lines: DataFrame) -> DataFrame:
     Reasons are tried in order: a reference block or symbolic allele, the shape of the selected alleles (substitutions
     of one base, at most two copies), no call (half calls included), no rsid.
     """
-    rows = records(lines).join(F.broadcast(sample_names(lines)), "file", "left").select("*", F.posexplode_outer("cells").alias("k", "cell"))
+    rows = records(lines).join(sample_names(lines), "file", "left").select("*", F.posexplode_outer("cells").alias("k", "cell"))
     gt = F.get(F.split("cell", ":"), F.array_position("format", "GT").cast("int") - 1)
     idx = F.transform(F.split(gt, "[/|]"), lambda x: x.try_cast("int"))
     alleles = F.transform(idx, lambda i: F.get(F.concat(F.array("ref"), F.col("alts")), i))
