@@ -143,12 +143,14 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS)
     shard.  Rows that the mix does not take are absent; rows that repeat a doc_id and text are taken one by one,
     in the order of their other columns; extra columns go along.
     """
-    again = W.partitionBy("key")
-    plan = plan_mix(docs, shards, blocks).where("taken > 0").withColumn("nth", F.row_number().over(again.orderBy("begin")))
+    plan = plan_mix(docs, shards, blocks).where("taken > 0")
+    # equal rows have one key: the n-th of them, by its other columns, is the n-th on the axis
+    plan = plan.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "size", "pieces"))).alias("takes"))
     kinds = dict(docs.dtypes)
     others = F.xxhash64(*[F.col(f"row.`{c}`") for c in docs.columns if "map<" not in kinds[c]])
-    rows = keyed(docs).select("row", "key").withColumn("nth", F.row_number().over(again.orderBy(others)))
-    out = rows.join(plan.select("key", "nth", "size", "pieces"), ["key", "nth"])
+    rows = keyed(docs).select("row", "key").withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy(others)))
+    # both sides are dealt by the key alone, so texts are shuffled once for it
+    out = rows.join(plan, "key").withColumn("take", F.get("takes", F.col("nth") - 1)).where("take is not null").select("row", "key", "nth", "take.size", "take.pieces")
     whole = lambda p, size: p["to"] - p["from"] == size
     # the words are only told apart in rows that are cut
     cut = F.when(F.exists("pieces", lambda p: ~whole(p, F.col("size"))), F.regexp_extract_all("row.text", F.lit(SPACE_CLASS + "*" + WORD_CLASS), F.lit(0)))
