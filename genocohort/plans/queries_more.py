@@ -20,13 +20,10 @@ def _(c):
     return population.allele_counts(gt, c.view("fx_truth").select("sample_id", F.col("fam").alias("pop")).distinct())
 
 
-@query("ag18_derive_genotype_table", "SELECT rsid, pop, a1 || a1 AS genotype, round(f1 * f1 * 100.0, 2) AS percent FROM (SELECT rsid, pop, arg_max(allele, freq) AS a1, max(freq) AS f1 FROM fx_allele_freq GROUP BY ALL HAVING max(freq) <> min(freq))")
+@query("ag18_derive_genotype_table", """SELECT rsid, pop, a1 || a1 AS genotype, round(f1 * f1 * 100.0, 2) AS percent FROM ox_two UNION ALL SELECT rsid, pop, a1 || a2, round(2.0 * f1 * f2 * 100.0, 2) FROM ox_two WHERE a2 IS NOT NULL
+ UNION ALL SELECT rsid, pop, a2 || a2, round(f2 * f2 * 100.0, 2) FROM ox_two WHERE a2 IS NOT NULL""")
 def _(c):
-    f = c.view("fx_allele_freq")
-    plain = f.groupBy("rsid", "pop").agg(F.max("freq").alias("hi"), F.min("freq").alias("lo")).where("hi <> lo")
-    t = population.derive_genotype_table(f.join(plain.select("rsid", "pop"), ["rsid", "pop"]))
-    top = f.groupBy("rsid", "pop").agg(F.max_by("allele", "freq").alias("a"))
-    return t.join(top, ["rsid", "pop"]).where(F.col("genotype") == F.concat("a", "a")).drop("a")
+    return population.derive_genotype_table(c.view("fx_allele_freq"))
 
 
 @query("ag19_gmaf", "SELECT rsid, arg_min(allele, (f, allele)) AS minor_allele, round(min(f), 4) AS gmaf FROM (SELECT rsid, allele, round(avg(freq), 4) AS f FROM fx_allele_freq GROUP BY ALL) GROUP BY rsid")
@@ -247,9 +244,9 @@ def _(c):
     return rules.rule_coverage(c.pooled(), c.rules())
 
 
-@query("ru5_evaluate_traits", "SELECT p.sample_id, 't' || CAST(m.marker_id % 50 AS VARCHAR) AS trait, CASE WHEN bool_or(p.gkey = m.alt || m.alt) THEN 'two' WHEN bool_or(p.gkey LIKE '%' || m.alt || '%') THEN 'some' ELSE 'none' END AS call FROM ox_pooled p JOIN fx_markers m ON m.rsid = p.rsid WHERE p.gkey <> 'NN' AND m.marker_id < 100 GROUP BY ALL")
+@query("ru5_evaluate_traits", "SELECT p.sample_id, 't' || CAST(m.marker_id % 50 AS VARCHAR) AS trait, CASE WHEN bool_or(p.gkey = m.alt || m.alt) THEN 'two' WHEN bool_or(p.gkey LIKE '%' || m.alt || '%') THEN 'some' ELSE 'none' END AS call FROM ox_pooled p JOIN fx_markers m ON m.rsid = p.rsid WHERE p.gkey <> 'NN' GROUP BY ALL")
 def _(c):
-    m = c.view("fx_markers").where("marker_id < 100").withColumn("trait", F.concat(F.lit("t"), (F.col("marker_id") % 50).cast("string")))
+    m = c.view("fx_markers").withColumn("trait", F.concat(F.lit("t"), (F.col("marker_id") % 50).cast("string")))
     row = lambda k, call, n: m.select("trait", F.lit(k).alias("rule_ord"), F.lit("any").alias("combine"), F.lit(call).alias("call"), "rsid", F.lit("min_copies").alias("kind"), F.col("alt").alias("allele"), F.lit(n).alias("n"))
     traits = m.select("trait").distinct().withColumn("default_call", F.lit("none"))
     return rules.evaluate_traits(c.pooled(), row(1, "two", 2).unionByName(row(2, "some", 1)), traits).select("sample_id", "trait", "call")
@@ -491,25 +488,36 @@ def _(c):
     return pgx.allele_status(c.pooled(), c.view("fx_allele_defs")).select("sample_id", "gene", "allele", "status", "copies")
 
 
-@query("wn11_assign_slots", f"SELECT sample_id, 'G2' AS gene, CASE WHEN bool_or(allele = '*4' AND status <> 'untestable') THEN CASE coalesce(max(copies) FILTER (allele = '*4'), 0) WHEN 0 THEN '*1/*1' WHEN 1 THEN '*1/*4' ELSE '*4/*4' END END AS diplotype FROM ({STATUS}) WHERE gene = 'G2' GROUP BY sample_id")
+# gene G1: *3 (two positions) before *2 (one of these) before *17; gene G2: *4, and *5 that no array reads
+SLOTS = f"""SELECT *, 2 - t3 - t2 - t17 - t4 AS r FROM (SELECT *, CASE WHEN gene = 'G1' THEN least(coalesce(n12, 0), 2 - t3 - t2) ELSE 0 END AS t17, CASE WHEN gene = 'G2' THEN coalesce(n13, 0) ELSE 0 END AS t4 FROM (
+ SELECT *, coalesce(n10, 0) - t3 AS t2 FROM (SELECT *, CASE WHEN n10 > 0 AND n11 > 0 THEN least(n10, n11) ELSE 0 END AS t3 FROM (
+ SELECT sample_id, gene, max(n) FILTER (rsid = 'rs1010') AS n10, max(n) FILTER (rsid = 'rs1011') AS n11, max(n) FILTER (rsid = 'rs1012') AS n12, max(n) FILTER (rsid = 'rs1013') AS n13 FROM {COPIES} GROUP BY ALL))))"""
+DIPLOTYPES = f"""SELECT *, CASE WHEN tested THEN rtrim(repeat('*1/', CAST(r AS INT)) || repeat('*2/', CAST(t2 AS INT)) || repeat('*3/', CAST(t3 AS INT)) || repeat('*4/', CAST(t4 AS INT)) || repeat('*17/', CAST(t17 AS INT)), '/') END AS diplotype,
+ CASE gene WHEN 'G1' THEN r + 1.5 * t17 ELSE r + 0.5 * t4 END AS score
+ FROM (SELECT *, CASE gene WHEN 'G1' THEN n10 IS NOT NULL OR n12 IS NOT NULL ELSE n13 IS NOT NULL END AS tested, CASE gene WHEN 'G1' THEN n10 IS NULL OR n11 IS NULL OR n12 IS NULL ELSE true END AS unread FROM ({SLOTS}))"""
+
+
+@query("wn11_assign_slots", f"SELECT sample_id, gene, diplotype, r > 0 AND tested AS reference_inferred FROM ({DIPLOTYPES})")
 def _(c):
-    return pgx.assign_slots(c.pooled(), c.view("fx_allele_defs")).where("gene = 'G2'").select("sample_id", "gene", "diplotype")
+    return pgx.assign_slots(c.pooled(), c.view("fx_allele_defs")).select("sample_id", "gene", "diplotype", "reference_inferred")
 
 
-@query("wn12_phenotype", f"SELECT sample_id, 'G2' AS gene, CASE coalesce(max(copies) FILTER (allele = '*4'), 0) WHEN 2 THEN 'Intermediate' ELSE 'Indeterminate' END AS phenotype FROM ({STATUS}) WHERE gene = 'G2' GROUP BY sample_id")
+@query("wn12_phenotype", f"SELECT sample_id, gene, CASE WHEN NOT tested OR (r > 0 AND unread) THEN 'Indeterminate' WHEN score < 1 THEN 'Poor' WHEN score < 2 THEN 'Intermediate' WHEN gene = 'G1' AND score > 2 THEN 'Rapid' ELSE 'Normal' END AS phenotype FROM ({DIPLOTYPES})")
 def _(c):
-    d = pgx.assign_slots(c.pooled(), c.view("fx_allele_defs")).where("gene = 'G2'")
-    acts = c.spark.createDataFrame([("G2", "*1", 1.0), ("G2", "*4", 0.5), ("G2", "*5", 0.0)], "gene string, allele string, activity double")
-    bands = c.spark.createDataFrame([("G2", 2.0, None, "Normal"), ("G2", 1.0, 2.0, "Intermediate"), ("G2", None, 1.0, "Poor")], "gene string, low double, high double, phenotype string")
+    d = pgx.assign_slots(c.pooled(), c.view("fx_allele_defs"))
+    listed = c.view("fx_allele_defs").select("gene", "allele", "activity").distinct()
+    acts = listed.unionByName(listed.select("gene").distinct().select("gene", F.lit("*1").alias("allele"), F.lit(1.0).alias("activity")))
+    rows = [("G1", 2.25, None, "Rapid"), ("G1", 2.0, 2.25, "Normal"), ("G1", 1.0, 2.0, "Intermediate"), ("G1", None, 1.0, "Poor"), ("G2", 2.0, None, "Normal"), ("G2", 1.0, 2.0, "Intermediate"), ("G2", None, 1.0, "Poor")]
+    bands = c.spark.createDataFrame(rows, "gene string, low double, high double, phenotype string")
     return pgx.phenotype(d, acts, bands).select("sample_id", "gene", "phenotype")
 
 
-PANEL = "SELECT p_brand AS gene, rsid, alt AS allele, marker_id % 4 <> 3 AS testable FROM fx_markers JOIN part ON p_partkey = marker_id WHERE marker_id % 6 = 1"
+PANEL = "SELECT p_brand AS gene, rsid, alt AS allele, marker_id % 4 <> 3 AS testable FROM fx_markers JOIN part ON p_partkey = marker_id"
 
 
 def panel(c):
     p = c.table("part").select(F.col("p_partkey").cast("long").alias("marker_id"), F.col("p_brand").alias("gene"))
-    return c.view("fx_markers").join(p, "marker_id").where("marker_id % 6 = 1").select("gene", "rsid", F.col("alt").alias("allele"), (F.col("marker_id") % 4 != 3).alias("array_testable"))
+    return c.view("fx_markers").join(p, "marker_id").select("gene", "rsid", F.col("alt").alias("allele"), (F.col("marker_id") % 4 != 3).alias("array_testable"))
 
 
 @query("ag33_carrier_status", f"SELECT sample_id, gene, CASE WHEN count(*) FILTER (n > 0) > 0 THEN 'carrier' WHEN count(n) > 0 THEN 'not_carrier_for_tested_variants' ELSE 'untestable' END AS status, count(n) AS tested, count(*) FILTER (n > 0) AS detected, count(*) FILTER (testable AND n IS NULL) AS not_read, count(*) FILTER (NOT testable) AS not_array_testable FROM (SELECT s.sample_id, g.*, CASE WHEN g.testable AND p.gkey <> 'NN' THEN CAST(substr(p.gkey, 1, 1) = g.allele AS INT) + CAST(substr(p.gkey, 2, 1) = g.allele AS INT) END AS n FROM (SELECT DISTINCT sample_id FROM ox_pooled) s CROSS JOIN ({PANEL}) g LEFT JOIN ox_pooled p ON p.sample_id = s.sample_id AND p.rsid = g.rsid) GROUP BY ALL")
@@ -556,9 +564,12 @@ def _(c):
     return lineage.resolution_ceiling(s, t, lineage.lineage_walk(s, t)).select("sample_id", "readable", "in_tree", "coverage")
 
 
-@query("wn17_tree_closure", "SELECT * FROM (VALUES ('A', 'root'), ('B', 'root'), ('B1', 'B'), ('B1', 'root'), ('B2', 'B'), ('B2', 'root'), ('B1a', 'B1'), ('B1a', 'B'), ('B1a', 'root')) t(node, ancestor) WHERE (SELECT count(*) FROM fx_tree) > 0")
+# a tree of four children a node over the parts
+@query("wn17_tree_closure", "SELECT CAST(id AS VARCHAR) AS node, CAST(id >> (2 * k) AS VARCHAR) AS ancestor, k AS steps, max(k) OVER (PARTITION BY id) AS depth FROM (SELECT CAST(p_partkey AS BIGINT) + 1 AS id FROM part), (SELECT CAST(unnest(range(1, 31)) AS INT) AS k) WHERE id >> (2 * k) > 0")
 def _(c):
-    return lineage.tree_closure(c.view("fx_tree")).select("node", "ancestor")
+    n = F.col("p_partkey").cast("long") + 1
+    up = F.shiftright(n, 2)
+    return lineage.tree_closure(c.table("part").select(n.cast("string").alias("node"), F.when(up > 0, up.cast("string")).otherwise("").alias("parent")))
 
 
 @query("wn16_compare_lineage_calls", "SELECT sample_id, CASE WHEN haplogroup IS NULL THEN 'incomparable' WHEN haplogroup = 'B' THEN 'identical' WHEN haplogroup LIKE 'B_%' THEN 'consistent_depth' ELSE 'divergent' END AS relation FROM (" + WALK + ")")
@@ -648,13 +659,13 @@ def _(c):
 
 
 STOP = "['a','an','and','are','as','at','be','by','do','does','for','from','have','how','i','in','is','it','me','my','of','on','or','that','the','this','to','was','what','with']"
-ASKED = f"SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9*]{{2,}}'), lambda t: NOT list_contains({STOP}, t)))) AS term FROM benchmark WHERE item_id % 10 = 0"
+ASKED = f"SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9*]{{2,}}'), lambda t: NOT list_contains({STOP}, t)))) AS term FROM benchmark WHERE item_id % 50 = 0"
 SHARED = f"SELECT q.item_id AS question_id, d.doc_id AS id, count(*) AS n FROM ({ASKED}) q JOIN (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9*]{{2,}}'))) AS term FROM documents) d ON d.term = q.term GROUP BY q.item_id, d.doc_id"
 
 
 @query("tk4_rank_by_terms", f"SELECT question_id, id, 12 * n AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY n DESC, id) AS rank FROM ({SHARED})) WHERE rank <= 5")
 def _(c):
-    q = c.table("benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("question_id"), "text")
+    q = c.table("benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("question_id"), "text")
     return text.rank_by_terms(c.table("documents"), q, ["text"], 5, "doc_id").select("question_id", "id", "score", "rank")
 
 

@@ -50,6 +50,7 @@ ORACLE_VIEWS = {
       JOIN ox_place x ON x.chrom_no = r.chrom_no AND x.position = r.s JOIN ox_place y ON y.chrom_no = r.chrom_no AND y.position = r.e WHERE round(greatest(0.0, y.cm - x.cm), 4) >= 0.5""",
     "ox_states": """SELECT s.sample_id, t.node, t.parent, CASE WHEN p.rsid IS NULL THEN 'not_on_array' WHEN coalesce(t.derived, '') = '' THEN 'unusable' WHEN p.gkey = 'NN' THEN 'no_call' WHEN p.gkey LIKE '%' || t.derived || '%' THEN 'derived' WHEN p.gkey LIKE '%' || t.ancestral || '%' THEN 'ancestral' ELSE 'discordant' END AS state
       FROM (SELECT DISTINCT sample_id FROM ox_pooled) s CROSS JOIN fx_tree t LEFT JOIN ox_pooled p ON p.sample_id = s.sample_id AND p.rsid = t.rsid WHERE t.parent <> ''""",
+    "ox_two": "SELECT rsid, pop, max(allele) FILTER (n = 1) AS a1, max(freq) FILTER (n = 1) AS f1, max(allele) FILTER (n = 2) AS a2, max(freq) FILTER (n = 2) AS f2 FROM (SELECT *, row_number() OVER (PARTITION BY rsid, pop ORDER BY freq DESC, allele) AS n FROM fx_allele_freq) GROUP BY rsid, pop",
     "ox_prints": f"""SELECT snapshot_id, entry_key, {SIG} AS code, {STARS} AS stars, cpic_level FROM fx_snapshot_entries""",
     "ox_gwas": "SELECT l_partkey % 97 AS k, l_orderkey % 50 AS study, l_linestatus || CAST(l_linenumber AS VARCHAR) AS trait, l_suppkey AS paper, substr('ACGT', CAST(l_linenumber % 4 AS INT) + 1, 1) AS allele, l_quantity / 4.0 AS mlog, l_orderkey * 100 + l_linenumber AS ord, l_returnflag FROM lineitem",
 }
