@@ -9,11 +9,16 @@ from pyspark.sql.window import Window as W
 from .common import SPACE_CHARS, SPACE_CLASS, bound, stage
 
 #: Words in a shingle, and the part of all 64-bit hashes that a sketch keeps: one in SCALE.
-SHINGLE, SCALE = 5, 16
+SHINGLE, SCALE = 5, 4
 #: About how many rows a part of the order of doc_id has; beyond a million parts they grow with the table.
 PART_ROWS, PARTS = 2_000, 1_000_000
 
 
+def threshold(scale: int) -> int:
+    """The signed 64-bit value that one hash in ``scale`` lies under."""
+    return -(2**63) + 2**64 // scale
+
+
 def word_hashes(text: Column) -> Column:
     """The 64-bit hash of each word of the lower-cased text; null and blank texts have none."""
     body = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(SPACE_CHARS))
@@ -28,7 +33,7 @@ def sketch(hashes: Column, size: int = SHINGLE, scale: int = SCALE) -> Column:
     the sketch of a union is what lies under the threshold in either, with the lesser
     least hash.  With fewer than ``size`` words the whole sequence is one shingle.
     """
-    below = -(2**63) + 2**64 // scale
+    below = threshold(scale)
 
     def shingles(h: Column) -> Column:
         made = F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < size, F.array(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " "))))
@@ -40,10 +45,21 @@ def sketch(hashes: Column, size: int = SHINGLE, scale: int = SCALE) -> Column:
     return bound(bound(hashes, shingles), least)
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Part of the smaller sketch that the other one holds; 1 for two empty ones, 0 for one."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).when(F.size(a) == F.size(b), 1.0).otherwise(0.0).cast("double")
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Part of the smaller sketch that the other one holds.
+
+    A hash above the threshold is compared with nothing that may have left its like out, so only those below
+    it count.  Two sketches without any are alike (1) if they are equal; one beside a sketch that has some gives 0,
+    which a text of n shingles meets with a chance of (1 - 1/scale)^n.
+    """
+    low = lambda s: F.filter(s, lambda h: h < threshold(scale))
+
+    def compared(both: Column) -> Column:
+        x, y = both["x"], both["y"]
+        least = F.least(F.size(x), F.size(y))
+        return F.when(least > 0, F.size(F.array_intersect(x, y)) / least).when((F.size(x) == F.size(y)) & (a == b), 1.0).otherwise(0.0).cast("double")
+
+    return bound(F.struct(low(a).alias("x"), low(b).alias("y")), compared)
 
 
 def resemblance(a: Column, b: Column) -> Column:

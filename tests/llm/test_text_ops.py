@@ -127,6 +127,10 @@ def test_mixed_documents(spark, docs, rows, no_docs):
     assert mixing.plan_mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
+#: The threshold under which one hash in four lies.
+LOW = -(2**63) + 2**62
+
+
 def plain_sketch(text):
     """Shingle hashes by the xxhash library under the threshold, and the least one."""
     import xxhash
@@ -141,14 +145,18 @@ def plain_sketch(text):
         found.add(signed(seed))
     if words and not found:
         found = {signed(xxhash.xxh64_intdigest(" ".join(map(str, words)).encode(), 42))}
-    return {h for h in found if h < -(2**63) + 2**60} | {min(found)} if found else set()
+    return {h for h in found if h < LOW} | {min(found)} if found else set()
 
 
 def test_fingerprints(docs, rows, no_docs):
     got = fingerprints.fingerprint_report(docs, part_rows=7).collect()
     order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     listed = lambda s: ",".join(f"{h & (2**64 - 1):016x}" for h in sorted(s))
-    part = lambda a, b: len(a & b) / min(len(a), len(b)) if a and b else float(not a and not b)
+
+    def part(a, b):
+        x, y = ({h for h in s if h < LOW} for s in (a, b))
+        return len(x & y) / min(len(x), len(y)) if x and y else float(not x and not y and a == b)
+
     want = Counter()
     for k, (i, t) in enumerate(order):
         nxt, half = order[(k + 1) % len(order)][1], len(t) // 2
@@ -178,8 +186,24 @@ def test_sketch_estimates_containment(spark):
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(6000)]
     df = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[:3000])), (2, " ".join(words[2000:5000]))], "doc_id long, text string")
     s = {r.doc_id: set(r.sketch) for r in fingerprints.fingerprints(df).collect()}
-    assert abs(len(s[0]) - 6000 / 16) < 100
-    assert len(s[0] & s[1]) >= len(s[1]) - 1 and abs(len(s[1] & s[2]) / len(s[2]) - 1 / 3) < 0.15
+    assert abs(len(s[0]) - 6000 / fingerprints.SCALE) < 150
+    assert len(s[0] & s[1]) >= len(s[1]) - 1 and abs(len(s[1] & s[2]) / len(s[2]) - 1 / 3) < 0.08
+
+
+def test_short_texts_in_long_ones(spark):
+    """Texts of 60 words are told apart from strangers, and found in a text of 6,000 words."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(6000)]
+    other = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    df = spark.createDataFrame([(k, " ".join(words[100 * k : 100 * k + 60])) for k in range(50)] + [(50, " ".join(other))], "doc_id long, text string")
+    whole = spark.createDataFrame([(" ".join(words),)], "whole string")
+    s = fingerprints.sketch(fingerprints.word_hashes(F.col("whole")))
+    got = fingerprints.fingerprints(df).crossJoin(whole.select(s.alias("long"))).select("doc_id", fingerprints.containment(F.col("sketch"), F.col("long")).alias("c")).collect()
+    assert all(r.c == float(r.doc_id < 50) for r in got)
 
 
 SECRETS = [
