@@ -15,6 +15,8 @@ SHINGLE, LINK = 5, 75
 #: following values that an order sorts by, and neighbours that each row meets on either side.
 TREES, FRESH, ROOT, DEPTH, NEAR = 32, 6, 3, 13, 8
 VALUES = TREES * FRESH
+#: Orders that are searched first: they join most members of a large group, so that the others pass over its pairs.
+FIRST_TREES = 4
 #: Leading values that the rows of a crowd share: two sets alike at 0.75 share them in one of the
 #: orders but for a chance of 2 in 10,000.  Rows of a crowd in a block, two of which meet in a task.
 CROWD, BLOCK = 5, 512
@@ -108,22 +110,22 @@ def light_rows(reps: DataFrame) -> DataFrame:
 
 def forest_rows(reps: DataFrame) -> DataFrame:
     """A row for each order in which a document's region holds others: region, the following
-    values to sort by, and the signature's low bytes."""
-    schema = pa.schema([("root", pa.int64()), ("rest", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.binary())])
+    values to sort by, the signature's low bytes and the order's number."""
+    schema = pa.schema([("root", pa.int64()), ("rest", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("low", pa.binary()), ("tree", pa.int32())])
 
     def run(batches):
         for batch in batches:
-            made = [[], [], [], [], []]
+            made = [[], [], [], [], [], []]
             for i, n, raw, held in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 sig = np.frombuffer(raw, np.uint32)
                 own, low, around = roots(sig[None, :])[0], sig.astype(np.uint8).tobytes(), np.concatenate([sig, sig]).astype(">u2")
                 for tree in np.flatnonzero(np.isin(own, np.array(held, np.int64))):
                     start = tree * FRESH + ROOT
-                    for column, value in zip(made, (int(own[tree]), around[start : start + DEPTH].tobytes(), i, n, low)):
+                    for column, value in zip(made, (int(own[tree]), around[start : start + DEPTH].tobytes(), i, n, low, int(tree))):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, schema)], schema=schema)
 
-    return reps.select("doc_id", "n_shingles", "sig", "held").mapInArrow(run, "root long, rest binary, doc_id long, n long, low binary")
+    return reps.select("doc_id", "n_shingles", "sig", "held").mapInArrow(run, "root long, rest binary, doc_id long, n long, low binary, tree int")
 
 
 def neighbours(rows: DataFrame, best_only: bool) -> DataFrame:
@@ -287,8 +289,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Documents with equal shingle sets form a class with the smallest doc_id as its representative;
     the forest finds pairs of representatives, and a pair links only if the full sets confirm it.
-    First each document's best candidate of each order is confirmed, then all candidates between different
-    components: pairs inside a component can't change it, so no group of n copies costs n * n.
+    First each document's best candidate in a few orders is confirmed, then the best one of another component in all
+    orders, then all candidates between different components: pairs inside a component can't change it, so no
+    group of n copies costs n * n.
     Last, crowds that are wider than the windows are compared in full between their components.
 
     Returns per row ``doc_id, n_shingles, component_id, kept``.  Null and blank texts have
@@ -308,15 +311,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     regions = stage(regions, "regions")
     held = light.join(bounded_broadcast(regions, regions.count()), "root", "left_semi").groupBy("doc_id").agg(F.collect_list("root").alias("held"))
     crowd = stage(forest_rows(reps.join(held, "doc_id")), "forest")
-    best = neighbours(crowd.withColumn("group", F.col("doc_id")), True).groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p"))
-    first, sets = confirmed(docs, best.select("p.a", "p.b").distinct(), None)
-    group = stage(components(first), "groups")
-    second, sets = confirmed(docs, neighbours(grouped(crowd, group), False).select("a", "b").distinct(), sets)
-    links = first.unionByName(second)
-    joined = stage(components(links), "groups") if second.take(1) else group
-    third = crowd_links(docs, grouped(crowd, joined), sets)
-    if third is not None and third.take(1):
-        joined = stage(components(links.unionByName(third)), "groups")
+    joined = links = sets = None
+    for trees, best_only in ((FIRST_TREES, True), (TREES, True), (TREES, False)):
+        rows = crowd.where(F.col("tree") < trees)
+        pairs = neighbours(rows.withColumn("group", F.col("doc_id")) if joined is None else grouped(rows, joined), best_only)
+        if best_only:
+            pairs = pairs.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("agree", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
+        found, sets = confirmed(docs, pairs.select("a", "b").distinct(), sets)
+        if joined is None or found.take(1):
+            links = found if links is None else links.unionByName(found)
+            joined = stage(components(links), "groups")
+    wide = crowd_links(docs, grouped(crowd, joined), sets)
+    if wide is not None and wide.take(1):
+        joined = stage(components(links.unionByName(wide)), "groups")
 
     named = stage(classes.join(joined, F.col("rep") == F.col("node"), "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id")), "named")
     linked = meet(full.select("doc_id", "n_shingles", "digest"), named, ["digest"], ["doc_id"]).drop("digest")
