@@ -1,4 +1,4 @@
-"""DuckDB SQL for operators 2, 5, 8 and 9."""
+"""DuckDB SQL for operators 2, 5, 8, 9, 12 and 13."""
 
 from __future__ import annotations
 
@@ -69,4 +69,43 @@ deg AS (SELECT a, count(*) AS n FROM ties GROUP BY a)
 SELECT v.vec_id, coalesce(d.n, 0) AS n_links, l.component_id, v.vec_id = l.component_id AS kept FROM v JOIN low l ON l.node = v.vec_id LEFT JOIN deg d ON d.a = v.vec_id
 """
 
-ORACLES = {"op2_line_dedup": LINES, "op5_source_mix": MIX, "op8_minhash_forest": SHINGLES, "op9_embedding_hnsw": VECTORS}
+#: The crc32 of a text's bytes, by a table of 256 entries.
+CRC_TABLE = "crc AS MATERIALIZED (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n))"
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda b: CAST('0x' || b AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+WAIT = "-ln((CAST('0x' || substr(md5(k || '|' || {0}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / {1}"
+
+
+def descent(name: str, tree: str) -> str:
+    """Three levels of draws: the region with the least, in it the rack, in it the shard."""
+    return f"""{name}r AS MATERIALIZED (SELECT k, arg_min(p, {WAIT.format("p", "w")}) AS r FROM keys CROSS JOIN (SELECT CAST(region AS VARCHAR) AS p, count(*) AS w FROM {tree} GROUP BY region) GROUP BY k),
+{name}k AS MATERIALIZED (SELECT k, arg_min(p, {WAIT.format("p", "w")}) AS r FROM {name}r a JOIN (SELECT CAST(region AS VARCHAR) AS up, region || '/' || rack AS p, count(*) AS w FROM {tree} GROUP BY region, rack) b ON b.up = a.r GROUP BY k),
+{name} AS MATERIALIZED (SELECT k, CAST(arg_min(shard, {WAIT.format("p", "1.0")}) AS INT) AS shard FROM {name}k a JOIN (SELECT region || '/' || rack AS up, region || '/' || rack || '/' || shard AS p, shard FROM {tree}) b ON b.up = a.r GROUP BY k)"""
+
+
+TREE = rf"""
+WITH {CRC_TABLE},
+now AS (SELECT i // 8 AS region, i // 4 % 2 AS rack, i AS shard FROM range(24) t(i)), grown AS (SELECT * FROM now UNION ALL SELECT 3, 0, 24),
+rows_ AS MATERIALIZED (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, strlen(coalesce(text, '')) + 8 AS size, {CRC.format("coalesce(text, '')")} AS text_crc32 FROM documents, crc),
+keys AS MATERIALIZED (SELECT DISTINCT k FROM rows_),
+{descent("a", "now")},
+{descent("b", "grown")}
+SELECT doc_id, size, text_crc32, 'key' AS law, a.shard, row_number() OVER (PARTITION BY a.shard ORDER BY md5(k || ':' || text_crc32 || ':' || size)) - 1 AS slot, b.shard AS grown_shard FROM rows_ JOIN a USING (k) JOIN b USING (k)
+"""
+
+#: Nodes are prefixes of a key of one md5 a turn; each gives its share to every prefix of itself.
+TRIE = rf"""
+WITH {CRC_TABLE},
+own AS MATERIALIZED (SELECT conv_id, list({{'m': md5(length(r) || ':' || r || x), 'b': strlen(x)}} ORDER BY turn NULLS FIRST, md5(length(r) || ':' || r || x)) AS turns FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+heights AS MATERIALIZED (SELECT conv_id, turns, {CRC.format("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own, crc),
+rebuilt AS MATERIALIZED (SELECT a.conv_id, list_concat(coalesce(b.turns[1:h], []), a.turns[h + 1:]) AS turns FROM heights a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+keyed AS MATERIALIZED (SELECT conv_id, len(turns) AS n, coalesce(array_to_string(list_transform(turns, lambda t: t.m), ''), '') AS key, list_transform(turns, lambda t: t.b) AS bytes FROM rebuilt),
+places AS MATERIALIZED (SELECT conv_id, n, d, substr(key, 1, CAST(32 * d AS INT)) AS key, CASE WHEN d > 0 THEN bytes[d] ELSE 0 END AS b FROM (SELECT *, unnest(range(n + 1)) AS d FROM keyed)),
+nodes AS MATERIALIZED (SELECT key, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(b) AS own, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ended FROM places GROUP BY key, d),
+kids AS MATERIALIZED (SELECT substr(key, 1, CAST(32 * (depth - 1) AS INT)) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+shares AS (SELECT substr(key, 1, CAST(32 * unnest(range(depth + 1)) AS INT)) AS key, own, leaf FROM (SELECT n.*, CAST(k.n IS NULL AS INT) AS leaf FROM nodes n LEFT JOIN kids k USING (key))),
+sums AS MATERIALIZED (SELECT key, sum(own) AS saved, sum(leaf) AS leaves FROM shares GROUP BY key)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(n.ended) AS ends_sha256
+FROM nodes n JOIN sums s USING (key) LEFT JOIN kids k USING (key) LEFT JOIN nodes p ON n.depth > 0 AND p.key = substr(n.key, 1, CAST(32 * (n.depth - 1) AS INT))
+"""
+
+ORACLES = {"op2_line_dedup": LINES, "op5_source_mix": MIX, "op8_minhash_forest": SHINGLES, "op9_embedding_hnsw": VECTORS, "op12_hash_tree": TREE, "op13_conversation_trie": TRIE}

@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators and the SQL for those that SQL can express."""
+"""The registered queries of the thirteen operators and the SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, hnsw, langid, line_dedup, lm_score, minhash_forest, mixing, secrets, urlgraph
+from . import bpe, fingerprints, hnsw, langid, line_dedup, lm_score, minhash_forest, mixing, runs, secrets, sharding, trie, urlgraph
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -67,10 +67,23 @@ def op10_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlgraph.judge_urls(_read(spark, sf_dir, "pages"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(runs.planted(_read(spark, sf_dir, "documents")))
+
+
+def op12_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(_read(spark, sf_dir, "documents"), sharding.shard_tree(24), sharding.shard_tree(25))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(trie.replayed(trie.sequences(_read(spark, sf_dir, "conversations")))).drop("turn_md5")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_language_id, op4_lm_score, op5_source_mix, op6_fingerprints, op7_secret_scan, op8_minhash_forest, op9_embedding_hnsw, op10_url_graph, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_language_id, op4_lm_score, op5_source_mix, op6_fingerprints, op7_secret_scan, op8_minhash_forest, op9_embedding_hnsw, op10_url_graph, op11_word_runs, op12_hash_tree, op13_conversation_trie, pipeline)}
