@@ -123,20 +123,59 @@ def _(c):
 
 
 def chained_rules(c):
-    """A rule for each marker, two of three of which also ask for the rule of the marker before."""
-    m = c.view("fx_markers")
-    rule = F.concat(F.lit("R"), F.col("marker_id").cast("string"))
-    leaf = m.select(rule.alias("rule_id"), F.lit(2).alias("node_id"), F.lit("geno").alias("op"), "rsid", F.col("alt").alias("alleles"), F.lit("").alias("ref_rule"))
-    needs = F.concat(F.lit("R"), (F.col("marker_id") - 1).cast("string"))
-    return leaf.unionByName(m.where("marker_id % 3 > 0").select(rule.alias("rule_id"), F.lit(3).alias("node_id"), F.lit("rule").alias("op"), F.lit("").alias("rsid"), F.lit("").alias("alleles"), needs.alias("ref_rule")))
+    """A rule for each marker m, by m % 5: its allele; that and rule m-1; not(m or m-1 called alt) or rule m-1; two of its allele
+    and the rules m-1 and m-2; not rule m-1."""
+    # Fixed values: (kind of the rule, node, parent, op, n, marker or rule by how far it lies before m)
+    shapes = [(0, 1, 0, "geno", 0, 0), (1, 1, 0, "and", 0, None), (1, 2, 1, "geno", 0, 0), (1, 3, 1, "rule", 0, 1), (2, 1, 0, "or", 0, None), (2, 2, 1, "not", 0, None), (2, 3, 2, "geno", 0, 0), (2, 4, 2, "geno", 0, 1), (2, 5, 1, "rule", 0, 1),
+              (3, 1, 0, "atleast", 2, None), (3, 2, 1, "geno", 0, 0), (3, 3, 1, "rule", 0, 1), (3, 4, 1, "rule", 0, 2), (4, 1, 0, "not", 0, None), (4, 2, 1, "rule", 0, 1)]
+    shape = c.spark.createDataFrame(shapes, "kind int, node_id int, parent_id int, op string, n int, back int")
+    m = c.view("fx_markers").select("marker_id", "rsid", "alt")
+    rows = m.join(shape, F.col("marker_id") % 5 == F.col("kind")).withColumn("at", F.col("marker_id") - F.col("back"))
+    rows = rows.join(m.select(F.col("marker_id").alias("at"), F.col("rsid").alias("its"), F.col("alt").alias("alleles")), "at", "left")
+    leaf = F.col("op") == "geno"
+    name = lambda x: F.concat(F.lit("R"), F.col(x).cast("string"))
+    return rows.select(name("marker_id").alias("rule_id"), "node_id", "parent_id", "op", "n", F.when(leaf, F.coalesce("its", F.lit(""))).otherwise("").alias("rsid"), F.when(leaf, F.col("alleles")).alias("alleles"), F.when(F.col("op") == "rule", name("at")).otherwise("").alias("ref_rule"))
+
+
+@query("ru2_rule_order", "SELECT 'R' || CAST(marker_id AS VARCHAR) AS rule_id, marker_id AS number, CAST(marker_id % 5 AS INT) AS level FROM fx_markers")
+def _(c):
+    return rules.rule_order(chained_rules(c)).select("rule_id", "number", "level")
+
 
+#: Markers in blocks of five, whose calls give all five rules.
+BLOCKS = """SELECT sample_id, b, R0, R1, R2, n3 >= 2 AS R3, n3 < 2 AS R4 FROM (SELECT *, CAST(l3 AS INT) + CAST(R2 AS INT) + CAST(R1 AS INT) AS n3 FROM (SELECT *, NOT (l2 OR l1) OR R1 AS R2 FROM (SELECT *, l0 AS R0, l1 AND l0 AS R1 FROM (
+ SELECT s.sample_id, m.marker_id // 5 AS b, bool_or(coalesce(v, false)) FILTER (m.marker_id % 5 = 0) AS l0, bool_or(coalesce(v, false)) FILTER (m.marker_id % 5 = 1) AS l1, bool_or(coalesce(v, false)) FILTER (m.marker_id % 5 = 2) AS l2, bool_or(coalesce(v, false)) FILTER (m.marker_id % 5 = 3) AS l3
+ FROM (SELECT DISTINCT sample_id FROM ox_pooled) s CROSS JOIN fx_markers m LEFT JOIN (SELECT p.sample_id, p.marker_id, p.gkey LIKE '%' || m.alt || '%' AS v FROM ox_pooled p JOIN fx_markers m ON m.marker_id = p.marker_id) p ON p.sample_id = s.sample_id AND p.marker_id = m.marker_id GROUP BY ALL))))"""
+EACH_RULE = f"SELECT k.sample_id, 'R' || CAST(m.marker_id AS VARCHAR) AS rule_id, m.marker_id, CASE m.marker_id % 5 WHEN 0 THEN R0 WHEN 1 THEN R1 WHEN 2 THEN R2 WHEN 3 THEN R3 ELSE R4 END AS matched FROM ({BLOCKS}) k JOIN fx_markers m ON m.marker_id // 5 = k.b"
 
-@query("ru2_rule_order", "SELECT 'R' || CAST(marker_id AS VARCHAR) AS rule_id, marker_id AS number, rank() OVER (ORDER BY level) - 1 AS earlier FROM (SELECT marker_id, CASE WHEN marker_id % 3 = 0 THEN 0 WHEN marker_id % 3 = 1 THEN 1 ELSE 2 END AS level FROM fx_markers)")
+
+@query("ru1_rule_for_each_marker", f"SELECT sample_id, rule_id, matched FROM ({EACH_RULE})")
 def _(c):
-    from pyspark.sql.window import Window as W
+    return rules.evaluate_rules(c.pooled(), chained_rules(c))
+
 
-    order = rules.rule_order(chained_rules(c).where("ref_rule = '' or ref_rule <> 'R-1'"))
-    return order.select("rule_id", "number", (F.rank().over(W.orderBy("level")) - 1).alias("earlier"))
+@query("ru1_rule_matches", f"SELECT sample_id, rule_id FROM ({EACH_RULE}) WHERE matched")
+def _(c):
+    return rules.rule_matches(c.pooled(), chained_rules(c))
+
+
+@query("ru3_coverage_for_each_marker", f"""SELECT sample_id, rule_id, matched, required, coverage, CASE WHEN matched THEN 'matched' WHEN coverage < 1 THEN 'incomplete' ELSE 'unmatched' END AS bucket, matched AND coverage < 1 AS partial_coverage FROM (
+ SELECT r.sample_id, r.rule_id, r.matched, count(*) AS required, round(count(p.rsid) / count(*), 4) AS coverage FROM ({EACH_RULE}) r JOIN (SELECT a.marker_id, b.rsid FROM fx_markers a JOIN fx_markers b ON b.marker_id // 5 = a.marker_id // 5 AND b.marker_id <= a.marker_id AND b.marker_id % 5 < 4) n ON n.marker_id = r.marker_id
+ LEFT JOIN ox_pooled p ON p.sample_id = r.sample_id AND p.rsid = n.rsid AND p.gkey <> 'NN' GROUP BY ALL)""")
+def _(c):
+    return rules.rule_coverage(c.pooled(), chained_rules(c))
+
+
+@query("ru4_order_matches", f"SELECT sample_id, rule_id, row_number() OVER (PARTITION BY sample_id ORDER BY coalesce(magnitude, 0.0) DESC, marker_id) AS place FROM (SELECT *, CASE WHEN marker_id % 4 > 0 THEN CAST(marker_id % 4 AS DOUBLE) END AS magnitude FROM ({EACH_RULE}) WHERE matched)")
+def _(c):
+    number = F.substring("rule_id", 2, 9).cast("int")
+    rows = rules.rule_matches(c.pooled(), chained_rules(c)).select("sample_id", "rule_id", F.lit(True).alias("matched"), F.when(number % 4 > 0, (number % 4).cast("double")).alias("magnitude"))
+    return rules.number_matches(rows).select("sample_id", "rule_id", "place")
+
+
+def marker_rules(c):
+    """A rule of one leaf for each marker."""
+    return c.view("fx_markers").select(F.concat(F.lit("R"), F.col("marker_id").cast("string")).alias("rule_id"), F.lit(2).alias("node_id"), F.lit("geno").alias("op"), "rsid", F.col("alt").alias("alleles"), F.lit("").alias("ref_rule"))
 
 
 PROBLEMS = (("no summary", "marker_id % 5 = 0"), ("unknown silo", "marker_id % 7 = 0"), ("magnitude out of range", "marker_id % 11 = 0"), ("unknown repute", "marker_id % 13 = 0"), ("marker not in the reference", "marker_id % 4 = 3"))
@@ -148,7 +187,7 @@ def _(c):
     odd = lambda k: F.col("marker_id") % k == 0
     texts = m.select(F.concat(F.lit("R"), F.col("marker_id").cast("string")).alias("rule_id"), F.when(odd(5), " ").otherwise("s").alias("summary"), F.when(odd(7), "other").otherwise("actionable").alias("silo"), F.when(odd(11), 10.5).otherwise(2.0).alias("magnitude"), F.when(odd(13), "Odd").otherwise("Bad").alias("repute"))
     lost = m.where(odd(19)).select(F.concat(F.lit("R"), F.col("marker_id").cast("string")).alias("rule_id"), F.lit(9).alias("node_id"), F.lit("rule").alias("op"), F.lit("").alias("rsid"), F.lit("").alias("alleles"), F.lit("nowhere").alias("ref_rule"))
-    return rules.validate_rules(texts, chained_rules(c).where("op = 'geno'").unionByName(lost), c.view("fx_ref_variants"))
+    return rules.validate_rules(texts, marker_rules(c).unionByName(lost), c.view("fx_ref_variants"))
 
 
 DRUGS = """SELECT sample_id, medicine, drug, CASE WHEN drug IS NOT NULL THEN gene END AS gene, CASE WHEN drug IS NOT NULL THEN phenotype END AS phenotype, CASE WHEN drug IS NULL THEN 'unmatched' WHEN phenotype = 'Indeterminate' THEN 'insufficient evidence' WHEN phenotype = 'Poor' THEN 'avoid' ELSE 'no listed effect' END AS effect
@@ -572,6 +611,73 @@ def _(c):
     return lineage.tree_closure(c.table("part").select(n.cast("string").alias("node"), F.when(up > 0, up.cast("string")).otherwise("").alias("parent")))
 
 
+def deep_tree(c):
+    """A tree of four children a node over the markers; a marker in four defines no node that an array could read."""
+    i, up = F.col("marker_id") + 1, F.shiftright(F.col("marker_id") + 3, 2)
+    name = lambda x: F.concat(F.lit("N"), x.cast("string"))
+    lost = F.col("marker_id") % 4 == 3
+    return c.view("fx_markers").select(name(i).alias("node"), F.when(i > 1, name(up)).otherwise("").alias("parent"), F.when(lost, "").otherwise(F.col("rsid")).alias("rsid"), F.col("ref").alias("ancestral"), F.when(~lost, F.col("alt")).alias("derived"))
+
+
+def mt_fixture(c):
+    """Pooled calls of which three markers in four lie on the mitochondrion, and one or two positions for each node of the tree."""
+    m = c.view("fx_markers").select("marker_id", "rsid", "alt")
+    here = F.when(F.col("marker_id") % 4 != 3, F.element_at(F.array(F.lit("MT"), F.lit("chrM"), F.lit("26")), (F.col("marker_id") % 3 + 1).cast("int"))).otherwise("7")
+    pooled = c.pooled().drop("chromosome", "position").join(m.select("rsid", "marker_id"), "rsid").select("sample_id", "rsid", "allele1", "allele2", here.alias("chromosome"), (F.col("marker_id") + 1).alias("position"))
+    first = m.select(F.col("marker_id").alias("owner"), "marker_id", "rsid", "alt")
+    second = m.where("marker_id % 3 = 1").select((F.col("marker_id") - 1).alias("owner"), "marker_id", "rsid", "alt")
+    defining = first.unionByName(second).select(F.concat(F.lit("N"), (F.col("owner") + 1).cast("string")).alias("node"), (F.col("marker_id") + 1).alias("position"), F.col("alt").alias("base"), F.when(F.col("marker_id") % 2 == 0, F.col("rsid")).alias("rsid"), (F.col("marker_id") % 5 > 0).alias("verified"))
+    return pooled, defining.where("node <> 'N1'")
+
+
+MT_DEFINING = "(SELECT d.id, m.marker_id, m.alt, m.marker_id % 5 > 0 AS verified FROM (SELECT marker_id + 1 AS id, marker_id FROM fx_markers UNION ALL SELECT marker_id, marker_id FROM fx_markers WHERE marker_id % 3 = 1) d JOIN fx_markers m ON m.marker_id = d.marker_id WHERE d.id > 1)"
+MT_STATES = f"SELECT p.sample_id, d.id, p.marker_id + 1 AS position, d.verified, CASE WHEN p.gkey = 'NN' THEN 'no_call' WHEN contains(p.gkey, d.alt) THEN 'derived' ELSE 'ancestral' END AS state FROM {MT_DEFINING} d JOIN ox_pooled p ON p.marker_id = d.marker_id WHERE p.marker_id % 4 <> 3"
+
+
+def tree_walk(states: str, gap: str, best: bool) -> str:
+    """Walks by recursion: what each parent's children say, then step by step from the root."""
+    one = "n_good = 1 OR (n_good > 1 AND n_top = 1)" if best else "n_good = 1"
+    return f"""WITH RECURSIVE sts AS MATERIALIZED ({states}), sup AS MATERIALIZED (SELECT sample_id, id, count(*) FILTER (state = 'derived') AS support, count(*) FILTER (state IN ('ancestral', 'discordant')) AS against FROM sts WHERE state IN ('derived', 'ancestral', 'discordant') GROUP BY ALL),
+ good AS MATERIALIZED (SELECT * FROM sup WHERE support > 0 AND against = 0), ups AS (SELECT sample_id, id, id AS spot FROM good UNION SELECT sample_id, id, (spot + 2) >> 2 FROM ups WHERE spot > 1),
+ gaps AS MATERIALIZED (SELECT sample_id, spot AS id FROM (SELECT DISTINCT sample_id, spot FROM ups WHERE spot <> id) u WHERE {gap}),
+ kids AS (SELECT sample_id, (id + 2) >> 2 AS parent, id, support, 0 AS gap FROM good WHERE id > 1 UNION ALL SELECT sample_id, (id + 2) >> 2, id, 0, 1 FROM gaps WHERE id > 1),
+ ranked AS (SELECT *, count(*) FILTER (gap = 0) OVER w AS n_good, count(*) FILTER (gap = 1) OVER w AS n_gaps, count(*) OVER (PARTITION BY sample_id, parent, gap, support) AS n_top, row_number() OVER (PARTITION BY sample_id, parent ORDER BY gap, support DESC, id) AS rn FROM kids WINDOW w AS (PARTITION BY sample_id, parent)),
+ choice AS MATERIALIZED (SELECT sample_id, parent, id, gap = 1 AS assumed, n_good > 1 OR (n_good = 0 AND n_gaps > 1) AS conflict, {one} OR (n_good = 0 AND n_gaps = 1) AS go FROM ranked WHERE rn = 1),
+ steps AS (SELECT sample_id, CAST(1 AS BIGINT) AS spot, 0 AS d, false AS assumed FROM (SELECT DISTINCT sample_id FROM ox_pooled) UNION ALL SELECT s.sample_id, c.id, s.d + 1, c.assumed FROM steps s JOIN choice c ON c.sample_id = s.sample_id AND c.parent = s.spot WHERE c.go),
+ walks AS MATERIALIZED (SELECT s.sample_id, arg_max(s.spot, s.d) AS last, max(s.d) AS d, coalesce(string_agg('N' || s.spot, '>' ORDER BY s.d) FILTER (s.d > 0), '') AS path, coalesce(string_agg('N' || s.spot, ',' ORDER BY s.d) FILTER (s.assumed), '') AS assumed, coalesce(bool_or(c.conflict), false) AS conflict FROM steps s LEFT JOIN choice c ON c.sample_id = s.sample_id AND c.parent = s.spot GROUP BY s.sample_id)"""
+
+
+Y_STATES = "SELECT s.sample_id, m.marker_id + 1 AS id, CASE WHEN m.marker_id % 4 = 3 OR p.rsid IS NULL THEN 'not_on_array' WHEN p.gkey = 'NN' THEN 'no_call' WHEN contains(p.gkey, m.alt) THEN 'derived' WHEN contains(p.gkey, m.ref) THEN 'ancestral' ELSE 'discordant' END AS state FROM (SELECT DISTINCT sample_id FROM ox_pooled) s CROSS JOIN fx_markers m LEFT JOIN ox_pooled p ON p.sample_id = s.sample_id AND p.rsid = m.rsid WHERE m.marker_id > 0"
+NOT_TESTED = "NOT EXISTS (SELECT 1 FROM sup WHERE sup.sample_id = u.sample_id AND sup.id = u.spot)"
+
+
+@query("wn13_walk_of_deep_tree", tree_walk(Y_STATES, NOT_TESTED, False) + " SELECT sample_id, CASE WHEN conflict THEN 'conflict' WHEN d > 0 THEN 'resolved' ELSE 'unresolved' END AS state, CASE WHEN d > 0 THEN 'N' || last END AS haplogroup, path, assumed FROM walks")
+def _(c):
+    t = deep_tree(c)
+    walk = lineage.lineage_walk(lineage.marker_states(c.pooled(), t), t)
+    return walk.select("sample_id", "state", "haplogroup", F.array_join("path", ">").alias("path"), F.array_join("assumed", ",").alias("assumed"))
+
+
+@query("wn13_mt_walk", tree_walk(MT_STATES, NOT_TESTED, True) + """ SELECT w.sample_id, CASE WHEN d > 0 THEN 'called' ELSE 'unresolved' END AS state, CASE WHEN d > 0 THEN 'N' || last END AS haplogroup, path, assumed, conflict, coalesce(v, 0) AS verified_used, coalesce(u, 0) AS unverified_used, CASE WHEN coalesce(u, 0) > 0 OR assumed <> '' THEN 'provisional' WHEN d > 0 THEN 'moderate' ELSE 'none' END AS confidence
+ FROM walks w LEFT JOIN (SELECT s.sample_id, count(*) FILTER (verified) AS v, count(*) FILTER (NOT verified) AS u FROM sts JOIN steps s ON s.sample_id = sts.sample_id AND s.spot = sts.id WHERE state = 'derived' GROUP BY ALL) z USING (sample_id)""")
+def _(c):
+    pooled, defining = mt_fixture(c)
+    walk = lineage.mt_lineage_walk(pooled, deep_tree(c), defining)
+    return walk.withColumns({"path": F.array_join("path", ">"), "assumed": F.array_join("assumed", ",")})
+
+
+@query("wn13_mt_stops", tree_walk(MT_STATES, NOT_TESTED, True) + " SELECT w.sample_id, 'N' || (m.marker_id + 1) AS node, CASE WHEN s.id IS NULL THEN 'not testable' ELSE 'excluded' END AS reason FROM walks w JOIN fx_markers m ON m.marker_id > 0 AND (m.marker_id + 3) >> 2 = w.last LEFT JOIN sup s ON s.sample_id = w.sample_id AND s.id = m.marker_id + 1 WHERE s.id IS NULL OR s.against > 0")
+def _(c):
+    pooled, defining = mt_fixture(c)
+    t = deep_tree(c)
+    return lineage.mt_stops(pooled, t, defining, lineage.mt_lineage_walk(pooled, t, defining))
+
+
+@query("wn14_mt_states", f"SELECT sample_id, 'N' || id AS node, position, verified, state FROM ({MT_STATES})")
+def _(c):
+    return lineage.mt_states(*mt_fixture(c))
+
+
 @query("wn16_compare_lineage_calls", "SELECT sample_id, CASE WHEN haplogroup IS NULL THEN 'incomparable' WHEN haplogroup = 'B' THEN 'identical' WHEN haplogroup LIKE 'B_%' THEN 'consistent_depth' ELSE 'divergent' END AS relation FROM (" + WALK + ")")
 def _(c):
     t = c.view("fx_tree")

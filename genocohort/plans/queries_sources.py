@@ -5,25 +5,18 @@ The files lie in the folder that all executors share, so that the readers' work
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import new_folder
 from ..sources import arrays, lines, tables, vcf
 from ..streaming import ingest
 from .queries import query
 
 
 def shared(c, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; a session in one process may do without that setting."""
-    base = c.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not c.spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/exports/{uuid.uuid4().hex}/{name}"
+    """A new path in the folder that all executors share, deleted at the end."""
+    return new_folder(c.spark, name)
 
 
 def write_files(rows: DataFrame, by: list[str], path: str) -> str:

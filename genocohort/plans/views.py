@@ -73,6 +73,8 @@ def oracle(sql: str) -> str:
         return sql.strip()
     joined = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS_FOR_ORACLE[n]})" for n in views)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {joined},\n{body[15:]}"
     return f"WITH {joined},\n{body[5:]}" if body[:5].upper() == "WITH " else f"WITH {joined}\n{body}"
 
 

@@ -96,7 +96,25 @@ def test_rules(spark):
     got = {(r.sample_id, r.rule_id): r.matched for r in rules.evaluate_rules(calls, nodes).collect()}
     assert got == {(1, "R1"): True, (1, "R2"): True, (1, "R3"): True, (2, "R1"): True, (2, "R2"): False, (2, "R3"): False, (3, "R1"): False, (3, "R2"): True, (3, "R3"): False}
     with pytest.raises(rules.RuleError):
-        rules.rule_levels(spark.createDataFrame([("A", "B"), ("B", "A")], "rule_id string, ref_rule string"))
+        rules.rule_levels(spark.createDataFrame([("A", "B"), ("B", "A"), ("C", ""), ("D", "C")], "rule_id string, ref_rule string"))
+    with pytest.raises(rules.RuleError):
+        rules.evaluate_rules(calls, nodes.where("node_id = 1 or rule_id <> 'R2'"))
+
+
+def test_long_chains_and_plans(spark):
+    chain = spark.createDataFrame([(f"R{i}", f"R{i - 1}" if i else "") for i in range(55)] + [("S", "R9"), ("T", "nowhere")], "rule_id string, ref_rule string")
+    assert {r.rule_id: r.level for r in rules.rule_levels(chain).collect()} == {f"R{i}": i for i in range(55)} | {"S": 10, "T": 0}
+    kinds = "rule_id string, node_id int, parent_id int, op string, n int, rsid string, alleles string, ref_rule string"
+    calls = spark.createDataFrame([(1, "rs1", "A", "A"), (2, "rs1", "G", "G")], "sample_id long, rsid string, allele1 string, allele2 string")
+    lengths = []
+    for n in (2, 200):
+        rows = [(f"R{i}", 1, 0, "geno", 0, "rs1", "A", "") for i in range(n)] + [(f"N{i}", k, k and 1, "not" if k == 1 else "rule", 0, "", None, f"R{i}" if k == 2 else "") for i in range(n) for k in (1, 2)]
+        rows = [(r, a, 0 if a == 1 else 1, *x) for r, a, _, *x in rows]
+        nodes = spark.createDataFrame(rows, kinds)
+        out = rules.evaluate_rules(calls, nodes)
+        lengths.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+        assert {(r.sample_id, r.rule_id) for r in out.where("matched").collect()} == {(1, f"R{i}") for i in range(n)} | {(2, f"N{i}") for i in range(n)} == {(r.sample_id, r.rule_id) for r in rules.rule_matches(calls, nodes).collect()}
+    assert lengths[1] < 1.1 * lengths[0]  # rules are rows, not columns
 
 
 def test_snapshot_kinds(spark):
