@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.population import wilson_interval
+from .provenance import digest_tree
 
 MIN_MARKERS, MIN_FRACTION = 50, 0.20
 
@@ -61,8 +62,7 @@ def painting_totals(segments: DataFrame, lengths: DataFrame) -> DataFrame:
     return out.withColumn("fraction", F.round(F.col("span") / F.sum("span").over(W.partitionBy("sample_id")), 6))
 
 
-def panel_inventory(files: DataFrame, labels: DataFrame, most_bytes: int = 64 * 2**20) -> DataFrame:
-    """Populations, samples and one digest over the files (``binaryFile`` rows); a file above ``most_bytes`` counts by its size."""
-    each = F.when(F.col("length") > most_bytes, F.concat(F.lit("size:"), F.col("length").cast("string"))).otherwise(F.sha2("content", 256))
-    digest = files.select(each.alias("d")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("files"))
+def panel_inventory(files: DataFrame, labels: DataFrame) -> DataFrame:
+    """Populations, samples, and the number and one digest of ``files(digest)``, as ``listed_files`` gives them."""
+    digest = digest_tree(files).select("digest", F.col("n").alias("files"))
     return labels.agg(F.countDistinct("pop").alias("populations"), F.countDistinct("sample_id").alias("samples")).crossJoin(digest)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alleles import copies, real_call
+from ..functions.population import as_fraction
 
 UNCERTAINTY = 2.0
 
@@ -42,3 +43,14 @@ def couple_risk(couples: DataFrame, risks: DataFrame) -> DataFrame:
     reason = F.when(~linked & ~recessive, "inheritance not covered").when(F.col("risk_a").isNull(), "first risk unknown").when(~linked & F.col("risk_b").isNull(), "second risk unknown").otherwise("")
     rows = rows.withColumn("point", point)
     return rows.select("a", "b", "gene", "inheritance", "point", F.when(sure, F.col("point")).otherwise(F.col("point") / UNCERTAINTY).alias("low"), F.when(sure, F.col("point")).otherwise(F.least(F.lit(0.25), F.col("point") * UNCERTAINTY)).alias("high"), reason.alias("reason"))
+
+
+def unverified_figures(variants: DataFrame, totals: DataFrame, frequencies: DataFrame, rates: DataFrame) -> DataFrame:
+    """``gene, kind, item, note`` of every figure of a carrier panel that was not verified at its source."""
+    open_ = lambda df: df.where(~F.coalesce("verified", F.lit(False)))
+    row = lambda df, kind, item, note: open_(df).select("gene", F.lit(kind).alias("kind"), item.alias("item"), note.alias("note"))
+    value = F.col("value").cast("string")
+    found = row(variants, "variant", F.concat("name", F.lit(" ("), "rsid", F.lit(")")), F.coalesce("note", F.lit("")))
+    found = found.unionByName(row(totals, "total_known_pathogenic", value, F.col("basis")))
+    found = found.unionByName(row(frequencies, "carrier_frequency", F.concat("pop", F.lit(" = "), as_fraction(F.col("value"))), F.col("basis")))
+    return found.unionByName(row(rates, "detection_rate", F.concat("pop", F.lit(" = "), value), F.col("basis")))

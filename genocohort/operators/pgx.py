@@ -89,3 +89,9 @@ def match_drugs(medicines: DataFrame, phenotypes: DataFrame, aliases: DataFrame,
     rows = known.join(genes, "drug", "left").join(phenotypes.select("sample_id", "gene", "phenotype"), ["sample_id", "gene"], "left").join(pairs, ["drug", "gene", "phenotype"], "left")
     effect = F.when(F.col("drug").isNull(), "unmatched").when(F.col("phenotype") == "Indeterminate", "insufficient evidence").otherwise(F.coalesce("effect", F.lit("no listed effect")))
     return rows.where("drug is null or phenotype is not null").select("sample_id", "medicine", "drug", "gene", "phenotype", effect.alias("effect"))
+
+
+def unverified_alleles(defs: DataFrame) -> DataFrame:
+    """``gene, allele, variants``: star alleles with a variant that is not confirmed, all their variants as ``rsid=base``."""
+    rows = defs.groupBy("gene", "allele").agg(F.bool_and(F.coalesce("verified", F.lit(False))).alias("sure"), F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "rsid", "base"))), ",").alias("variants"))
+    return rows.where("not sure").drop("sure")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.population import hardy_weinberg, x_log_x
+from .family import place_on_map
 
 SITE = ("chrom", "pos", "ref", "alt")
 
@@ -104,8 +105,16 @@ def merge_panels(panel: DataFrame, extra: DataFrame) -> DataFrame:
     return panel.select("marker", "sample_id", "gt").unionByName(filled)
 
 
-def build_panel(records: DataFrame, genotypes: DataFrame, labels: DataFrame, coverage: DataFrame | None = None, statistic: str = "fst", n: int = 100) -> DataFrame:
-    """Most informative markers of each population: filter, first record of a site, counts, statistic, top n."""
+def build_panel(records: DataFrame, genotypes: DataFrame, labels: DataFrame, coverage: DataFrame | None = None, statistic: str = "fst", n: int = 100, genetic_map: DataFrame | None = None) -> DataFrame:
+    """Most informative markers of each population: filter, first record of a site, counts, statistic, top n.
+
+    With ``genetic_map(chrom_no, bp, cm)`` each marker has its place ``cm``, interpolated and held to the map's ends; 0 on a
+    chromosome without a map.
+    """
     kept = marker_filter(records, coverage)
     counts = allele_counts(genotypes.join(kept.select("marker").distinct(), "marker", "left_semi"), labels)
-    return top_markers(one_vs_rest(counts, statistic), kept, n)
+    panel = top_markers(one_vs_rest(counts, statistic), kept, n)
+    if genetic_map is None:
+        return panel
+    placed = place_on_map(panel.select("marker", F.col("chrom").alias("chrom_no"), "pos").distinct(), genetic_map, "pos", "cm")
+    return panel.join(placed.select("marker", F.coalesce("cm", F.lit(0.0)).alias("cm")), "marker")

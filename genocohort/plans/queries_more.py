@@ -75,17 +75,17 @@ def _(c):
     return population.merge_panels(gt.where("sample_id % 2 = 0"), gt.where("sample_id % 2 = 1 and marker % 5 <> 0"))
 
 
-PANEL = """SELECT pop, marker, chrom, pos, rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY pop ORDER BY score DESC, chrom, pos, marker) AS rank FROM (
+PANEL = """SELECT pop, marker, chrom, pos, rank, round(score, 9) AS score, round(cm, 6) AS cm FROM (SELECT *, row_number() OVER (PARTITION BY pop ORDER BY score DESC, chrom, pos, marker) AS rank FROM (
  SELECT q.marker, q.pop, m.chrom_no AS chrom, m.position AS pos, CASE WHEN ht > 0 THEN greatest(0.0, (ht - hs) / ht) ELSE 0.0 END AS score FROM (SELECT *, 2.0 * (alt + ra) / (n + rn) * (1 - (alt + ra) / (n + rn)) AS ht, (n * 2.0 * (alt / n) * (1 - alt / n) + rn * 2.0 * (ra / rn) * (1 - ra / rn)) / (n + rn) AS hs
- FROM (SELECT *, sum(alt) OVER (PARTITION BY marker) - alt AS ra, sum(n) OVER (PARTITION BY marker) - n AS rn FROM ox_counts)) q JOIN fx_markers m ON m.marker_id = q.marker) WHERE score > 0) WHERE rank <= 100"""
+ FROM (SELECT *, sum(alt) OVER (PARTITION BY marker) - alt AS ra, sum(n) OVER (PARTITION BY marker) - n AS rn FROM ox_counts)) q JOIN fx_markers m ON m.marker_id = q.marker) WHERE score > 0) JOIN (SELECT CAST(substr(rsid, 3) AS BIGINT) - 1000 AS marker, cm FROM ox_place) USING (marker) WHERE rank <= 100"""
 
 
 @query("pl4_build_panel", PANEL)
 def _(c):
     m = c.view("fx_markers").select("rsid", F.col("marker_id").alias("marker"), F.col("chrom_no").alias("chrom"), F.col("position").alias("pos"), "ref", "alt")
     gt = c.view("fx_truth").select("sample_id", F.col("marker_id").alias("marker"), F.concat(F.col("h1").cast("string"), F.lit("/"), F.col("h2").cast("string")).alias("gt"))
-    panel = population.build_panel(m, gt, c.view("fx_truth").select("sample_id", F.col("fam").alias("pop")).distinct())
-    return panel.select("pop", "marker", "chrom", "pos", "rank", F.round("score", 9).alias("score"))
+    panel = population.build_panel(m, gt, c.view("fx_truth").select("sample_id", F.col("fam").alias("pop")).distinct(), genetic_map=c.view("fx_genetic_map"))
+    return panel.select("pop", "marker", "chrom", "pos", "rank", F.round("score", 9).alias("score"), F.round("cm", 6).alias("cm"))
 
 
 # --- polygenic scores ---------------------------------------------------------------------------
@@ -178,16 +178,19 @@ def marker_rules(c):
     return c.view("fx_markers").select(F.concat(F.lit("R"), F.col("marker_id").cast("string")).alias("rule_id"), F.lit(2).alias("node_id"), F.lit("geno").alias("op"), "rsid", F.col("alt").alias("alleles"), F.lit("").alias("ref_rule"))
 
 
-PROBLEMS = (("no summary", "marker_id % 5 = 0"), ("unknown silo", "marker_id % 7 = 0"), ("magnitude out of range", "marker_id % 11 = 0"), ("unknown repute", "marker_id % 13 = 0"), ("marker not in the reference", "marker_id % 4 = 3"))
+PROBLEMS = (("no summary", "marker_id % 5 = 0"), ("no evidence", "marker_id % 17 = 0"), ("missing key interpretation", "true"), ("unknown silo", "marker_id % 7 = 0"), ("unknown category", "marker_id % 23 = 0"), ("magnitude out of range", "marker_id % 11 = 0"), ("unknown repute", "marker_id % 13 = 0"),
+            ("marker not in the reference", "marker_id % 4 = 3"), ("refers to an unknown rule", "marker_id % 19 = 0"), ("refers to a rule that is not lower-numbered", "marker_id % 29 = 0"), ("no criteria", "marker_id % 31 = 0 AND marker_id % 19 > 0 AND marker_id % 29 > 0"))
 
 
-@query("ru8_validate_rules", " UNION ALL ".join(f"SELECT 'R' || CAST(marker_id AS VARCHAR) AS rule_id, '{p}' AS problem FROM fx_markers WHERE {w}" for p, w in (*PROBLEMS, ("refers to an unknown rule", "marker_id % 19 = 0"))))
+@query("ru8_validate_rules", " UNION ALL ".join(f"SELECT 'R' || CAST(marker_id AS VARCHAR) AS rule_id, '{p}' AS problem FROM fx_markers WHERE {w}" + (" AND marker_id % 31 > 0" if p.startswith("marker not") else "") for p, w in PROBLEMS))
 def _(c):
     m = c.view("fx_markers")
     odd = lambda k: F.col("marker_id") % k == 0
-    texts = m.select(F.concat(F.lit("R"), F.col("marker_id").cast("string")).alias("rule_id"), F.when(odd(5), " ").otherwise("s").alias("summary"), F.when(odd(7), "other").otherwise("actionable").alias("silo"), F.when(odd(11), 10.5).otherwise(2.0).alias("magnitude"), F.when(odd(13), "Odd").otherwise("Bad").alias("repute"))
-    lost = m.where(odd(19)).select(F.concat(F.lit("R"), F.col("marker_id").cast("string")).alias("rule_id"), F.lit(9).alias("node_id"), F.lit("rule").alias("op"), F.lit("").alias("rsid"), F.lit("").alias("alleles"), F.lit("nowhere").alias("ref_rule"))
-    return rules.validate_rules(texts, marker_rules(c).unionByName(lost), c.view("fx_ref_variants"))
+    name = F.concat(F.lit("R"), F.col("marker_id").cast("string"))
+    texts = m.select(name.alias("rule_id"), F.when(odd(5), " ").otherwise("s").alias("summary"), F.when(odd(17), None).otherwise("e").alias("evidence"), F.when(odd(7), "other").otherwise("actionable").alias("silo"), F.when(odd(23), None).otherwise("metabolism").alias("category"), F.when(odd(22), None).when(odd(11), 10.5).otherwise(2.0).alias("magnitude"), F.when(odd(13), "Odd").otherwise("Bad").alias("repute"))
+    ref = lambda rows, to: rows.select(name.alias("rule_id"), F.lit(9).alias("node_id"), F.lit("rule").alias("op"), F.lit("").alias("rsid"), F.lit("").alias("alleles"), to.alias("ref_rule"))
+    lost, up = ref(m.where(odd(19)), F.lit("nowhere")), ref(m.where(odd(29)), name)
+    return rules.validate_rules(texts, marker_rules(c).where("cast(substr(rule_id, 2) as bigint) % 31 > 0").unionByName(lost).unionByName(up), c.view("fx_ref_variants"), ("metabolism", "response"))
 
 
 DRUGS = """SELECT sample_id, medicine, drug, CASE WHEN drug IS NOT NULL THEN gene END AS gene, CASE WHEN drug IS NOT NULL THEN phenotype END AS phenotype, CASE WHEN drug IS NULL THEN 'unmatched' WHEN phenotype = 'Indeterminate' THEN 'insufficient evidence' WHEN phenotype = 'Poor' THEN 'avoid' ELSE 'no listed effect' END AS effect
@@ -205,14 +208,6 @@ def _(c):
     return pgx.match_drugs(meds, seen, some.select(text_("MED", n).alias("alias"), text_("drug", n).alias("drug")), some.select(text_("drug", n).alias("drug"), text_("G", n % 4).alias("gene"), F.lit("Poor").alias("phenotype"), F.lit("avoid").alias("effect")))
 
 
-@query("ag41_panel_inventory", "SELECT count(DISTINCT fam) AS populations, count(DISTINCT sample_id) AS samples, (SELECT count(DISTINCT chrom_no) FROM fx_markers) AS files FROM fx_truth")
-def _(c):
-    from .queries_sources import variant_files
-
-    files = c.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(variant_files(c))
-    return ancestry.panel_inventory(files, c.view("fx_truth").select("sample_id", F.col("fam").alias("pop"))).select("populations", "samples", "files")
-
-
 @query("snk5_append_snapshot", "SELECT CAST(snapshot_id AS VARCHAR) AS snapshot_id, entry_key, true AS same FROM ox_prints")
 def _(c):
     from .queries_sources import shared
@@ -790,11 +785,6 @@ def _(c):
     return provenance.audit_artefacts(n, s).select("artefact", "violation").distinct()
 
 
-@query("ag36_manifest")
-def _(c):
-    return provenance.manifest(c.pooled().select("sample_id", "rsid", "genotype"), ["rsid", "genotype"])
-
-
 @query("snk4_study_vcf", """SELECT true AS ref_known, concat_ws(chr(9), CAST(p.chrom_no AS VARCHAR), CAST(p.position AS VARCHAR), p.rsid, m.ref, CASE WHEN len(x) = 0 THEN '.' ELSE array_to_string(x, ',') END, '.', 'PASS', '.', 'GT', CASE WHEN a = m.ref THEN '0' ELSE CAST(list_position(x, a) AS VARCHAR) END || '/' || CASE WHEN b = m.ref THEN '0' ELSE CAST(list_position(x, b) AS VARCHAR) END) AS value
  FROM (SELECT p.*, substr(gkey, 1, 1) AS a, substr(gkey, 2, 1) AS b, list_sort(list_distinct(list_filter([substr(gkey, 1, 1), substr(gkey, 2, 1)], lambda y: y <> m.ref))) AS x FROM ox_pooled p JOIN fx_markers m USING (rsid) WHERE gkey <> 'NN') p JOIN fx_markers m USING (rsid)""")
 def _(c):

@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def queries() -> dict:
     from . import queries as q
-    from . import queries_more, queries_sources, queries_stores  # noqa: F401  register the rest
+    from . import queries_audit, queries_more, queries_sources, queries_stores  # noqa: F401  register the rest
 
     return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     from . import queries as q
-    from . import queries_more, queries_sources, queries_stores  # noqa: F401
+    from . import queries_audit, queries_more, queries_sources, queries_stores  # noqa: F401
 
     return dict(q.ORACLES)
 

@@ -5,6 +5,7 @@ The order is part of the meaning: strand before frequency, frequency before scor
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import score_findings
 from ..operators import annotate as an
 from ..operators import findings as fi
-from ..operators import pool
+from ..operators import pool, prs, rules, traits
 
 
 @dataclass
@@ -27,10 +28,29 @@ class References:
     gmaf: DataFrame | None = None
 
 
-def scan(calls: DataFrame, refs: References, population: str, relatives: DataFrame | None = None, extra: list[DataFrame] | None = None, hold=lambda name, df: df.persist()) -> dict[str, DataFrame]:
+@dataclass
+class Entities:
+    """Rules, traits and polygenic models, whose findings join those of single positions."""
+
+    rule_nodes: DataFrame
+    rule_texts: DataFrame
+    trait_tests: DataFrame
+    traits: DataFrame
+    weights: DataFrame
+
+    def findings(self, pooled: DataFrame) -> list[DataFrame]:
+        """Matched rules, traits with a called marker, and every model's score, of all samples of ``pooled``."""
+        scores = prs.score_prs(pooled, self.weights, prs.prs_moments(self.weights))
+        return [
+            traits.rule_findings(rules.rule_coverage(pooled, self.rule_nodes), self.rule_texts), traits.trait_findings(rules.evaluate_traits(pooled, self.trait_tests, self.traits)), traits.prs_findings(scores),
+        ]
+
+
+def scan(calls: DataFrame, refs: References, population: str, relatives: DataFrame | None = None, extra: list[DataFrame] | Callable[[DataFrame], list[DataFrame]] | None = None, hold=lambda name, df: df.persist()) -> dict[str, DataFrame]:
     """pooled, findings, qc, ranges and summary of a cohort from kit calls with ``label`` and ``kit_ord``.
 
-    ``extra`` are findings of other entities (rules, traits, scores), united with the single-position ones.
+    ``extra`` are findings of other entities (rules, traits, scores), or what makes them of the pooled calls; they are united
+    with the single-position ones.
     Two tables feed several results and are held: pooled and findings (``hold`` says how).
     """
     pooled = hold("pooled", pool.pool_calls(pool.dedupe_kit(calls)))
@@ -42,7 +62,7 @@ def scan(calls: DataFrame, refs: References, population: str, relatives: DataFra
     if refs.overlay is not None:
         found = an.overlay_genotypes(found, refs.overlay)
     scored = score_findings(found)
-    for other in extra or []:
+    for other in (extra(pooled) if callable(extra) else extra or []):
         scored = scored.unionByName(other, allowMissingColumns=True)
     scored = hold("findings", scored)
     return {"pooled": pooled, "findings": scored, "qc": fi.qc_summary(scored, pooled), "ranges": fi.ranges(scored), "summary": fi.summary(scored)}

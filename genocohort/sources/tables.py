@@ -194,3 +194,37 @@ def read_caller_tables(spark: SparkSession, path: str, tool: str) -> DataFrame:
     rows = rows.select("file", "n", pick("sample").alias("sample_id"), F.nullif(pick("haplogroup"), F.lit("?")).alias("haplogroup"), pick("quality").alias("quality")).where("haplogroup is not null")
     w = W.partitionBy("sample_id").orderBy("file", "n")
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").select("sample_id", "haplogroup", "quality")
+
+
+# How a second source names its global row, and the order in which its tables are preferred.
+SECOND_PREFIX, SECOND_GLOBAL, SECOND_FIRST = "gnomad", ":ALL", ("gnomADg:ALL", "gnomADe:ALL")
+
+
+def global_minor(df: DataFrame, json_col: str, id_col: str) -> DataFrame:
+    """``rsid, minor_allele, gmaf, gmaf_source``: as stated, else from the pooled row of the first source.
+
+    Of pooled alleles the rarest is the minor one, the first by alphabet at a tie; a single pooled allele tells nothing.
+    """
+    stated = df.select(F.col(id_col).alias("rsid"), F.nullif(F.upper(F.trim(F.coalesce(F.get_json_object(json_col, "$.minor_allele"), F.lit("")))), F.lit("")).alias("said"), F.round(F.get_json_object(json_col, "$.MAF").try_cast("double"), 6).alias("maf"))
+    _, pooled = flatten_population_json(df, json_col, id_col, ())
+    low = pooled.groupBy("rsid", "allele").agg(F.min("freq").alias("freq")).groupBy("rsid").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("freq", "allele")).alias("low")).where("n > 1")
+    rows = stated.join(low, "rsid", "left")
+    whole = F.col("said").isNotNull() & F.col("maf").isNotNull()
+    return rows.select("rsid", F.coalesce("said", "low.allele").alias("minor_allele"), F.coalesce("maf", "low.freq").alias("gmaf"), F.when(whole, "stated").when(F.col("low").isNotNull(), "pooled").alias("gmaf_source"))
+
+
+def cross_check(df: DataFrame, json_col: str, id_col: str, tolerance: float = 0.05) -> DataFrame:
+    """The minor allele's frequency beside that of a second source, which it never replaces.
+
+    Of the second source's global tables that list the allele, the preferred one counts: genomes, exomes, then any other by name.
+    ``agreement`` is agree or differ by ``tolerance``, or unchecked where either has no figure.
+    """
+    rows = df.select(F.col(id_col).alias("rsid"), F.explode(F.from_json(F.get_json_object(json_col, "$.populations"), POPULATIONS)).alias("p")).select("rsid", "p.*")
+    other = rows.where(F.lower("population").startswith(SECOND_PREFIX) & F.upper("population").endswith(SECOND_GLOBAL) & F.col("frequency").isNotNull())
+    rank = F.array_position(F.array(*[F.lit(x) for x in SECOND_FIRST]), F.col("population"))
+    rank = F.when(rank == 0, len(SECOND_FIRST) + 1).otherwise(rank)
+    other = other.select("rsid", F.upper(F.trim("allele")).alias("minor_allele"), F.struct(rank.alias("rank"), "population", F.round("frequency", 6).alias("freq")).alias("o"))
+    best = other.groupBy("rsid", "minor_allele").agg(F.min("o").alias("o"))
+    out = global_minor(df, json_col, id_col).join(best, ["rsid", "minor_allele"], "left")
+    apart = F.round(F.abs(F.col("gmaf") - F.col("o.freq")), 6)
+    return out.select("rsid", "minor_allele", "gmaf", "gmaf_source", F.col("o.population").alias("second_source"), F.col("o.freq").alias("second_freq"), apart.alias("difference"), F.when(apart.isNull(), "unchecked").when(apart <= tolerance, "agree").otherwise("differ").alias("agreement"))

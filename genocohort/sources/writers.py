@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alleles import real_call
@@ -16,14 +16,22 @@ def plink_map(markers: DataFrame) -> DataFrame:
 def plink_ped(calls: DataFrame, markers: DataFrame) -> DataFrame:
     """.ped lines: a wide row for each sample over all markers, ``0 0`` for a no-call.
 
-    The format is one line for each sample; a line is as long as the list of markers.
+    The format is one line for each sample.  It is put together from a text for each chromosome, in which only called markers
+    meet, by their place among the chromosome's markers; the gaps between them are filled with no-calls.
     """
-    grid = calls.select("sample_id").distinct().crossJoin(markers.select("rsid", "chrom_no", "position").distinct())
-    rows = grid.join(calls.select("sample_id", "rsid", "allele1", "allele2"), ["sample_id", "rsid"], "left")
-    cell = F.when(real_call("allele1", "allele2", "ibd"), F.concat_ws(" ", F.upper("allele1"), F.upper("allele2"))).otherwise("0 0")
-    wide = rows.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("chrom_no", "position", "rsid", cell.alias("cell")))).alias("g"))
+    order = Window.partitionBy("chrom_no").orderBy("position", "rsid")
+    placed = markers.select("rsid", "chrom_no", "position").distinct().withColumn("k", F.row_number().over(order))
+    sizes = placed.groupBy("chrom_no").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    called = calls.where(real_call("allele1", "allele2", "ibd")).select("sample_id", "rsid", F.concat_ws(" ", F.lit(""), F.upper("allele1"), F.upper("allele2")).alias("cell")).join(placed, "rsid")
+    found = called.groupBy("sample_id", "chrom_no").agg(F.array_sort(F.collect_list(F.struct("k", "cell"))).alias("g"))
+    parts = calls.select("sample_id").distinct().crossJoin(sizes).join(found, ["sample_id", "chrom_no"], "left")  # a row for each chromosome
+    blank = lambda n: F.expr("repeat(' 0 0', {})".format(n))
+    cells = F.expr("array_join(transform(g, (x, i) -> concat(repeat(' 0 0', x.k - 1 - if(i = 0, 0, g[i - 1].k)), x.cell)), '')")
+    text = F.when(F.col("g").isNull(), blank("size")).otherwise(F.concat(cells, blank("size - element_at(g, -1).k")))
+    wide = parts.select("sample_id", "chrom_no", text.alias("text")).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("chrom_no", "text"))).alias("g"))
     one = F.col("sample_id").cast("string")
-    return wide.orderBy("sample_id").select(F.concat_ws(" ", one, one, F.lit("0"), F.lit("0"), F.lit("0"), F.lit("-9"), F.array_join(F.transform("g", lambda x: x["cell"]), " ")).alias("value"))
+    head = F.concat_ws(" ", one, one, F.lit("0"), F.lit("0"), F.lit("0"), F.lit("-9"))
+    return wide.orderBy("sample_id").select(F.concat(head, F.array_join(F.transform("g", lambda x: x["text"]), "")).alias("value"))
 
 
 def plink_bim(calls: DataFrame, markers: DataFrame) -> DataFrame:
