@@ -11,9 +11,9 @@ from .common import components, meet, smallest_reachable, stage
 
 #: Link at this cosine or more.
 LEAST_COSINE = 0.93
-#: Vectors of one label in a shard, links of a vector in a layer, beam while building, first
-#: beam of a query, queries with links to others that an audit needs, and the recall it must reach.
-SHARD_ROWS, LINKS, BUILD_BEAM, BEAM, AUDITED, LEAST_RECALL = 2_000, 12, 48, 32, 100, 0.99
+#: Vectors of one label in a shard, links of a vector in a layer, beam while building, first beam of a query,
+#: queries of a block that are scanned in full, queries that an audit needs, and the recall it must reach.
+SHARD_ROWS, LINKS, BUILD_BEAM, BEAM, SCANNED, AUDITED, LEAST_RECALL = 2_000, 12, 48, 32, 128, 100, 0.99
 
 
 class Graph:
@@ -115,32 +115,59 @@ class Graph:
         top = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, top, axis=1), np.take_along_axis(sims, top, axis=1)
 
+    def unreached(self) -> np.ndarray:
+        """Vertices that no link leads to from where walks begin."""
+        reached = np.zeros(len(self.v), bool)
+        now = self.order[:1]
+        reached[now] = True
+        while len(now):
+            next_ = np.unique(np.concatenate([layer[now].ravel() for layer in self.adj]))
+            now = next_[next_ >= 0]
+            now = now[~reached[now]]
+            reached[now] = True
+        return np.flatnonzero(~reached)
+
     def within(self, q: np.ndarray, least: float, own: bool = False):
         """(query, vertex) index pairs of cosine ``least`` or more; with ``own`` the queries are the
         shard's vectors.
 
-        Queries are scanned in full, in a random order, until AUDITED of them have a link to another
-        vector, so that where links are few all are.  The others walk, by beams that widen until each
-        query's beam reaches below ``least`` and the audit passes: of the scanned queries that would
-        end here and have links, LEAST_RECALL must have met all of theirs, and a round in which
-        too few of them end to tell has failed.  A beam as wide as the shard is a full scan."""
+        SCANNED queries, drawn at random, are scanned in full.  Those with a link to another vector are the audit's; where they
+        are under AUDITED, perturbed copies of the shard's vectors, whose cosine to them is from ``least`` to 1, make up for the
+        rest.  All other queries walk, by beams that widen until each query's beam reaches below ``least`` and the
+        audit passes: of the audit's queries that would end here, LEAST_RECALL must have met all of their links, and a
+        round in which too few of them end to tell has failed.  A beam as wide as the shard is a full scan.  Vertices that no
+        walk can reach are compared with every query.  ``walked`` counts the queries that ended in a walk."""
+        rng = np.random.Generator(np.random.PCG64(len(q)))
         q = q.astype(np.float32)
-        n, floor = len(self.v), least - 1e-4
-        true, audit, linked = np.zeros(len(q), np.int64), np.zeros(len(q), bool), np.zeros(len(q), bool)
-        todo, found = np.random.Generator(np.random.PCG64(len(q))).permutation(len(q)), []
-        while len(todo) and linked.sum() < AUDITED:
-            now, todo = todo[:256], todo[256:]
-            a, b = np.nonzero(q[now] @ self.v.T >= floor)
-            found.append((now[a], b))
-            true[now] = np.bincount(a, minlength=len(now))
-            audit[now] = True
-            linked[now] = true[now] > np.bincount(a[now[a] == b], minlength=len(now)) if own else true[now] > 0
-        todo, width = np.sort(todo), BEAM
-        trial = np.flatnonzero(linked)
+        n, m, floor, self.walked = len(self.v), len(q), least - 1e-4, 0
+        todo = rng.permutation(m)
+        now, todo = todo[:SCANNED], np.sort(todo[SCANNED:])
+        a, b = np.nonzero(q[now] @ self.v.T >= floor)
+        found = [(now[a], b)]
+        seen = np.bincount(a, minlength=len(now))
+        linked = seen > np.bincount(a[now[a] == b], minlength=len(now)) if own else seen > 0
+        lost = self.unreached()
+        a, b = np.nonzero(q[todo] @ self.v[lost].T >= floor)
+        found.append((todo[a], lost[b]))
+        short = max(0, AUDITED - int(linked.sum())) if len(todo) else 0
+        near = self.v[rng.integers(n, size=short)]
+        aside = rng.standard_normal(near.shape).astype(np.float32)
+        aside -= np.einsum("ij,ij->i", aside, near)[:, None] * near
+        aside /= np.maximum(np.sqrt((aside * aside).sum(axis=1, keepdims=True)), 1e-12)
+        cos = rng.uniform(least, 1, (short, 1)).astype(np.float32)
+        q = np.concatenate([q, cos * near + np.sqrt(1 - cos * cos) * aside])  # planted queries stand behind the own ones
+        trial = np.concatenate([now[linked], np.arange(m, m + short)])
+        true = np.zeros(len(q), np.int64)
+        there = np.delete(self.v, lost, axis=0)
+        true[trial] = (q[trial] @ there.T >= floor).sum(axis=1)
+        audit = np.zeros(len(q), bool)
+        audit[trial] = True
+        width = BEAM
         while len(todo):
             if 2 * width >= n:
                 a, b = np.nonzero(q[todo] @ self.v.T >= floor)
-                found.append((todo[a], b))
+                new = ~np.isin(b, lost)
+                found.append((todo[a[new]], b[new]))
                 break
             both = np.concatenate([todo, trial])
             entry = np.full((len(both), 1), self.order[0])
@@ -150,11 +177,12 @@ class Graph:
             hit = sims >= floor
             full = hit[:, -1].copy()
             ends = np.flatnonzero(~full & audit[both])
-            if 2 * len(ends) < AUDITED or (hit[ends].sum(axis=1) >= true[both[ends]]).mean() < LEAST_RECALL:
+            if 2 * len(ends) < min(AUDITED, len(trial)) or (hit[ends].sum(axis=1) >= true[both[ends]]).mean() < LEAST_RECALL:
                 full[:] = True  # the audit failed: all queries of this round go on with a wider beam
             keep = ~full & ~audit[both]
             a, b = np.nonzero(hit & keep[:, None])
             found.append((both[a], ids[a, b]))
+            self.walked += int(keep.sum())
             todo, trial, width = both[full & ~audit[both]], both[full & audit[both]], 4 * width
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 

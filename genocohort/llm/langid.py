@@ -36,10 +36,10 @@ def vocabulary(path: str) -> list[str]:
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters and marks, lower-cased."""
+    """Runs of letters and marks with a letter in them, lower-cased."""
     import regex
 
-    return regex.findall(r"[\p{L}\p{M}]+", text.lower())
+    return [w for w in regex.findall(r"[\p{L}\p{M}]+", text.lower()) if w.isalpha() or regex.search(r"\p{L}", w)]
 
 
 class Lattice:

@@ -114,14 +114,15 @@ def exact_lines(docs: DataFrame) -> DataFrame:
     return meet(lines, low, ["h1", "h2"], ["doc_id"]).where("doc_id > low").select("doc_id", "h1")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
     """``docs``' rows with ``kept_text`` (the lines left, joined by newlines), ``n_lines``, ``n_exact``,
     ``n_near`` (lines taken out) and ``n_kept``.
 
     Blank lines stay.  Null text stays null with 0 lines; empty text is one blank line.  A null
     doc_id sorts first.  Rows that repeat a doc_id are one document: a line taken out at a
     place is taken out in each of them, and equal lines at the same place of both stay.
-    Other columns pass through, but those named like a result are replaced; an empty table gives no rows.
+    Other columns pass through, but those named like a result are replaced; with ``whole``, all of the input's columns come as
+    the struct ``row`` instead, and none is lost.  An empty table gives no rows.
     """
     exact = exact_lines(docs).groupBy("doc_id").agg(F.collect_set("h1").alias("exact"))
     near = near_lines(docs).groupBy("doc_id").agg(F.collect_set("pos").alias("near"))
@@ -129,7 +130,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<int>")
     made = ("kept_text", "n_lines", "n_exact", "n_near", "n_kept")
     # the input's columns stay in a struct, so that none of them can clash with one made here
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    rest = [F.col(f"`{c}`") for c in docs.columns if whole or c not in made]
     out = docs.select(F.struct(*rest).alias("row"), F.col("doc_id").cast("long").alias("id"), F.split(F.col("text").cast("string"), "\n", -1).alias("lines"))
     out = out.join(gone, F.col("id").eqNullSafe(F.col("gone.doc_id")), "left").select("row", "lines", F.col("gone.exact").alias("exact"), F.col("gone.near").alias("near"))
     equal = F.filter(F.transform("lines", lambda line, i: F.when(F.array_contains("exact", F.xxhash64(line)), i)), lambda i: i.isNotNull())
@@ -140,4 +141,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = F.when(F.size("taken") == 0, F.col("lines")).otherwise(F.filter("lines", lambda line, i: ~F.array_contains("taken", i)))
     out = out.withColumn("kept", kept)
     counts = [F.greatest(F.lit(0), F.size(c)).cast("long").alias(name) for c, name in (("lines", "n_lines"), ("equal", "n_exact"), ("near", "n_near"), ("kept", "n_kept"))]
-    return out.select("row.*", F.array_join("kept", "\n").alias("kept_text"), *counts)
+    return out.select("row" if whole else "row.*", F.array_join("kept", "\n").alias("kept_text"), *counts)

@@ -8,9 +8,9 @@ from pyspark.sql.window import Window as W
 
 from .common import SPACE_CLASS, WORD_CLASS, bound, bounded_broadcast, n_words, stage
 
-#: Output shards (a power of two), about how many blocks the mix is cut into, the most
+#: Output shards (a power of two), about how many blocks the mix is cut into at most, the fewest words of a block, the most
 #: often a source is repeated, and the seed of every draw.
-SHARDS, BLOCKS, MAX_REPEATS, SEED = 16, 4_096, 3, "mix-1"
+SHARDS, BLOCKS, BLOCK_WORDS, MAX_REPEATS, SEED = 16, 4_096, 16_384, 3, "mix-1"
 
 
 def draw(*parts) -> Column:
@@ -81,12 +81,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), n_words(text).alias("size"), key.alias("key"))
 
 
-def plan_mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, part_rows: int = 20_000) -> DataFrame:
+def plan_mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, block_words: int = BLOCK_WORDS, part_rows: int = 20_000) -> DataFrame:
     """The mix of ``docs(doc_id, text, source)``: one row per row of ``docs``.
 
     Each source's rows get a random order, their words one running axis, and the mix takes
     the axis from 0 to the target, round again for up to three passes.  The axis is cut into blocks of an equal
-    number of words, and ``split_tree`` and ``deal_blocks`` give every block to a shard; a row that
+    number of words, ``block_words`` or as many more as keep their number to about ``blocks``, and ``split_tree`` and ``deal_blocks`` give every block to a shard; a row that
     stands across block edges is cut there, and the row at the target gives only the words before it.
 
     Returns ``doc_id, source, key, size, source_size, target, taken, begin`` and ``pieces``, an array of
@@ -104,7 +104,7 @@ def plan_mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, part_r
     before = F.coalesce(F.sum("part_size").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
     total = F.greatest(F.lit(1), F.sum(F.round("target").cast("long")).over(W.partitionBy()))
-    quotas = targets.withColumn("block_words", F.ceil(total / blocks).cast("long")).withColumn("quota", F.ceil(F.round("target") / F.col("block_words")).cast("long"))
+    quotas = targets.withColumn("block_words", F.greatest(F.lit(block_words).cast("long"), F.ceil(total / blocks).cast("long"))).withColumn("quota", F.ceil(F.round("target") / F.col("block_words")).cast("long"))
     quotas = stage(quotas, "quotas")
     tree = stage(split_tree(quotas.select("source", "quota"), shards), "tree")
     dealt = stage(deal_blocks(quotas, tree), "dealt").withColumnRenamed("source", "d_source")
@@ -135,15 +135,16 @@ def plan_mix(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, part_r
     return rows.select("doc_id", "source", "key", "size", "source_size", "target", taken.alias("taken"), "begin", "pieces")
 
 
-def mixed_documents(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
+def mixed_documents(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, block_words: int = BLOCK_WORDS, place: str | None = None) -> DataFrame:
     """The mix itself: a row of ``docs`` for each piece that the mix takes of it, with ``docs``' columns.
 
     A row within a block is whole; one that stands across block edges gives a row for each block, whose texts on
     end are its own up to the white space at its end.  Rows are written shard by shard, in a random order within a
     shard.  Rows that the mix does not take are absent; rows that repeat a doc_id and text are taken one by one,
-    in the order of their other columns; extra columns go along.
+    in the order of their other columns; extra columns go along.  ``place`` names a column, put last, that tells a piece's
+    shard, pass and block and its words ``from`` and ``to`` in the row, by which cut rows can be put together again.
     """
-    plan = plan_mix(docs, shards, blocks).where("taken > 0")
+    plan = plan_mix(docs, shards, blocks, block_words).where("taken > 0")
     # equal rows have one key: the n-th of them, by its other columns, is the n-th on the axis
     plan = plan.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "size", "pieces"))).alias("takes"))
     kinds = dict(docs.dtypes)
@@ -157,10 +158,11 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS)
 
     def texts(words: Column) -> Column:
         part = lambda p: F.when(whole(p, F.col("size")), F.col("row.text")).otherwise(F.array_join(F.slice(words, p["from"].cast("int") + 1, (p["to"] - p["from"]).cast("int")), ""))
-        return F.transform("pieces", lambda p: F.struct(p["shard"].alias("shard"), draw(F.lit("order"), F.col("key"), F.col("nth"), p["pass"], p["block"]).alias("order"), part(p).alias("text")))
+        return F.transform("pieces", lambda p: F.struct(p["shard"].alias("shard"), draw(F.lit("order"), F.col("key"), F.col("nth"), p["pass"], p["block"]).alias("order"), p.alias("place"), part(p).alias("text")))
 
     out = out.select("row", F.explode(bound(cut, texts)).alias("piece"))
     fields = {"text": F.col("piece.text"), "n_chars": F.length("piece.text")}
     # a range of (shard, random key) is a slice of a shard, however large the shard is
     out = out.repartitionByRange("piece.shard", "piece.order").sortWithinPartitions("piece.shard", "piece.order")
-    return out.select(*[fields[c].cast(kinds[c]).alias(c) if c in fields else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    placed = [F.col("piece.place").alias(place)] if place else []
+    return out.select(*[fields[c].cast(kinds[c]).alias(c) if c in fields else F.col(f"row.`{c}`").alias(c) for c in docs.columns], *placed)

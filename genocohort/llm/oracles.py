@@ -32,7 +32,7 @@ sized AS (SELECT source, CAST(sum(coalesce(size, 0)) AS BIGINT) AS source_size F
 weighed AS (SELECT *, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS w, 3 * source_size AS cap FROM sized),
 ordered AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS share FROM weighed),
 targets AS (SELECT source, source_size, least(max(CASE WHEN rest / share * w <= cap THEN rest / share END) OVER () * w, CAST(cap AS DOUBLE)) AS target FROM ordered),
-words_ AS (SELECT *, CAST(round(target) AS BIGINT) AS goal, CAST(ceil(greatest(1, sum(CAST(round(target) AS BIGINT)) OVER ()) / 4096) AS BIGINT) AS bw FROM targets),
+words_ AS (SELECT *, CAST(round(target) AS BIGINT) AS goal, greatest(16384, CAST(ceil(greatest(1, sum(CAST(round(target) AS BIGINT)) OVER ()) / 4096) AS BIGINT)) AS bw FROM targets),
 quotas AS (SELECT *, CAST(ceil(goal / bw) AS BIGINT) AS quota FROM words_),
 t0 AS (SELECT source, 0 AS node, quota FROM quotas WHERE quota > 0),
 {LEVELS}

@@ -233,6 +233,19 @@ def test_vectors_of_few_links_in_full_shards(spark):
     assert all(got[i].component_id == (i - i % 2 if links[i] else i) for i in range(len(v)))
 
 
+def test_queries_walk_where_links_are_few():
+    rng = np.random.default_rng(5)
+    for linked in (0, 20, 400):
+        v = rng.normal(size=(2000, 64))
+        for i in range(linked // 2):
+            v[1000 + i] = v[i] + 0.02 * rng.normal(size=64)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        graph = hnsw.Graph(v)
+        a, b = graph.within(v, 0.93, True)
+        want = set(zip(*(x.tolist() for x in np.nonzero(v @ v.T >= 0.93))))
+        assert graph.walked > 0.9 * len(v) and len(want & set(zip(a.tolist(), b.tolist()))) >= 0.99 * len(want)
+
+
 def test_vector_audit_notices_cut_off_vertices():
     """Few queries have a link, each to a vertex that no walk reaches."""
     rng = np.random.default_rng(4)

@@ -119,6 +119,11 @@ def plain_score(text, words, spell, params):
     return len(parts), total
 
 
+def test_words_hold_letters():
+    # marks, digits, emoji and signs alone are no words; a mark beside a letter is part of one
+    assert [langid.words_of(t) for t in ("\u0301 123", "1 2 3", "\U0001f600!", "", "e\u0301t\u0301 \u0301a", "A1B")] == [[], [], [], [], ["e\u0301t\u0301", "\u0301a"], ["a", "b"]]
+
+
 def test_vocabulary_and_spelling(docs, rows):
     want = Counter(w for _, t, *_ in rows for w in (t or "").encode().lower().split())
     words, spell, params = lm_score.vocabulary(docs)

@@ -6,6 +6,7 @@ import struct
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from genocohort.llm import langid, mixing
@@ -87,6 +88,10 @@ def check_stages(spark, docs):
 
 def test_stages_on_odd_rows(spark, docs, no_docs):
     odd = docs.withColumn("row", docs.extra).withColumn("gone", docs.extra).withColumn("judged", docs.extra).withColumn("kept", docs.extra)
+    for k, name in enumerate(("kept_text", "n_lines", "n_exact", "n_near", "n_kept")):
+        odd = odd.withColumn(name, F.concat("extra", F.lit(k)))
+    lined = corpus_pipeline.lines(spark, odd, SF)
+    assert {(r.kept_text, r.n_lines, r.n_exact, r.n_near, r.n_kept) for r in lined.collect()} == {("x0", "x1", "x2", "x3", "x4")}
     check_stages(spark, odd)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         empty = stage(spark, no_docs, SF)

@@ -67,7 +67,7 @@ def water(sizes, order, repeats=3):
 
 
 def test_mix_meets_targets(spark, docs, rows):
-    got = mixing.plan_mix(docs, shards=4, blocks=64, part_rows=3).collect()
+    got = mixing.plan_mix(docs, shards=4, blocks=64, block_words=1, part_rows=3).collect()
     assert len(got) == len(rows)
     sizes = defaultdict(int)
     for _, t, _, s, *_ in rows:
@@ -90,7 +90,7 @@ def test_mix_meets_targets(spark, docs, rows):
         assert [blocks[s, b] for b in range(-(-round(t) // words))] == [min(words, round(t) - b * words) for b in range(-(-round(t) // words))]
     quotas = spark.createDataFrame([(s, -(-round(t) // words)) for s, t in target.items()], "source string, quota long")
     assert {(r.source, r.shard): r.quota for r in mixing.split_tree(quotas, 4).collect()} == Counter((s, k) for (s, _), k in shard.items())
-    again = mixing.plan_mix(docs.repartition(3), shards=4, blocks=64, part_rows=3).collect()
+    again = mixing.plan_mix(docs.repartition(3), shards=4, blocks=64, block_words=1, part_rows=3).collect()
     assert Counter(map(str, got)) == Counter(map(str, again))
 
 
@@ -106,10 +106,22 @@ def test_tree_draws_hypergeometric_counts(spark):
     assert {(s, x): c for s, xs in dealt.items() for x, c in Counter(xs).items()} == {(r.source, r.shard): r.quota for r in tree}
 
 
+def test_few_documents_are_cut(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "repeat('w ', cast(100 + id % 300 as int)) as text", "cast(id % 3 as string) as source")
+    plan = mixing.plan_mix(docs).where("taken > 0").selectExpr("count_if(exists(pieces, p -> p.to - p.from <> size)) as cut", "count(*) as n").first()
+    assert plan.cut < 0.04 * plan.n
+    placed = mixing.mixed_documents(docs, place="at").selectExpr("doc_id", "text", "at.pass", "at.from as `from`").collect()
+    whole = defaultdict(list)
+    for r in sorted(placed, key=lambda r: (r["pass"], r["from"])):
+        whole[r.doc_id, r["pass"]].append(r.text)
+    words = {(i, k): len(WORD.findall("".join(t))) for (i, k), t in whole.items()}
+    assert sum(n != 100 + i % 300 for (i, _), n in words.items()) <= 3  # only rows at a target are taken in part
+
+
 def test_mixed_documents(spark, docs, rows, no_docs):
     df = docs.withColumn("piece", docs.extra).withColumn("key", docs.extra)
-    plan = mixing.plan_mix(df, blocks=64).collect()
-    out = mixing.mixed_documents(df, blocks=64)
+    plan = mixing.plan_mix(df, blocks=64, block_words=1).collect()
+    out = mixing.mixed_documents(df, blocks=64, block_words=1)
     assert out.columns == df.columns
     got, want, words = Counter(), Counter(), defaultdict(set)
     for r in out.collect():
@@ -122,8 +134,8 @@ def test_mixed_documents(spark, docs, rows, no_docs):
     assert all(words[i] <= {w for j, t, *_ in rows if j == i for w in WORD.findall(t or "")} for i in words)
     # what is taken of a row in a pass, piece by piece, is its text
     one = spark.createDataFrame([(1, " a  b\nc d  e ", "s"), (2, "x y", "t"), (2, "x y", "t"), (2, "z", "t")], "doc_id long, text string, source string")
-    made = Counter((r.doc_id, r.text) for r in mixing.mixed_documents(one, blocks=2, shards=2).collect())
-    assert sum(len(WORD.findall(t)) * k for (_, t), k in made.items()) == sum(r.taken for r in mixing.plan_mix(one, blocks=2, shards=2).collect())
+    made = Counter((r.doc_id, r.text) for r in mixing.mixed_documents(one, blocks=2, shards=2, block_words=1).collect())
+    assert sum(len(WORD.findall(t)) * k for (_, t), k in made.items()) == sum(r.taken for r in mixing.plan_mix(one, blocks=2, shards=2, block_words=1).collect())
     assert mixing.plan_mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
