@@ -36,11 +36,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and blank texts go.  The earliest (doc_id, place) of repeated lines stays, a null doc_id first; rows
     that repeat a doc_id are one document and lose the same lines.
     """
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, whole=True)
     # a generator gives no row for a text without a visible line, and the lines are worked out once
     kept = F.explode(F.filter(F.array("kept_text"), lambda t: F.length(F.trim(F.replace(t, F.lit("\n"), F.lit("")))) > 0)).alias("kept")
     kinds = dict(docs.dtypes)
-    out = out.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), kept)
+    out = out.select("row", kept)
     made = {"text": F.col("kept"), "n_chars": F.length("kept")}
     return out.select(*[made[c].cast(kinds[c]).alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
