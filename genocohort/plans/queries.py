@@ -398,8 +398,3 @@ def _(c):
     p = c.pooled()
     ids = p.where("sample_id % 4 = 0").select("sample_id")
     return findings.erase_samples({"pooled": p}, ids)["pooled"].groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("snk2_export_rows")
-def _(c):
-    return findings.export_rows(c.scan()["findings"])

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import alleles as al
-from ..operators import ancestry, carrier, findings, lineage, pgx, pool, provenance, prs
+from ..operators import ancestry, carrier, family, findings, history, lineage, pgx, pool, provenance, prs, reference, traits
 from ..sources import tables
 from .queries import query
-from .queries_more import EACH_RULE, MOMENTS, MT_DEFINING, MT_STATES, NOT_TESTED, PRS, RAW, chained_rules, deep_tree, mt_fixture, tree_walk
+from .queries_more import EACH_RULE, MOMENTS, MT_DEFINING, MT_STATES, NOT_TESTED, PRS, RAW, Y_STATES, chained_rules, deep_tree, mt_fixture, segments, tree_walk
 from .queries_sources import shared, write_files
 from .scan import Entities, References, scan
 
@@ -205,3 +205,102 @@ def _(c):
 def _(c):
     f = whole(c)["findings"]
     return f.groupBy("sample_id", "entity_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("magnitude"), 4).alias("magnitudes"))
+
+
+# --- whole results of earlier operators ---------------------------------------------------------
+
+
+@query("ag16_reference_meta", " UNION ALL ".join(f"SELECT '{k}' AS key, CAST({v} AS VARCHAR) AS value FROM fx_ref_variants" for k, v in (("rows", "count(*)"), ("rsids", "count(DISTINCT rsid)"), ("genes", "count(DISTINCT gene)"), ("clinvar", "count(*) FILTER (rsid LIKE '%1' OR rsid LIKE '%2')"), ("gwas", "count(*) FILTER (rsid LIKE '%2' OR rsid LIKE '%3')"), ("with_level", "count(*) FILTER (cpic_level <> '')"))))
+def _(c):
+    last = F.substring("rsid", -1, 1)
+    return reference.reference_meta(c.view("fx_ref_variants").withColumn("source", F.when(last == "1", "clinvar").when(last == "2", "clinvar+gwas").when(last == "3", "gwas").otherwise("")))
+
+
+DIGEST = "sha256(entry_key || '|' || substr(entry_key, 5) || '|snp|' || coalesce(CAST(code AS VARCHAR), '~') || '|' || stars || '|' || cpic_level || '|~||~|true')"
+
+
+@query("wn10_fingerprint", f"SELECT snapshot_id::BIGINT AS snapshot_id, entry_key, CAST(code AS BIGINT) AS clinvar_sig_code, CAST(stars AS BIGINT) AS review_stars, cpic_level, {DIGEST} AS digest FROM ox_prints")
+def _(c):
+    return c.prints().select("snapshot_id", "entry_key", "clinvar_sig_code", "review_stars", "cpic_level", "digest")
+
+
+@query("snk5_append_snapshot", f"SELECT CAST(snapshot_id AS VARCHAR) AS snapshot_id, entry_key, {DIGEST} AS digest FROM ox_prints")
+def _(c):
+    path = shared(c, "snapshots")
+    entries = c.view("fx_snapshot_entries").withColumn("sample_id", F.lit(0).cast("long"))
+    for snap in ("1", "2", "3", "2"):  # a repeated append changes nothing
+        history.append_snapshot(entries.where(F.col("snapshot_id") == int(snap)), path, snap)
+    return c.spark.read.parquet(path).select(F.col("snapshot_id").cast("string").alias("snapshot_id"), "entry_key", "digest")
+
+
+BAND_ROWS = ", ".join(f"('{name}', {low}, {high}, {degree})" for name, low, high, degree in family.BANDS)
+
+
+@query("jn16_predict_relationship", f"""WITH t AS (SELECT a, b, round(sum(cm), 3) AS t FROM ox_segments GROUP BY ALL), hits AS (SELECT a, b, string_agg(relationship, '; ' ORDER BY degree, relationship) AS relationships, min(degree) AS degree_low, max(degree) AS degree_high FROM t JOIN (VALUES {BAND_ROWS}) r(relationship, low, high, degree) ON t BETWEEN low AND high WHERE t BETWEEN {family.UNRELATED_CM} AND {family.ABOVE_CM} GROUP BY ALL)
+ SELECT a, b, CASE WHEN t > {family.ABOVE_CM} THEN 'above_range' WHEN t < {family.UNRELATED_CM} THEN 'unrelated_or_distant' WHEN relationships IS NOT NULL THEN 'range' ELSE 'no_band' END AS state, relationships, degree_low, degree_high FROM t LEFT JOIN hits USING (a, b)""")
+def _(c):
+    return family.predict_relationship(family.ibd_totals(segments(c))).select("a", "b", "state", "relationships", "degree_low", "degree_high")
+
+
+# the six tags stand at rs1040 to rs1045; single bases leave the deletion tag at 0 or unread
+BLOOD = """SELECT sample_id, CASE WHEN abo <> 'unknown' AND rh <> 'unknown' THEN abo || CASE rh WHEN 'positive' THEN '+' ELSE '-' END ELSE 'unknown' END AS blood_type, call AS genotype_call, abo, names[abo_level + 1] AS abo_confidence, rh, names[rh_level + 1] AS rh_confidence, names[least(abo_level, rh_level) + 1] AS confidence,
+ CASE WHEN d IS NOT NULL THEN CASE WHEN abo = 'unknown' THEN 'A,AB,B' WHEN NOT same THEN 'A,B' ELSE '' END WHEN b IS NULL THEN 'O,A,B,AB' WHEN b = 0 THEN 'A,O' WHEN b = 1 THEN 'AB,B' ELSE 'B,O' END AS alternatives FROM (
+ SELECT *, ['none', 'low', 'moderate', 'high'] AS names, CASE WHEN call = '' THEN 'unknown' WHEN call = 'AB' THEN 'AB' ELSE substr(call, 1, 1) END AS abo, greatest(0, CASE WHEN d IS NULL THEN 0 WHEN b IS NULL OR NOT same THEN 1 WHEN b0 IS NOT NULL AND b1 IS NOT NULL THEN 3 ELSE 2 END - CAST(coalesce(d = 0 AND ld = 2, false) AS INT)) AS abo_level,
+ CASE WHEN r0 IS NULL THEN 'unknown' WHEN r0 = 2 THEN 'negative' ELSE 'positive' END AS rh, CASE WHEN r0 IS NULL THEN 0 WHEN r0 = 2 THEN CASE WHEN r1 = 2 THEN 2 ELSE 1 END WHEN r1 <= 1 THEN 3 ELSE 2 END AS rh_level FROM (
+ SELECT *, coalesce(b0 = b1, true) AS same, CASE WHEN d IS NULL OR b IS NULL THEN '' WHEN b = 0 THEN 'AA' WHEN b = 1 THEN 'AB' ELSE 'BB' END AS call FROM (SELECT *, CASE WHEN b0 IS NULL THEN b1 WHEN b1 IS NULL THEN b0 ELSE greatest(b0, b1) END AS b FROM (
+ SELECT s.sample_id, max(CASE WHEN p.rsid = 'rs1040' AND regexp_full_match(p.gkey, '[CG][CG]') THEN 0 END) AS d, max(CASE WHEN p.rsid = 'rs1041' THEN len(p.gkey) - len(replace(p.gkey, 'T', '')) END) AS b0, max(CASE WHEN p.rsid = 'rs1042' THEN len(p.gkey) - len(replace(p.gkey, 'C', '')) END) AS b1,
+ max(CASE WHEN p.rsid = 'rs1043' THEN len(p.gkey) - len(replace(p.gkey, 'C', '')) END) AS ld, max(CASE WHEN p.rsid = 'rs1044' THEN len(p.gkey) - len(replace(p.gkey, 'C', '')) END) AS r0, max(CASE WHEN p.rsid = 'rs1045' THEN len(p.gkey) - len(replace(p.gkey, 'T', '')) END) AS r1
+ FROM (SELECT DISTINCT sample_id FROM ox_pooled) s LEFT JOIN ox_pooled p ON p.sample_id = s.sample_id AND p.gkey <> 'NN' GROUP BY s.sample_id))))"""
+
+
+@query("ru6_blood_group", BLOOD)
+def _(c):
+    tags = [traits.DECISIVE, *traits.AB_TAGS, traits.LINKED[0], *traits.RH_TAGS]
+    at = F.create_map(*[F.lit(x) for k, t in enumerate(tags) for x in (f"rs{1040 + k}", t)])[F.col("rsid")]
+    return traits.blood_group(c.pooled().withColumn("rsid", F.coalesce(at, "rsid")))
+
+
+# the deep tree: walks, how far each array could see, and counts of states
+COUNTS = ", ".join(f"count(*) FILTER (state = '{k}') AS {k}" for k in ("derived", "ancestral", "discordant", "no_call", "not_on_array", "unusable"))
+
+
+@query("pl6_lineage_report", tree_walk(Y_STATES, NOT_TESTED, False) + f""", depths AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS depth UNION ALL SELECT m.marker_id + 1, d.depth + 1 FROM depths d JOIN fx_markers m ON m.marker_id > 0 AND (m.marker_id + 3) >> 2 = d.id),
+ seen AS (SELECT sample_id, count(*) FILTER (ok) AS readable, count(*) AS in_tree, arg_max('N' || id, (depth, 'N' || id)) FILTER (ok) AS deepest_readable, max(depth) FILTER (ok) AS deepest_depth, {COUNTS} FROM (SELECT s.*, d.depth, s.state IN ('derived', 'ancestral', 'discordant') AS ok FROM sts s JOIN depths d USING (id)) GROUP BY sample_id)
+ SELECT w.sample_id, CASE WHEN conflict THEN 'conflict' WHEN d > 0 THEN 'resolved' ELSE 'unresolved' END AS state, CASE WHEN d > 0 THEN 'N' || last END AS haplogroup, path, assumed, conflict, z.* EXCLUDE (sample_id), w.d AS resolved_depth, round(readable / in_tree, 4) AS coverage, no_call + not_on_array + unusable AS not_testable, derived + ancestral + discordant AS tested FROM walks w JOIN seen z USING (sample_id)""")
+def _(c):
+    return lineage.lineage_report(c.pooled(), deep_tree(c)).withColumns({"path": F.array_join("path", ">"), "assumed": F.array_join("assumed", ",")})
+
+
+def haplotypes(c):
+    t = c.view("fx_truth").join(c.view("fx_markers"), "marker_id")
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("haplotype"), F.col(f"h{k}").alias("ancestry")) for k in (1, 2)]))
+    return t.select("sample_id", "chrom_no", "position", both.alias("h")).select("sample_id", "h.haplotype", "chrom_no", "position", "h.ancestry")
+
+
+SEGMENTS = """SELECT sample_id, haplotype::BIGINT AS haplotype, CAST(chrom_no AS BIGINT) AS chrom_no, ancestry::BIGINT AS ancestry, min(position) AS start_bp, max(position) AS end_bp, count(*) AS markers FROM (SELECT *, sum(CASE WHEN ancestry IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY sample_id, haplotype, chrom_no ORDER BY position ROWS UNBOUNDED PRECEDING) AS g FROM (
+ SELECT *, lag(ancestry) OVER (PARTITION BY sample_id, haplotype, chrom_no ORDER BY position) AS prev FROM (SELECT t.sample_id, k.k AS haplotype, m.chrom_no, m.position, CASE k.k WHEN 1 THEN t.h1 ELSE t.h2 END AS ancestry FROM fx_truth t JOIN fx_markers m ON m.marker_id = t.marker_id CROSS JOIN (VALUES (1), (2)) k(k)))) GROUP BY sample_id, haplotype, chrom_no, ancestry, g"""
+
+
+@query("wn04_ancestry_segments", SEGMENTS)
+def _(c):
+    return ancestry.ancestry_segments(haplotypes(c))
+
+
+@query("ag37_painting_totals", f"SELECT sample_id, ancestry, CAST(sum(end_bp - start_bp) AS BIGINT) AS span, round(sum((end_bp - start_bp) / l.length), 6) AS chromosomes, round(sum(end_bp - start_bp) / sum(sum(end_bp - start_bp)) OVER (PARTITION BY sample_id), 6) AS fraction FROM ({SEGMENTS}) s JOIN (SELECT chrom_no, max(position) AS length FROM fx_markers GROUP BY chrom_no) l ON l.chrom_no = s.chrom_no GROUP BY sample_id, ancestry")
+def _(c):
+    lengths = c.view("fx_markers").groupBy("chrom_no").agg(F.max("position").alias("length"))
+    return ancestry.painting_totals(ancestry.ancestry_segments(haplotypes(c)), lengths).select("sample_id", "ancestry", "span", F.round("chromosomes", 6).alias("chromosomes"), "fraction")
+
+
+#: Cells as text; columns that a scan without relatives, topics and medicines does not fill are blank.
+YES_NO = "CASE WHEN {0} THEN 'yes' WHEN NOT {0} THEN 'no' ELSE '' END"
+CELLS = {
+    "sample_id": "CAST(sample_id AS VARCHAR)", "rsid": "rsid", "entity_type": "'snp'", "gene": "gene", "chromosome": "CAST(chrom_no AS VARCHAR)", "position": "CAST(position AS VARCHAR)", "genotype": "gkey", "zygosity": "zygosity", "magnitude": "CAST(magnitude AS VARCHAR)", "repute": "repute",
+    "confidence": "confidence", "evidence": "evidence", "clinical_sig": "clinical_sig", "review_stars": "CAST(stars AS VARCHAR)", "cpic_level": "cpic_level", "conditions_list": "''", "topics": "''", "medicines": "''", "silo": "silo", "category": "category", "freq": "coalesce(CAST(freq AS VARCHAR), '')",
+    "freq_band": "band", "freq_population": "'POP0'", "publications": "CAST(publications AS VARCHAR)", "variant_copies": "CAST(copies AS VARCHAR)", "carrier": YES_NO.format("(copies > 0)"), "conflict": "''", "ambiguous": "''", "interpretation": "interpretation",
+}
+
+
+@query("snk2_export_rows", "SELECT " + ", ".join(f"{v} AS {k}" for k, v in CELLS.items()) + " FROM ox_scored")
+def _(c):
+    return findings.export_rows(c.scan()["findings"])

@@ -208,19 +208,6 @@ def _(c):
     return pgx.match_drugs(meds, seen, some.select(text_("MED", n).alias("alias"), text_("drug", n).alias("drug")), some.select(text_("drug", n).alias("drug"), text_("G", n % 4).alias("gene"), F.lit("Poor").alias("phenotype"), F.lit("avoid").alias("effect")))
 
 
-@query("snk5_append_snapshot", "SELECT CAST(snapshot_id AS VARCHAR) AS snapshot_id, entry_key, true AS same FROM ox_prints")
-def _(c):
-    from .queries_sources import shared
-
-    path = shared(c, "snapshots")
-    entries = c.view("fx_snapshot_entries").withColumn("sample_id", F.lit(0).cast("long"))
-    for snap in ("1", "2", "3", "2"):  # a repeated append changes nothing
-        history.append_snapshot(entries.where(F.col("snapshot_id") == int(snap)), path, snap)
-    kept = c.spark.read.parquet(path).select(F.col("snapshot_id").cast("string").alias("snapshot_id"), "entry_key", F.col("digest").alias("kept"))
-    made = history.fingerprint(entries).select(F.col("snapshot_id").cast("string").alias("snapshot_id"), "entry_key", "digest")
-    return kept.join(made, ["snapshot_id", "entry_key"]).select("snapshot_id", "entry_key", (F.col("kept") == F.col("digest")).alias("same"))
-
-
 @query("ag25_prs_moments", f"SELECT model_id, round(mean, 9) AS mean, round(sd, 9) AS sd FROM ({MOMENTS})")
 def _(c):
     return prs.prs_moments(c.view("fx_prs_weights")).select("model_id", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"))
@@ -354,11 +341,6 @@ def _(c):
     return family.ibd_totals(segments(c)).select("a", "b", F.round("total_cm", 3).alias("total_cm"), "longest_cm", "segments")
 
 
-@query("jn16_predict_relationship", "SELECT a, b, CASE WHEN t > 3800 THEN 'above_range' WHEN t < 20 THEN 'unrelated_or_distant' WHEN t BETWEEN 0 AND 600 OR t BETWEEN 100 AND 3800 THEN 'range' ELSE 'no_band' END AS state FROM (SELECT a, b, sum(cm) AS t FROM ox_segments GROUP BY ALL)")
-def _(c):
-    return family.predict_relationship(family.ibd_totals(segments(c))).select("a", "b", "state")
-
-
 HOUSE = "SELECT k.a, k.b, k.x, k.y, coalesce(sum(s.cm), 0.0) AS t FROM (SELECT DISTINCT u.sample_id AS a, v.sample_id AS b, u.member AS x, v.member AS y FROM fx_kits u JOIN fx_kits v ON u.fam = v.fam AND u.sample_id < v.sample_id) k LEFT JOIN ox_segments s ON s.a = k.a AND s.b = k.b GROUP BY ALL"
 
 
@@ -414,12 +396,6 @@ def _(c):
     return reference.build_reference_table(r, g, levels).select("rsid", "publications", "risk_allele", "source")
 
 
-@query("ag16_reference_meta")
-def _(c):
-    r = c.view("fx_ref_variants").withColumn("source", F.lit("clinvar"))
-    return reference.reference_meta(r)
-
-
 @query("jn27_refresh_reference", "SELECT rsid, CASE WHEN CAST(substr(rsid, 3) AS BIGINT) % 2 = 0 THEN 'benign' ELSE clinical_sig END AS clinical_sig, CAST(substr(rsid, 3) AS BIGINT) % 2 = 0 AND clinical_sig <> 'benign' AS updated FROM fx_ref_variants")
 def _(c):
     r = c.view("fx_ref_variants").withColumn("conditions", F.lit("x"))
@@ -493,11 +469,6 @@ def _(c):
     return history.addendum(c.prints()).select("sample_id", "from_id", "to_id", "baseline", "changes")
 
 
-@query("wn10_fingerprint", "SELECT snapshot_id::BIGINT AS snapshot_id, entry_key, CAST(code AS BIGINT) AS clinvar_sig_code, CAST(stars AS BIGINT) AS review_stars, cpic_level FROM ox_prints")
-def _(c):
-    return c.prints().select("snapshot_id", "entry_key", "clinvar_sig_code", "review_stars", "cpic_level")
-
-
 @query("st3_unchanged", "SELECT n.entry_key FROM ox_prints o JOIN ox_prints n ON o.entry_key = n.entry_key AND o.snapshot_id = 1 AND n.snapshot_id = 2 WHERE o.code IS NOT DISTINCT FROM n.code AND o.stars = n.stars AND o.cpic_level = n.cpic_level")
 def _(c):
     p = c.prints()
@@ -685,17 +656,6 @@ def _(c):
     return lineage.marker_gaps(lineage.marker_states(c.pooled(), c.view("fx_tree"))).select("node", "samples_blocked", "samples")
 
 
-@query("pl6_lineage_report")
-def _(c):
-    return lineage.lineage_report(c.pooled(), c.view("fx_tree")).withColumns({"path": F.array_join("path", ">"), "assumed": F.array_join("assumed", ",")})
-
-
-@query("wn04_ancestry_segments", "SELECT sample_id, haplotype::BIGINT AS haplotype, CAST(chrom_no AS BIGINT) AS chrom_no, ancestry::BIGINT AS ancestry, min(position) AS start_bp, max(position) AS end_bp, count(*) AS markers FROM (SELECT *, sum(CASE WHEN ancestry IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY sample_id, haplotype, chrom_no ORDER BY position ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT t.sample_id, 1 AS haplotype, m.chrom_no, m.position, t.h1 AS ancestry, lag(t.h1) OVER (PARTITION BY t.sample_id, m.chrom_no ORDER BY m.position) AS prev FROM fx_truth t JOIN fx_markers m ON m.marker_id = t.marker_id)) GROUP BY sample_id, haplotype, chrom_no, ancestry, g")
-def _(c):
-    t = c.view("fx_truth").join(c.view("fx_markers"), "marker_id").select("sample_id", F.lit(1).alias("haplotype"), "chrom_no", "position", F.col("h1").alias("ancestry"))
-    return ancestry.ancestry_segments(t)
-
-
 @query("ag30_marker_coverage", "SELECT s.sample_id, q.pop, count(p.rsid) AS read, count(*) AS total, round(count(p.rsid) / count(*), 6) AS fraction, count(p.rsid) >= 50 AND count(p.rsid) / count(*) >= 0.2 AS resolvable FROM (SELECT DISTINCT sample_id FROM ox_pooled) s CROSS JOIN (SELECT DISTINCT pop, rsid FROM fx_allele_freq WHERE freq > 0.6) q LEFT JOIN ox_pooled p ON p.sample_id = s.sample_id AND p.rsid = q.rsid AND p.gkey <> 'NN' GROUP BY ALL")
 def _(c):
     return ancestry.marker_coverage(c.pooled().where("genotype <> 'NN'"), c.view("fx_allele_freq").where("freq > 0.6")).drop("reason")
@@ -707,13 +667,6 @@ def _(c):
     return ancestry.report_proportions(cov.select("sample_id", "pop", F.col("fraction").alias("proportion")), cov).select("sample_id", "pop", "proportion", "raw", "withheld")
 
 
-@query("ag37_painting_totals", "SELECT sample_id, ancestry::BIGINT AS ancestry, CAST(sum(e - s) AS BIGINT) AS span FROM (SELECT sample_id, ancestry, min(position) AS s, max(position) AS e FROM (SELECT *, sum(CASE WHEN ancestry IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY sample_id, chrom_no ORDER BY position ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT t.sample_id, m.chrom_no, m.position, t.h2 AS ancestry, lag(t.h2) OVER (PARTITION BY t.sample_id, m.chrom_no ORDER BY m.position) AS prev FROM fx_truth t JOIN fx_markers m ON m.marker_id = t.marker_id)) GROUP BY sample_id, chrom_no, ancestry, g) GROUP BY ALL")
-def _(c):
-    t = c.view("fx_truth").join(c.view("fx_markers"), "marker_id").select("sample_id", F.lit(2).alias("haplotype"), "chrom_no", "position", F.col("h2").alias("ancestry"))
-    lengths = c.view("fx_markers").select("chrom_no").distinct().withColumn("length", F.lit(250_000_000))
-    return ancestry.painting_totals(ancestry.ancestry_segments(t), lengths).select("sample_id", "ancestry", "span")
-
-
 IMP = "SELECT t.sample_id, t.marker_id, t.marker_id % 3 <> 0 AS imputed, CASE WHEN t.marker_id % 3 <> 0 AND t.marker_id % 7 <> 0 THEN (t.marker_id * 37 % 101) / 100.0 END AS dr2, (t.marker_id % 50) / 1000.0 AS maf FROM fx_truth t"
 
 
@@ -800,13 +753,6 @@ def _(c):
 # --- blood group and other entities -------------------------------------------------------------
 
 
-@query("ru6_blood_group")
-def _(c):
-    tags = [traits.DECISIVE, *traits.AB_TAGS, traits.LINKED[0], *traits.RH_TAGS]
-    at = F.create_map(*[F.lit(x) for k, t in enumerate(tags) for x in (f"rs{1040 + k}", t)])[F.col("rsid")]
-    return traits.blood_group(c.pooled().withColumn("rsid", F.coalesce(at, "rsid")))
-
-
 @query("ru7_entity_findings", f"SELECT 'genoset' AS entity_type, count(*) AS n, sum(2.5)::DOUBLE AS magnitudes FROM ({RULES}) WHERE matched UNION ALL SELECT 'trait', 20, 20.0::DOUBLE")
 def _(c):
     p = c.pooled()
