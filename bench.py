@@ -1,7 +1,8 @@
 """Time the headline queries, each from cold caches; prints one JSON line.
 
-A query is run up to three times (once where a run takes over 3 s) and its median counts; views that queries hold are
-released before each run.  ``duckdb`` gives the time of the query's SQL in DuckDB on the same tables and cores.
+The cohort's views, which stand for the tables that a user has, are written as Parquet first; ``fixture`` is the time that
+takes.  A query is run up to three times (once where a run takes over 3 s) and its median counts; what queries hold is
+released before each run.  ``duckdb`` gives the time of the query's SQL in DuckDB on the same files and cores.
 """
 
 from __future__ import annotations
@@ -28,20 +29,23 @@ def median_of(run) -> float:
     return round(statistics.median(seconds), 3)
 
 
-def duckdb_seconds(sf_dir: str, cpus: str, sql: dict[str, str]) -> dict[str, float]:
+def duckdb_seconds(sf_dir: str, cpus: str, sql: dict[str, str], views: dict[str, str]) -> dict[str, float]:
     import duckdb
 
     db = duckdb.connect(config={"threads": cpus})
     for t in TABLES:
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    for name, path in views.items():
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path}/*.parquet'")
     return {name: median_of(lambda text=text: db.sql(text).to_arrow_table()) for name, text in sql.items()}
 
 
 def main() -> None:
     from pyspark.sql import SparkSession
 
-    import __spark_entry__ as entry
-    from genocohort.plans.queries import release
+    from genocohort.plans import fixtures, registry
+    from genocohort.plans.queries import BARE, release
+    from genocohort.plans.views import oracle
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -52,7 +56,10 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", scratch).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    found = entry.queries()
+    found = registry.queries()
+    began = time.perf_counter()
+    views = fixtures.store_views(spark, sf_dir, f"{scratch}/cohort")
+    fixture = round(time.perf_counter() - began, 3)
 
     def run(name: str) -> None:
         release()
@@ -61,8 +68,8 @@ def main() -> None:
     run("ag01_pool_calls")  # starts the workers and compiles
     seconds = {name: median_of(lambda name=name: run(name)) for name in HEADLINE}
     spark.stop()
-    beside = duckdb_seconds(sf_dir, cpus, {n: s for n, s in entry.oracle_sql().items() if n in HEADLINE})
-    print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "duckdb": beside}))
+    beside = duckdb_seconds(sf_dir, cpus, {n: oracle(BARE[n], fixtures=False) for n in HEADLINE}, views)
+    print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "fixture": fixture, "duckdb": beside}))
 
 
 if __name__ == "__main__":

@@ -24,7 +24,7 @@ def marker_coverage(typed: DataFrame, informative: DataFrame, least: int = MIN_M
     """Per sample and population: informative markers read, and whether that is enough to say anything."""
     total = informative.groupBy("pop").agg(F.countDistinct("rsid").alias("total"))
     read = typed.select("sample_id", "rsid").distinct().join(informative.select("pop", "rsid").distinct(), "rsid").groupBy("sample_id", "pop").agg(F.count(F.lit(1)).alias("read"))
-    out = typed.select("sample_id").distinct().crossJoin(F.broadcast(total)).join(read, ["sample_id", "pop"], "left")  # a row for each population
+    out = typed.select("sample_id").distinct().crossJoin(total).join(read, ["sample_id", "pop"], "left")  # a row for each population
     n = F.coalesce("read", F.lit(0))
     part = n / F.col("total")
     reason = F.when(n < least, "too few markers").when(part < share, "too small a part").otherwise("")
@@ -57,7 +57,7 @@ def report_proportions(q: DataFrame, coverage: DataFrame, replicates: DataFrame
 
 def painting_totals(segments: DataFrame, lengths: DataFrame) -> DataFrame:
     """Span and part of each ancestry of a sample, and of what chromosomes of known length hold."""
-    rows = segments.join(F.broadcast(lengths), "chrom_no", "left").withColumn("span", F.col("end_bp") - F.col("start_bp"))
+    rows = segments.join(lengths, "chrom_no", "left").withColumn("span", F.col("end_bp") - F.col("start_bp"))
     out = rows.groupBy("sample_id", "ancestry").agg(F.sum("span").alias("span"), F.sum(F.when(F.col("length") > 0, F.col("span") / F.col("length"))).alias("chromosomes"))
     return out.withColumn("fraction", F.round(F.col("span") / F.sum("span").over(W.partitionBy("sample_id")), 6))
 

@@ -13,10 +13,14 @@ UNCERTAINTY = 2.0
 
 def carrier_status(pooled: DataFrame, panel: DataFrame) -> DataFrame:
     """Per sample and gene of ``panel(gene, rsid, allele, array_testable)``: carrier, not_carrier_for_tested_variants, untestable."""
-    grid = pooled.select("sample_id").distinct().crossJoin(panel)  # a small dimension
-    rows = grid.join(pooled.select("sample_id", "rsid", "allele1", "allele2"), ["sample_id", "rsid"], "left")
-    n = F.when(F.col("array_testable") & F.col("allele1").isNotNull() & real_call("allele1", "allele2", "star"), copies("allele1", "allele2", "allele"))
-    out = rows.withColumn("n", n).groupBy("sample_id", "gene").agg(F.count("n").alias("tested"), F.count_if(F.col("n") > 0).alias("detected"), F.count_if(F.col("array_testable") & F.col("n").isNull()).alias("not_read"), F.count_if(~F.col("array_testable")).alias("not_array_testable"), F.sum("n").alias("copies"))
+    # only read variants meet the panel; what was not read follows from the gene's number of testable ones
+    calls = pooled.where(real_call("allele1", "allele2", "star")).select("sample_id", "rsid", "allele1", "allele2")
+    read = calls.join(panel.where("array_testable").select("gene", "rsid", "allele"), "rsid").withColumn("n", copies("allele1", "allele2", "allele"))
+    read = read.groupBy("sample_id", "gene").agg(F.count("n").alias("tested"), F.count_if(F.col("n") > 0).alias("detected"), F.sum("n").alias("copies"))
+    genes = panel.groupBy("gene").agg(F.count_if("array_testable").alias("testable"), F.count_if(~F.col("array_testable")).alias("not_array_testable"))
+    rows = pooled.select("sample_id").distinct().crossJoin(genes).join(read, ["sample_id", "gene"], "left")  # the result's own rows
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    out = rows.select("sample_id", "gene", none("tested"), none("detected"), (F.col("testable") - F.coalesce("tested", F.lit(0))).alias("not_read"), "not_array_testable", "copies")
     return out.withColumn("status", F.when(F.col("detected") > 0, "carrier").when(F.col("tested") > 0, "not_carrier_for_tested_variants").otherwise("untestable"))
 
 

@@ -21,8 +21,12 @@ def defined_copies(pooled: DataFrame, defs: DataFrame) -> DataFrame:
 
 def allele_status(pooled: DataFrame, defs: DataFrame) -> DataFrame:
     """untestable if any position of an allele was not read, else present or absent by the least of its copies."""
-    out = defined_copies(pooled, defs).groupBy("sample_id", "gene", "allele").agg(F.count_if(F.col("n").isNull()).alias("unread"), F.min("n").alias("least"), F.count(F.lit(1)).alias("variants"))
-    n = F.when(F.col("unread") == 0, F.col("least"))
+    calls = pooled.where(real_call("allele1", "allele2", "star")).select("sample_id", "rsid", "allele1", "allele2")
+    # only read positions meet the definitions; what was not read follows from an allele's number of positions
+    read = calls.join(defs.where("base is not null").select("gene", "allele", "rsid", "base"), "rsid").groupBy("sample_id", "gene", "allele").agg(F.count(F.lit(1)).alias("read"), F.min(copies("allele1", "allele2", "base")).alias("least"))
+    whole = defs.groupBy("gene", "allele").agg(F.count(F.lit(1)).alias("variants"))
+    out = pooled.select("sample_id").distinct().crossJoin(whole).join(read, ["sample_id", "gene", "allele"], "left")  # the result's own rows
+    n = F.when(F.col("read") == F.col("variants"), F.col("least"))
     return out.select("sample_id", "gene", "allele", F.when(n.isNull(), "untestable").when(n > 0, "present").otherwise("absent").alias("status"), n.alias("copies"), "variants")
 
 

@@ -168,8 +168,28 @@ def as_ctes(sql: str) -> str:
     return f"WITH {joined}\n{body}"
 
 
+#: Views written as Parquet, by folder of tables and name.
+stored: dict[tuple[str, str], str] = {}
+
+
+def store_views(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
+    """Write all views over the tables of ``sf_dir`` under ``folder``; from then on they are read from there."""
+    for name in VIEWS:
+        view(spark, sf_dir, name).write.parquet(f"{folder}/{name}")
+        stored[sf_dir, name] = f"{folder}/{name}"
+    return {name: f"{folder}/{name}" for name in VIEWS}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One view over the tables of ``sf_dir``."""
+    if (sf_dir, name) in stored:
+        return spark.read.parquet(stored[sf_dir, name])
+    for used in {n for d, n in stored if d == sf_dir}:
+        spark.read.parquet(stored[sf_dir, used]).createOrReplaceTempView(used)
+    if any(d == sf_dir for d, _ in stored):  # what is written already is not worked out again
+        for table in BASE:
+            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        return spark.sql(VIEWS[name])
     sql = as_ctes(f"SELECT * FROM {name}")
     for table in BASE:
         if re.search(rf"\b{table}\b", sql):

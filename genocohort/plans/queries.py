@@ -16,6 +16,8 @@ from .views import oracle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: The queries' SQL without the views that it uses.
+BARE: dict[str, str] = {}
 
 
 _held: dict = {}
@@ -50,6 +52,8 @@ class Cohort:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
+        if (self.sf_dir, name) in fixtures.stored:
+            return fixtures.view(self.spark, self.sf_dir, name)
         return self.held(name, lambda: fixtures.view(self.spark, self.sf_dir, name))
 
     def calls(self) -> DataFrame:
@@ -102,7 +106,7 @@ def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = lambda spark, sf_dir: plain(f(Cohort(spark, sf_dir)))
         if sql:
-            ORACLES[name] = oracle(sql)
+            ORACLES[name], BARE[name] = oracle(sql), sql
         return f
 
     return register

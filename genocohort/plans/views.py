@@ -58,8 +58,8 @@ ORACLE_VIEWS["ox_scored_pop3"] = ORACLE_VIEWS["ox_scored"].replace("'POP0'", "'P
 VIEWS_FOR_ORACLE = VIEWS | ORACLE_VIEWS
 
 
-def oracle(sql: str) -> str:
-    """``sql`` with the fixture and oracle views it uses put before it."""
+def oracle(sql: str, fixtures: bool = True) -> str:
+    """``sql`` with the oracle views it uses put before it, and the fixture views unless they are tables already."""
     import re
 
     found: set[str] = set()
@@ -68,7 +68,7 @@ def oracle(sql: str) -> str:
         for name in set(re.findall(r"\b[fo]x_\w+", todo.pop())) & set(VIEWS_FOR_ORACLE) - found:
             found.add(name)
             todo.append(VIEWS_FOR_ORACLE[name])
-    views = [n for n in VIEWS_FOR_ORACLE if n in found]
+    views = [n for n in VIEWS_FOR_ORACLE if n in found and (fixtures or n not in VIEWS)]
     if not views:
         return sql.strip()
     joined = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS_FOR_ORACLE[n]})" for n in views)
