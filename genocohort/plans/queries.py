@@ -279,12 +279,19 @@ def _(c):
     return annotate.aggregate_frequency(c.pooled(), c.view("fx_allele_freq")).select("sample_id", "rsid", "freq_max", "freq_min")
 
 
-@query("jn10_overlay_genotypes", "SELECT f.sample_id, f.rsid, CASE WHEN f.gkey <> 'NN' AND substr(f.gkey, 1, 1) = substr(f.gkey, 2, 1) THEN 2.5::DOUBLE END AS overlay_magnitude FROM ox_findings f")
+# even markers have an overlay for each homozygous genotype, odd ones for A and C alone, which G and T meet on the other strand
+OVERLAID = """SELECT sample_id, rsid, CASE WHEN hit THEN 1.0 + m % 4 END AS overlay_magnitude, CASE WHEN hit THEN CASE WHEN m % 2 = 0 THEN 'Good' ELSE 'Bad' END END AS overlay_repute, CASE WHEN hit THEN token || ' of ' || rsid END AS overlay_summary, CASE WHEN hit THEN token END AS token, hit AND m % 2 = 1 AND x IN ('G', 'T') AS flipped
+ FROM (SELECT *, '(' || b || ';' || b || ')' AS token FROM (SELECT *, CASE WHEN m % 2 = 0 THEN x WHEN x IN ('A', 'T') THEN 'A' ELSE 'C' END AS b FROM (SELECT sample_id, rsid, CAST(substr(rsid, 3) AS BIGINT) AS m, substr(gkey, 1, 1) AS x, gkey <> 'NN' AND substr(gkey, 1, 1) = substr(gkey, 2, 1) AS hit FROM ox_findings)))"""
+
+
+@query("jn10_overlay_genotypes", OVERLAID)
 def _(c):
     f = annotate.annotate(c.pooled(), c.view("fx_ref_variants"))
-    bases = F.explode(F.array(*[F.lit(f"({b};{b})") for b in "ACGT"]))
-    overlay = c.view("fx_ref_variants").select("rsid", bases.alias("token"), F.lit(2.5).alias("overlay_magnitude"), F.lit("Good").alias("overlay_repute"), F.lit("").alias("overlay_summary"))
-    return annotate.overlay_genotypes(f, overlay).select("sample_id", "rsid", "overlay_magnitude")
+    m = F.substring("rsid", 3, 20).cast("long")
+    of = lambda bases: F.array(*[F.lit(f"({b};{b})") for b in bases])
+    rows = c.view("fx_ref_variants").select("rsid", F.explode(F.when(m % 2 == 0, of("ACGT")).otherwise(of("AC"))).alias("token"))
+    overlay = rows.select("rsid", "token", (m % 4 + 1.0).alias("overlay_magnitude"), F.when(m % 2 == 0, "Good").otherwise("Bad").alias("overlay_repute"), F.concat("token", F.lit(" of "), "rsid").alias("overlay_summary"))
+    return annotate.overlay_genotypes(f, overlay).select("sample_id", "rsid", "overlay_magnitude", "overlay_repute", "overlay_summary", "token", "flipped")
 
 
 SCORED = "SELECT sample_id, rsid, gene, zygosity, CAST(copies AS BIGINT) AS variant_copies, freq, band AS freq_band, magnitude, repute, confidence, evidence, CAST(stars AS BIGINT) AS review_stars, CAST(code AS BIGINT) AS clinvar_sig_code, silo FROM ox_scored"
