@@ -6,12 +6,14 @@ class of all other words spells them byte by byte, so that every token has a pro
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stage, stage
+from .common import bounded_broadcast, drop_stage, stage
 
 #: Size of the network: classes of the vocabulary's words, words in each, endings that stand for other words in a
 #: window, words seen on either side, values of an embedding, hidden units.
@@ -231,7 +233,7 @@ def read_ids(docs: DataFrame, words: list[bytes], spell: np.ndarray, buckets: in
     return rows.mapInArrow(run, "doc_id long, bucket long, n_tokens long, spelled double, ids binary")
 
 
-def chunks(ids: list[np.ndarray], most: int = 65_536):
+def chunks(ids: Iterable[np.ndarray], most: int = 65_536):
     """Lists of documents of about ``most`` tokens; a longer document is a list of its own."""
     held, n = [], 0
     for d in ids:
@@ -244,41 +246,66 @@ def chunks(ids: list[np.ndarray], most: int = 65_536):
         yield held
 
 
-def fit(rows: DataFrame, params: list[np.ndarray], buckets: int, rounds: int = ROUNDS) -> list[np.ndarray]:
+def lessons(rows: DataFrame, buckets: int, most: int = BUCKET_ROWS) -> DataFrame:
+    """``bucket, doc_id, ids, times``: what each bucket trains on, ``times`` times over.
+
+    Rows hash to buckets by doc_id and text, so that rows equal in both would all meet in one.  Those that occur more than ``most``
+    times (fewer keys than buckets) are counted instead, and their number is shared among as many buckets as they fill.
+    """
+    known = rows.where("n_tokens > 0").select("bucket", "doc_id", "ids", F.lit(1).cast("long").alias("times"), F.xxhash64("doc_id", "ids").alias("key"))
+    often = stage(known.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "often")
+    if not (n := often.count()):
+        return known.drop("key")
+    often = bounded_broadcast(often, n)
+    counted = known.join(often, "key", "left_semi").groupBy("doc_id", "ids").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / most)
+    counted = counted.select("doc_id", "ids", "n", parts.alias("parts"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    times = F.floor(F.col("n") / F.col("parts")) + (F.col("part") < F.col("n") % F.col("parts")).cast("long")
+    shared = counted.select(F.pmod(F.xxhash64("doc_id", "ids", "part"), F.lit(buckets)).cast("long").alias("bucket"), "doc_id", "ids", times.alias("times"))
+    return known.join(often, "key", "left_anti").drop("key").unionByName(shared)
+
+
+def fit(rows: DataFrame, params: list[np.ndarray], buckets: int, rounds: int = ROUNDS, most: int = BUCKET_ROWS) -> list[np.ndarray]:
     """The parameters after training on every row of ``rows`` once.
 
     Each round trains its share of the buckets, each on its own from the common parameters, and averages the
-    results by tokens in Spark in two steps; the driver holds one set of parameters.  Buckets are
+    results by tokens in Spark, 64 at a time, until one is left; the driver holds one set of parameters.  Buckets are
     made by hash and read in the order of doc_id, so the layout of the table changes nothing.
     """
-    shapes, size = [p.shape for p in params], 2048
+    shapes, size, wide = [p.shape for p in params], 2048, 64
 
     def local(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["doc_id", "ids"], na_position="first")
+        pdf = pdf.sort_values(["doc_id", "ids", "times"], na_position="first")
         own, n = [p.copy() for p in params], 0
         squares = [np.full_like(p, 1e-6) for p in own]
-        for part in chunks([np.frombuffer(x, np.int16) for x in pdf["ids"] if len(x)]):
+        repeated = (x for ids, times in zip(pdf["ids"], pdf["times"]) for x in [np.frombuffer(ids, np.int16)] * times)
+        for part in chunks(repeated):
             tokens, around = windows(part)
             train(own, squares, tokens, around)
             n += len(tokens)
-        values, bucket = np.concatenate([p.ravel() for p in own]), int(pdf["bucket"].iloc[0])
-        blocks = [values[i : i + size] for i in range(0, len(values), size)] if n else []
-        return pd.DataFrame({"block": range(len(blocks)), "salt": bucket // rounds % 64, "bucket": bucket, "n": n, "v": blocks})
+        values = np.concatenate([p.ravel() for p in own])
+        blocks = [values[i : i + size] for i in range(0, len(values), size)]
+        return pd.DataFrame({"block": range(len(blocks)), "at": int(pdf["bucket"].iloc[0]) // rounds, "n": n, "v": blocks})
 
     def average(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("bucket")
+        pdf = pdf.sort_values("at")
         w = pdf["n"].to_numpy(float)
         v = np.average(np.stack(pdf["v"].to_list()).astype(float), axis=0, weights=w)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "salt": pdf["salt"].iloc[:1], "bucket": pdf["salt"].iloc[:1].astype("int64"), "n": [int(w.sum())], "v": [v.astype(np.float32)]})
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "at": pdf["at"].iloc[:1] // wide, "n": [int(w.sum())], "v": [v.astype(np.float32)]})
 
-    kind = "block int, salt int, bucket long, n long, v array<float>"
+    kind = "block int, at long, n long, v array<float>"
+    taught = lessons(rows, buckets, most)
     for k in range(rounds):
-        trained = rows.where((F.col("bucket") % rounds == k) & (F.col("n_tokens") > 0)).select("bucket", "doc_id", "ids").groupBy("bucket").applyInPandas(local, kind)
-        found = trained.groupBy("block", "salt").applyInPandas(average, kind).groupBy("block").applyInPandas(average, kind).collect()
+        trained = taught.where(F.col("bucket") % rounds == k).groupBy("bucket").applyInPandas(local, kind)
+        left = buckets // rounds + 1
+        while left > 1:
+            trained = trained.groupBy("block", F.floor(F.col("at") / wide)).applyInPandas(average, kind)
+            left = -(-left // wide)
+        found = trained.collect()
         if found:
             values = np.concatenate([np.array(r["v"], np.float32) for r in sorted(found, key=lambda r: r["block"])])
             ends = np.cumsum([int(np.prod(s)) for s in shapes])
@@ -299,7 +326,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, bucket_rows: int = BUCKET_ROWS)
     words, spell, params = vocabulary(docs)
     buckets = docs.count() // bucket_rows + 1
     rows = stage(read_ids(docs, words, spell, buckets), "ids")
-    params = fit(rows, params, buckets, rounds)
+    params = fit(rows, params, buckets, rounds, bucket_rows)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("pll", pa.float64()), ("pll_per_token", pa.float64())])
 
     def run(batches):

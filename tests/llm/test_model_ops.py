@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from genocohort.llm import langid, lm_score, urlgraph
+from genocohort.llm.common import meet
 from genocohort.llm.queries import tokenizer_file
 
 SF = "/root/testdata/sf0.001"
@@ -162,6 +163,29 @@ def test_layout_does_not_change_scores(docs):
     assert all(a == b and math.isclose(x, y, rel_tol=1e-6) for (a, x), (b, y) in zip(one, other, strict=True))
 
 
+def test_rows_that_occur_very_often_fill_several_buckets(spark):
+    ids = [np.arange(k + 1).astype(np.int16).tobytes() for k in range(5)]
+    rows = [(None, 0, 1, ids[0])] * 95 + [(7, 1, 2, ids[1])] * 11 + [(k, k % 4, k + 1, ids[k]) for k in range(2, 5)] + [(9, 0, 0, b"")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, bucket long, n_tokens long, ids binary")
+    got = lm_score.lessons(df, 40, most=10).collect()
+    assert max(r.times for r in got) <= 10 and len({r.bucket for r in got if r.doc_id is None}) > 5
+    total = Counter()
+    for r in got:
+        total[r.doc_id, bytes(r.ids)] += r.times
+    assert total == Counter((i, d) for i, _, n, d in rows if n)
+    assert {(r.doc_id, r.bucket, r.times) for r in got if (r.doc_id or 0) in (2, 3, 4)} == {(2, 2, 1), (3, 3, 1), (4, 0, 1)}
+
+
+def test_averages_of_many_buckets_are_weighted_by_tokens(spark):
+    """130 buckets of the same text each train alike, so their average is what one of them learns, over two steps of 64."""
+    params = lm_score.fresh(np.arange(50.0), 3.0)
+    ids = np.arange(40).astype(np.int16).tobytes()
+    rows = spark.createDataFrame([(k, k, 40, ids) for k in range(130)], "doc_id long, bucket long, n_tokens long, ids binary")
+    many = lm_score.fit(rows, params, 130, rounds=1)
+    one = lm_score.fit(rows.where("bucket = 0"), params, 1, rounds=1)
+    assert all(np.allclose(x, y, atol=1e-6) for x, y in zip(many, one)) and not np.allclose(one[0], params[0])
+
+
 def test_probabilities_of_all_tokens_sum_to_one():
     rng = np.random.default_rng(2)
     params = [rng.normal(0, 1, p.shape).astype(np.float32) for p in lm_score.fresh(np.arange(50.0), 3.0)]
@@ -244,3 +268,25 @@ def test_urls_equal_brute_force(spark):
     assert urlgraph.judge_urls(df.where("false")).count() == 0
 
 
+
+
+def test_links_and_pages_of_large_hosts_are_dealt(spark, monkeypatch):
+    """A hub with links to and from all hosts and a third of all pages gives the same scores, however its rows are dealt."""
+    hosts = [f"h{k}.example" for k in range(40)] + ["p.org", "q.net"]
+    pages = [(k, f"http://{h}/fr/x", f'<a href="http://hub.com/{k}"> <a href="http://{hosts[k * 7 % 42]}/">') for k, h in enumerate(hosts)]
+    pages += [(100 + k, f"http://hub.com/{k % 3}", f'<a href="http://{hosts[k % 42]}/">') for k in range(60)] + [(200 + k, None, None) for k in range(30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    whole = sorted(tuple(r) for r in urlgraph.judge_urls(df, settled=1e-3).collect())
+    asked = []
+
+    def dealt(rows, facts, keys, by):
+        asked.append(keys)
+        return meet(rows, facts, keys, by, most=0, least=4)
+
+    monkeypatch.setattr(urlgraph, "meet", dealt)
+    parts = sorted(tuple(r) for r in urlgraph.judge_urls(df, settled=1e-3, most=4).collect())
+    assert asked == [["src", "kind"], ["host"]] and len(whole) == len(pages)
+    for x, y in zip(whole, parts, strict=True):
+        assert x[:5] == y[:5] and np.allclose(x[5:], y[5:])
+    # no rule speaks of the hub: what trust it has came along links
+    assert all(r[3] is None and r[5] > 0.05 for r in whole if r[1] == "hub.com")
