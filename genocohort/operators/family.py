@@ -9,6 +9,8 @@ from pyspark.sql.window import Window as W
 from ..functions.alleles import complement, genotype_key, normalize_role
 
 MIN_SNPS, MIN_CM, MAX_OH = 300, 7.0, 1
+#: Parts of the markers by which a pair of samples is looked up.
+PAIR_PARTS = 32
 #: Width of the bins that turn a range join into an equi join.
 BIN = 100_000
 # Mean cM per Mb of each chromosome, used without a genetic map.
@@ -140,10 +142,13 @@ def centimorgans(segments: DataFrame, genetic_map: DataFrame) -> DataFrame:
 def sample_pairs(pooled: DataFrame, pairs: DataFrame) -> DataFrame:
     """IBS state of each marker that both samples of a listed pair read: 2, 1 or 0 shared alleles.
 
-    ``pairs(a, b)`` is a household or candidate list; a cohort is never paired with itself by default.
+    ``pairs(a, b)`` is a household or candidate list; a cohort is never paired with itself by default.  Each pair is asked
+    for in PAIR_PARTS parts of the markers, so that a sample that is in very many pairs has no genome a pair in one task.
     """
+    part = F.pmod(F.xxhash64("rsid"), F.lit(PAIR_PARTS)).cast("int")
+    wanted = pairs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PAIR_PARTS - 1))))
     rows = pooled.where(genotype_key("allele1", "allele2", "ibd") != "NN").select("sample_id", "rsid", "chrom_no", "position", genotype_key("allele1", "allele2", "ibd").alias("key"))
-    left = pairs.join(rows.select(F.col("sample_id").alias("a"), "rsid", "chrom_no", "position", F.col("key").alias("ka")), "a")
+    left = wanted.join(rows.select(F.col("sample_id").alias("a"), part.alias("_part"), "rsid", "chrom_no", "position", F.col("key").alias("ka")), ["a", "_part"]).drop("_part")
     both = left.join(rows.select(F.col("sample_id").alias("b"), "rsid", F.col("key").alias("kb")), ["b", "rsid"])
     cross = lambda i, j: (base(F.col("ka"), i) == base(F.col("kb"), j)).cast("int")
     return both.withColumn("ibs", F.greatest(cross(1, 1) + cross(2, 2), cross(1, 2) + cross(2, 1))).drop("ka", "kb")
