@@ -23,15 +23,28 @@ def fixed(texts: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(t) for t in texts])
 
 
+def tenths(x: Column) -> Column:
+    """A number from 0 to 1e12 as text with one decimal, rounded by its exact binary value and half to even, as C and Python do."""
+    # 20 x as a sum of exact parts and its exact rounding error: x is half way between two tenths where this is odd
+    a, b = x * 16.0, x * 4.0
+    s = a + b
+    error = b - (s - a)
+    low = F.floor(s / 2.0)
+    over = s - low * 2.0
+    up = (over > 1.0) | ((over == 1.0) & ((error > 0.0) | ((error == 0.0) & (low % 2 == 1))))
+    n = low + up.cast("long")
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def attach_score_caveats(scores: DataFrame) -> DataFrame:
     """Add ``caveats`` to rows with ``coverage`` (0 to 1; null counts as none)."""
-    said = F.format_string("This score used %.1f percent of its variants.", F.coalesce("coverage", F.lit(0.0)) * 100)
+    said = F.format_string("This score used %s percent of its variants.", tenths(F.coalesce("coverage", F.lit(0.0)) * 100))
     return scores.withColumn("caveats", F.array_append(fixed(SCORE_CAVEATS), said))
 
 
 def attach_imputation_caveats(reports: DataFrame, threshold: float = 0.80, note: str = "") -> DataFrame:
     """Add ``caveats`` to rows with ``imputed`` and ``above`` counts; a panel's own ``note`` comes last."""
-    share = F.when(F.col("imputed") > 0, F.col("above") / F.col("imputed") * 100).otherwise(0.0)
-    said = F.format_string(f"%d of %d imputed variants (%.1f percent) have a quality of {threshold:.2f} or more.", F.col("above"), F.col("imputed"), share)
+    share = F.when(F.col("imputed") > 0, F.col("above") * 100 / F.col("imputed")).otherwise(0.0)
+    said = F.format_string(f"%d of %d imputed variants (%s percent) have a quality of {threshold:.2f} or more.", F.col("above"), F.col("imputed"), tenths(share))
     out = F.array_append(fixed(IMPUTATION_CAVEATS), said)
     return reports.withColumn("caveats", F.array_append(out, F.lit(note)) if note else out)
