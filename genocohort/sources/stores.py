@@ -181,13 +181,16 @@ class ReferenceStore:
         self.spark.createDataFrame(about, "key string, buckets int, schema string").coalesce(1).write.mode("overwrite").json(f"{self.path}/_about/{table}")
 
     def table(self, table: str) -> DataFrame:
-        """The stored table, with its buckets, in this session or a new one."""
+        """The stored table, with its buckets, in this session or a new one.
+
+        Joins with it merge its sorted buckets: by its files' size, which packs repeated keys well, it could seem fit to broadcast.
+        """
         name = self._name(table)
         if not self.spark.catalog.tableExists(name):
             about = self.spark.read.schema("key string, buckets int, schema string").json(f"{self.path}/_about/{table}").first()
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in StructType.fromJson(json.loads(about["schema"])).fields)
             self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({about['key']}) SORTED BY ({about['key']}) INTO {about['buckets']} BUCKETS LOCATION '{self.path}/{table}'")
-        return self.spark.table(name)
+        return self.spark.table(name).hint("merge")
 
 
 def lookup_rsids(rsids: list[str]) -> list[str]:
