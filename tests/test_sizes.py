@@ -21,3 +21,11 @@ def test_stored_tables_are_merged(spark, tmp_path):
     both = store.table("calls").join(store.table("frequencies").select("rsid", "freq"), "rsid")
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan and "Exchange" not in plan and both.count() == 10
+
+
+def test_mix_query_draws_all_blocks(spark):
+    from genocohort.llm import mixing, queries
+
+    # each of about 4,096 blocks gives a piece at least
+    pieces = queries.op5_source_mix(spark, "/root/testdata/sf0.01").where("taken > 0").selectExpr("explode(split(pieces, ','))")
+    assert pieces.count() >= mixing.BLOCKS
