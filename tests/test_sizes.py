@@ -1,6 +1,7 @@
 """What grows with the tables lies in many tasks, and is not sent to all of them."""
 
-from genocohort.plans import fixtures
+from genocohort.plans import fixtures, queries
+from genocohort.plans.scan import rescore
 from genocohort.sources import stores
 
 
@@ -29,3 +30,21 @@ def test_mix_query_draws_all_blocks(spark):
     # each of about 4,096 blocks gives a piece at least
     pieces = queries.op5_source_mix(spark, "/root/testdata/sf0.01").where("taken > 0").selectExpr("explode(split(pieces, ','))")
     assert pieces.count() >= mixing.BLOCKS
+
+
+def test_markers_and_orders_are_not_broadcast(spark, tmp_path):
+    spark.range(50).selectExpr("id AS p_partkey", "'b' AS p_brand", "'t' AS p_type", "CAST(id % 9 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(40).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = spark.range(200).selectExpr("id % 40 AS l_orderkey", "id % 50 AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "id % 50 + 1D AS l_quantity", "1D AS l_extendedprice", "0.1D AS l_discount", "0.08D AS l_tax", "timestamp '2020-01-01' AS l_shipdate")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("fx_truth", "fx_calls", "fx_snapshot_entries", "fx_allele_defs", "fx_tree"):
+        plan = fixtures.view(spark, str(tmp_path), name)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, name
+    assert fixtures.view(spark, str(tmp_path), "fx_calls").count() == 200
+
+    queries.release()
+    cohort = queries.Cohort(spark, str(tmp_path))
+    rescored = rescore(cohort.scan()["findings"], cohort.view("fx_allele_freq"), "POP3").select("sample_id", "rsid", "freq")
+    assert {name for *_, name in queries._held} == {"pooled", "fx_ref_variants", "fx_allele_freq"}  # no calls of kits, no findings
+    assert rescored.count() == cohort.scan()["findings"].count() > 0
+    queries.release()
