@@ -48,3 +48,12 @@ def test_markers_and_orders_are_not_broadcast(spark, tmp_path):
     assert {name for *_, name in queries._held} == {"pooled", "fx_ref_variants", "fx_allele_freq"}  # no calls of kits, no findings
     assert rescored.count() == cohort.scan()["findings"].count() > 0
     queries.release()
+
+
+def test_search_works_out_scores_once(spark):
+    import re
+
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["fl3_search_findings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LOG10(" in plan and not any("LOG10(" in f for f in re.findall(r"Filter (.*)", plan))  # a part of the score
