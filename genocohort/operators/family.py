@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.alleles import complement, genotype_key, normalize_role
+from .staging import staged
 
 MIN_SNPS, MIN_CM, MAX_OH = 300, 7.0, 1
 #: Parts of the markers by which a pair of samples is looked up.
@@ -165,7 +166,8 @@ def ibd_segments(ibs: DataFrame, genetic_map: DataFrame, min_snps: int = MIN_SNP
 
     Up to ``max_oh`` opposite homozygotes (IBS 0) inside a run are passed over; the next one ends it before itself
     and a new run starts after it.  Runs begin and end on a shared marker.  Only the places of IBS-0 markers and
-    of their neighbours are gathered, per pair and chromosome, and folded in order, in one shuffle.
+    of their neighbours are gathered, per pair and chromosome, and folded in order, in one shuffle.  Runs too short are not
+    gathered, and what is found is staged, as its places on the map are looked up several times.
     """
     w = W.partitionBy("a", "b", "chrom_no").orderBy("position", "rsid")
     rows = ibs.select("a", "b", "chrom_no", "ibs", "position", F.row_number().over(w).alias("i"), F.lag("position").over(w).alias("before"), F.lead("position").over(w).alias("after"))
@@ -181,7 +183,8 @@ def ibd_segments(ibs: DataFrame, genetic_map: DataFrame, min_snps: int = MIN_SNP
         fresh = state(v["i"] + 1, v["after"], F.lit(0), acc["runs"])
         passed = state(acc["start"], acc["start_bp"], acc["passed"] + 1, acc["runs"])
         closed = state(v["i"] + 1, v["after"], F.lit(0), F.array_append(acc["runs"], run(acc, v["i"] - 1, v["before"])))
-        return F.when(v["i"] == acc["start"], fresh).when(acc["passed"] < max_oh, passed).otherwise(closed)
+        short = v["i"] - acc["start"] < min_snps
+        return F.when(v["i"] == acc["start"], fresh).when(acc["passed"] < max_oh, passed).when(short, fresh).otherwise(closed)
 
     begin = state(F.lit(1), F.col("first_bp"), F.lit(0), F.array())
     folded = groups.withColumn("runs", F.aggregate("zeros", begin, step, lambda acc: F.array_append(acc["runs"], run(acc, F.lit(2**30), F.lit(None)))))
@@ -191,7 +194,7 @@ def ibd_segments(ibs: DataFrame, genetic_map: DataFrame, min_snps: int = MIN_SNP
         at_end = F.get(F.filter("zeros", lambda z: z["i"] == F.col("end")), F.lit(0))
         runs = runs.withColumn("z", at_end).withColumns({"end_bp": F.when(F.col("z").isNotNull(), F.col("z.before")).otherwise(F.col("end_bp")), "end": F.when(F.col("z").isNotNull(), F.col("end") - 1).otherwise(F.col("end"))}).drop("z")
     out = runs.withColumn("snps", F.col("end") - F.col("start") + 1).where((F.col("end") >= F.col("start")) & (F.col("snps") >= min_snps)).select("a", "b", "chrom_no", "snps", "start_bp", "end_bp")
-    return centimorgans(out, genetic_map).where(F.col("cm") >= min_cm)
+    return centimorgans(staged(out, "segments"), genetic_map).where(F.col("cm") >= min_cm)
 
 
 def ibd_totals(segments: DataFrame) -> DataFrame:

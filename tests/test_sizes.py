@@ -57,3 +57,13 @@ def test_search_works_out_scores_once(spark):
 
     plan = entry.queries()["fl3_search_findings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "LOG10(" in plan and not any("LOG10(" in f for f in re.findall(r"Filter (.*)", plan))  # a part of the score
+
+
+def test_segments_are_found_once(spark):
+    from genocohort.operators import family
+
+    # places 30 and 60 differ: runs of 30, 29 and 39 markers, of which the second is too short
+    ibs = spark.range(1, 101).selectExpr("1L AS a", "2L AS b", "1 AS chrom_no", "id - 1 AS k", "concat('rs', id) AS rsid", "(id - 1) * 1000000 AS position").selectExpr("*", "IF(k IN (30, 60), 0, 2) AS ibs").drop("k")
+    found = family.ibd_segments(ibs, spark.sql("SELECT 1 AS chrom_no, 0L AS bp, 0D AS cm UNION ALL SELECT 1, 100000000L, 100D"), min_snps=30, min_cm=1.0, max_oh=0)
+    assert "row_number" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.start_bp, r.end_bp, r.snps, r.cm) for r in found.collect()) == [(0, 29_000_000, 30, 29.0), (61_000_000, 99_000_000, 39, 38.0)]
