@@ -242,12 +242,14 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, shard_rows: in
                 nodes, low = smallest_reachable(q_reps[i], reps[j])
                 yield pd.DataFrame({"a": np.concatenate([q_reps[links > 0], nodes]), "b": np.concatenate([q_reps[links > 0], low]), "n": np.concatenate([links[links > 0], np.zeros(len(nodes), np.int64)])})
 
-    met = left.join(right, ["label", "dim", "shard", "block"]).select("graph", "base", "queries")
+    # merged: with a row for each block, a shard's vectors are many times what their file's size says
+    met = left.join(right.hint("merge"), ["label", "dim", "shard", "block"]).select("graph", "base", "queries")
     links = stage(met.mapInPandas(query, "a long, b long, n long"), "links")
     counts = links.groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("rep"), "n")
     groups = components(links.select("a", "b")).select(F.col("node").alias("rep"), "component")
     known = classes.join(counts, "rep", "left").join(groups, "rep", "left")
     known = known.select("label", "v", F.col("copies").alias("n"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = meet(good, stage(known, "known"), ["label", "v"], ["vec_id"]).select("vec_id", "n_links", "component_id")
+    # facts that hold vectors are too wide to broadcast, few or many
+    out = meet(good, stage(known, "known"), ["label", "v"], ["vec_id"], most=0).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(fit, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
