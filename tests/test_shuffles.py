@@ -5,6 +5,7 @@ import re
 import duckdb
 import pytest
 
+from genocohort.operators import lineage, staging
 from genocohort.plans import fixtures, queries
 
 
@@ -45,3 +46,14 @@ def test_truth_and_calls_are_shuffled_once(spark, odd):
     queries.release()
     assert [k for k in keys if "rsid" in k] == ["sample_id, rsid"] and not [k for k in keys if "h1" in k or "CASE" in k]
     assert keys.count("l_orderkey") == 1 and keys.count("l_partkey") <= 1
+
+
+def test_report_makes_one_closure(spark, monkeypatch):
+    tree = spark.createDataFrame([("A", "", "", "", ""), ("B", "A", "rs1", "A", "C"), ("C", "B", "rs2", "G", "T")], "node string, parent string, rsid string, ancestral string, derived string")
+    pooled = spark.createDataFrame([(1, "rs1", "C", "C"), (1, "rs2", "G", "G"), (2, "rs2", "N", "N")], "sample_id long, rsid string, allele1 string, allele2 string")
+    made, whole, real = [], [], lineage.tree_closure
+    monkeypatch.setattr(lineage, "tree_closure", lambda t: made.append(t) or real(t))
+    monkeypatch.setattr(lineage, "staged", lambda df, name: whole.append(name) or staging.staged(df, name))
+    got = {r.sample_id: (r.state, r.haplogroup, r.readable, r.in_tree, r.deepest_readable, r.tested, r.not_testable) for r in lineage.lineage_report(pooled, tree).collect()}
+    assert got == {1: ("resolved", "B", 2, 2, "C", 2, 0), 2: ("no_data", None, 0, 2, None, 0, 2)}
+    assert len(made) == 1 and whole.count("states") == 1
