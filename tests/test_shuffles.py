@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from genocohort.operators import lineage, staging
-from genocohort.plans import fixtures, queries
+from genocohort.plans import fixtures, queries, registry
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +57,12 @@ def test_report_makes_one_closure(spark, monkeypatch):
     got = {r.sample_id: (r.state, r.haplogroup, r.readable, r.in_tree, r.deepest_readable, r.tested, r.not_testable) for r in lineage.lineage_report(pooled, tree).collect()}
     assert got == {1: ("resolved", "B", 2, 2, "C", 2, 0), 2: ("no_data", None, 0, 2, None, 0, 2)}
     assert len(made) == 1 and whole.count("states") == 1
+
+
+def test_inventory_holds_no_truth(spark, odd):
+    queries.release()
+    found = registry.queries()["ag41_panel_inventory"]
+    assert found(spark, odd).count() == 1
+    names = {name for *_, name in queries._held}
+    queries.release()
+    assert "fx_truth" not in names
