@@ -5,7 +5,7 @@ import re
 import duckdb
 import pytest
 
-from genocohort.operators import lineage, staging
+from genocohort.operators import lineage, rules, staging
 from genocohort.plans import fixtures, queries, registry
 
 
@@ -66,3 +66,16 @@ def test_inventory_holds_no_truth(spark, odd):
     names = {name for *_, name in queries._held}
     queries.release()
     assert "fx_truth" not in names
+
+
+def test_coverage_works_out_needs_once(spark, monkeypatch):
+    # rule 1 needs one marker, rule 2 the same and another, rule 3 none
+    nodes = [("R1", 1, 0, "geno", "rs1", "A", ""), ("R2", 1, 0, "and", "", None, ""), ("R2", 2, 1, "rule", "", None, "R1"), ("R2", 3, 1, "geno", "rs2", "C", ""), ("R3", 1, 0, "not", "", None, ""), ("R3", 2, 1, "rule", "", None, "R9")]
+    nodes = spark.createDataFrame([(*n[:4], 0, *n[4:]) for n in nodes], "rule_id string, node_id int, parent_id int, op string, n int, rsid string, alleles string, ref_rule string")
+    pooled = spark.createDataFrame([(1, "rs1", "A", "G"), (1, "rs2", "N", "N"), (2, "rs1", "A", "A"), (2, "rs2", "C", "T")], "sample_id long, rsid string, allele1 string, allele2 string")
+    names = []
+    monkeypatch.setattr(rules, "staged", lambda df, name: names.append(name) or staging.staged(df, name))
+    got = {(r.sample_id, r.rule_id): (r.matched, r.required, r.coverage, r.bucket, r.partial_coverage) for r in rules.rule_coverage(pooled, nodes).collect()}
+    full, half = (True, 1, 1.0, "matched", False), (False, 2, 0.5, "incomplete", False)
+    assert got == {(1, "R1"): full, (2, "R1"): full, (1, "R2"): half, (2, "R2"): (True, 2, 1.0, "matched", False), (1, "R3"): (True, 0, 1.0, "matched", False), (2, "R3"): (True, 0, 1.0, "matched", False)}
+    assert names.count("need") == 1
